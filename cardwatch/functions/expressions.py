@@ -27,6 +27,17 @@ def epoch_micros(df: DataFrame, name: str) -> Column:
     )
 
 
+def as_instant(df: DataFrame, name: str) -> Column:
+    """A timestamp column as TIMESTAMP, which watermarks require; a TIMESTAMP_NTZ is taken as UTC."""
+    return F.timestamp_micros(epoch_micros(df, name))
+
+
+def without_zone(instant: Column) -> Column:
+    """The UTC wall clock of an instant as TIMESTAMP_NTZ, whatever the session time zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
 def cents(amount: Column) -> Column:
     """Whole cents, so that sums are exact and windows can add and take away without residue."""
     return F.round(amount * 100).cast("long")

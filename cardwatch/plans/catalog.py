@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from cardwatch import schema as S
 from cardwatch.operators import curves, drift, features, metrics, quality, retrain, scoring, splits
-from cardwatch.plans import monitor, validation
+from cardwatch.plans import monitor, training, validation
 from cardwatch.sources.session import materialize, shared_path
 from cardwatch.sources.transactions import event_transactions, write_table
+from cardwatch.streaming import jobs
 
 DIGITS = 6
 TODAY = "2024-01-31"
@@ -661,3 +662,85 @@ def api_summary_json(spark, folder):
     return validation.api_summary(
         champion(spark, folder), online(spark, folder), request_log(spark, folder)
     )
+
+
+# Models
+
+
+def model_input(spark, folder):
+    return training.prepare(features.all_features(tx(spark, folder)).select(*training.KEPT, *S.ALL_FEATURES))
+
+
+# Rounds of the registered tree queries; the library default is the full number.
+QUERY_ROUNDS = 20
+
+
+@query
+def lr_scores(spark, folder):
+    """Fit, store, load again and score the test period."""
+    prepared = model_input(spark, folder)
+    path = training.save_model(training.fit_logistic(prepared), shared_path(spark, "model"))
+    scored = training.score(training.load_model(path), prepared.where("split = 'test'"))
+    return rounded(scored.select("transaction_id", "is_fraud", "fraud_score"))
+
+
+@query
+def gbt_scores(spark, folder):
+    prepared = model_input(spark, folder)
+    scored = training.score(training.fit_trees(prepared, QUERY_ROUNDS), prepared.where("split = 'test'"))
+    return rounded(scored.select("transaction_id", "is_fraud", "fraud_score"))
+
+
+@query
+def feature_importance(spark, folder):
+    model = training.fit_trees(model_input(spark, folder), QUERY_ROUNDS)
+    return rounded(training.feature_importance(model, spark))
+
+
+@query
+def fitted_model_comparison(spark, folder):
+    """Both fitted models at their best thresholds on the test period."""
+    prepared = model_input(spark, folder)
+    models = {
+        "logistic regression": training.fit_logistic(prepared),
+        "boosted trees": training.fit_trees(prepared, QUERY_ROUNDS),
+    }
+    return metrics.model_comparison(materialize(training.evaluate(prepared, models)))
+
+
+# Streams
+
+
+@query
+def stream_hourly_kpis(spark, folder):
+    return jobs.drain(jobs.hourly_kpis(jobs.transaction_stream(spark, folder)), "hourly")
+
+
+@query
+def stream_alert_volume(spark, folder):
+    return jobs.drain(jobs.alert_volume(jobs.transaction_stream(spark, folder)), "alerts")
+
+
+@query
+def stream_dedup(spark, folder):
+    """The stream joined with a replay of itself."""
+    twice = jobs.transaction_stream(spark, folder).unionByName(jobs.transaction_stream(spark, folder))
+    return jobs.drain(jobs.deduplicated(twice), "dedup").select("transaction_id", "ts", "amount")
+
+
+@query
+def stream_label_join(spark, folder):
+    stream = jobs.transaction_stream(spark, folder)
+    labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1")
+    return jobs.drain(jobs.label_join(stream, labels), "labels")
+
+
+@query
+def stream_scores(spark, folder):
+    return jobs.drain(jobs.scored_decisions(jobs.transaction_stream(spark, folder)), "scores")
+
+
+@query
+def stream_user_velocity(spark, folder):
+    with jobs.rocksdb(spark):
+        return jobs.drain(jobs.user_velocity(jobs.transaction_stream(spark, folder)), "velocity")

@@ -746,4 +746,33 @@ WHERE ts >= TIMESTAMP '{TODAY}' - INTERVAL 20 DAY AND ts <= TIMESTAMP '{TODAY}'
     )
     + "SELECT *, dollar_recall_ok AND approval_ok AND precision_ok AND score_psi_ok AND feature_psi_ok AS success FROM checks",
     "api_summary_json": summary_json_sql(),
+    "stream_hourly_kpis": with_(TX, *SERVED[:2])
+    + f"""SELECT date_trunc('hour', ts) AS hour, count(*) AS transactions, count(*) FILTER (WHERE fraud_score >= 0.95) AS alerts,
+  CAST(sum(is_fraud) AS BIGINT) AS frauds, CAST(sum({CENTS}) * 100 AS BIGINT) AS amount_cents FROM served GROUP BY 1
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tx) - INTERVAL 10 MINUTE""",
+    "stream_alert_volume": with_(
+        TX, *SERVED[:2],
+        "hours AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (WHERE fraud_score >= 0.95) AS alerts FROM served GROUP BY 1)",
+        "starts AS (SELECT DISTINCT hour - to_hours(CAST(i AS INT)) AS window_start FROM hours, range(24) g(i))",
+    )
+    + """SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, CAST(sum(n) AS BIGINT) AS transactions,
+  CAST(sum(alerts) AS BIGINT) AS alerts FROM starts JOIN hours ON hour >= window_start AND hour < window_start + INTERVAL 24 HOUR
+WHERE window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM tx) - INTERVAL 10 MINUTE GROUP BY 1""",
+    "stream_dedup": with_(TX) + "SELECT transaction_id, ts, amount FROM tx",
+    "stream_label_join": with_(TX)
+    + "SELECT transaction_id, ts, amount, chargeback_ts FROM tx WHERE is_fraud = 1 AND chargeback_ts <= ts + INTERVAL 90 DAY",
+    "stream_scores": with_(TX, *SERVED[:2], DECIDED.replace("scored", "served"))
+    + f"""SELECT transaction_id, CASE WHEN amount > 0 THEN {r("fraud_score", 4)} END AS fraud_score,
+  CASE WHEN amount > 0 THEN decision END AS decision, CASE WHEN amount > 0 THEN CASE decision WHEN 'BLOCK' THEN 'HIGH'
+  WHEN 'REVIEW' THEN 'MEDIUM' ELSE 'LOW' END END AS risk_level, CASE WHEN amount > 0 THEN 0 ELSE 1 END AS error_count FROM decided""",
+    "stream_user_velocity": with_(
+        TX,
+        f"""minutes AS (SELECT user_id, epoch_us(date_trunc('minute', ts)) // 60000000 AS minute, count(*) AS n,
+  CAST(sum({CENTS}) * 100 AS BIGINT) AS cents FROM tx
+  WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM tx) - INTERVAL 10 MINUTE GROUP BY 1, 2)""",
+    )
+    + """SELECT user_id, minute, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY minute RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_1h,
+  CAST(sum(n) OVER (PARTITION BY user_id ORDER BY minute RANGE BETWEEN 1439 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_24h,
+  CAST(sum(n) OVER (PARTITION BY user_id ORDER BY minute RANGE BETWEEN 10079 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_7d,
+  CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY minute RANGE BETWEEN 1439 PRECEDING AND CURRENT ROW) AS BIGINT) AS cents_24h FROM minutes""",
 }
