@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch import schema as S
@@ -17,7 +17,6 @@ from cardwatch.functions.expressions import (
     epoch_micros,
     flag,
     is_high_risk_country,
-    ratio,
 )
 from cardwatch.operators.timeline import (
     Cuts,
@@ -31,227 +30,169 @@ from cardwatch.operators.timeline import (
 )
 
 TIE = "transaction_id"
-
-
-def _us() -> Column:
-    return F.col("_us")
+US = "_us"
+CENTS = "CAST(round(amount * 100) AS BIGINT)"
 
 
 @dataclass(frozen=True)
 class Feature:
-    """A feature read off the history of one key: the tracks it needs and the expression over them."""
+    """A feature read off the history of one key: the tracks it needs and a SQL expression over them."""
 
     key: str
-    tracks: Callable[[], list[Track]]
-    value: Callable[[], Column]
+    tracks: list[Track]
+    value: str
 
 
 def _past_count(key: str) -> Track:
-    return Track(f"_{key}_past", here=F.lit(1))
+    return Track(f"_{key}_past", here="1")
 
 
 def _past_fraud(key: str) -> Track:
-    return Track(f"_{key}_fraud", here=F.col("is_fraud"))
+    return Track(f"_{key}_fraud", here="is_fraud")
 
 
 def _window_count(key: str, hours: int) -> Track:
-    return sliding_sum(f"_{key}_count_{hours}h", _us(), F.lit(1), hours * HOUR_US)
+    return sliding_sum(f"_{key}_count_{hours}h", US, "1", hours * HOUR_US)
 
 
 def _window_cents(key: str, hours: int) -> Track:
-    return sliding_sum(f"_{key}_cents_{hours}h", _us(), cents(F.col("amount")), hours * HOUR_US)
+    return sliding_sum(f"_{key}_cents_{hours}h", US, CENTS, hours * HOUR_US)
+
+
+def _open_count(key: str, hours: int) -> Track:
+    """Rows in (at - width, at], the row itself and its peers included."""
+    width = hours * HOUR_US
+    later = ((f"open {width}", f"{US} + {width}", "-1"),)
+    return Track(f"_{key}_open_{hours}h", here="1", later=later, frame="upto")
 
 
-def _previous_time(key: str) -> Track:
-    return Track(f"_{key}_prev_us", here=_us(), kind="last")
+def _previous(key: str, column: str) -> Track:
+    return Track(f"_{key}_prev_{column}", here=column, kind="last")
 
 
 def _first_time(key: str) -> Track:
-    return Track(f"_{key}_first_us", here=_us(), kind="min", frame="upto")
+    return Track(f"_{key}_first_us", here=US, kind="min", frame="upto")
+
+
+def _distinct(key: str, column: str, width: int) -> Track:
+    return sliding_distinct(f"_{key}_{column}_{width // HOUR_US}h", US, column, width)
 
 
 def _moments(key: str) -> list[Track]:
-    amount = F.col("amount")
     return [
-        Track(f"_{key}_past", here=F.lit(1)),
-        Track(f"_{key}_sum", here=amount),
-        Track(f"_{key}_squares", here=amount * amount),
+        Track(f"_{key}_past", here="1"),
+        Track(f"_{key}_sum", here="amount"),
+        Track(f"_{key}_squares", here="amount * amount"),
     ]
 
 
 def _known_fraud(key: str) -> Track:
     """Frauds of the key whose chargeback has arrived; each enters at its chargeback time, not at its own."""
-    known = F.when(F.col("is_fraud") == 1, F.lit(1))
-    return Track(f"_{key}_known", later=(("chargeback", F.col("_chargeback_us"), known),), frame="earlier")
-
-
-def _xlog2(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+    arrival = ("chargeback", "_chargeback_us", "CASE WHEN is_fraud = 1 THEN 1 END")
+    return Track(f"_{key}_known", later=(arrival,), frame="earlier")
 
 
 def _entropy_gain(by: str) -> Track:
     """Change of sum(k*log2 k) over the values seen so far when the row's value is counted once more."""
-    seen = F.col(f"_seen_{by}").cast("double")
-    gain = _xlog2(seen + 1) - _xlog2(seen)
-    return Track(f"_gain_{by}", here=gain, pre=(by, Step(f"_seen_{by}", F.lit(1))))
+    seen = f"_seen_{by}"
+    gain = f"({seen} + 1D) * log2({seen} + 1D) - CASE WHEN {seen} > 0 THEN {seen} * log2({seen}) ELSE 0D END"
+    return Track(f"_gain_{by}", here=gain, pre=(by, Step(seen, "1")))
 
 
-def _entropy(key: str, by: str) -> Column:
-    n = F.col(f"_{key}_past").cast("double")
-    return F.when(n > 0, F.log2(n) - F.col(f"_gain_{by}") / n).otherwise(F.lit(0.0))
+def _entropy(key: str, by: str) -> str:
+    n = f"CAST(_{key}_past AS DOUBLE)"
+    return f"CASE WHEN _{key}_past > 0 THEN log2({n}) - _gain_{by} / {n} ELSE 0D END"
 
 
-def _minutes_since(key: str, otherwise: float) -> Column:
-    return F.coalesce((_us() - F.col(f"_{key}_prev_us")) / F.lit(60e6), F.lit(otherwise))
+def _minutes_since(key: str, otherwise: float) -> str:
+    return f"coalesce(({US} - _{key}_prev_{US}) / 60e6D, {otherwise}D)"
 
 
-def _rate(key: str, extra: int = 0) -> Column:
-    return ratio(F.col(f"_{key}_fraud"), F.col(f"_{key}_past") + extra)
+def _days_since_first(key: str) -> str:
+    return f"({US} - _{key}_first_us) / 86400e6D"
 
 
-def _past_zscore(key: str) -> Column:
-    """(amount - past mean) / (past sample deviation + 1), 0 with fewer than two past rows."""
-    n, total, squares = (F.col(f"_{key}_{part}") for part in ("past", "sum", "squares"))
-    spread = F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0)))
-    return F.when(n >= 2, (F.col("amount") - total / n) / (spread + 1)).otherwise(F.lit(0.0))
+def _rate(top: str, bottom: str) -> str:
+    return f"CASE WHEN {bottom} > 0 THEN CAST({top} AS DOUBLE) / ({bottom}) ELSE 0D END"
+
 
+def _past_rate(key: str, extra: int = 0) -> str:
+    return _rate(f"_{key}_fraud", f"_{key}_past + {extra}")
 
-def _count(name: str) -> Column:
-    return F.col(name).cast("long")
 
+def _past_zscore(key: str) -> str:
+    """(amount - past mean) / (past sample deviation + 1), 0 with fewer than two past rows."""
+    n, total, squares = (f"_{key}_{part}" for part in ("past", "sum", "squares"))
+    variance = f"greatest(({squares} - {total} * {total} / {n}) / ({n} - 1), 0D)"
+    return f"CASE WHEN {n} >= 2 THEN (amount - {total} / {n}) / (sqrt({variance}) + 1) ELSE 0D END"
+
+
+_ENTITIES = {"user": "user_id", "merchant": "merchant_id", "device": "device_id"}
 
 HISTORY_FEATURES: dict[str, Feature] = {
-    "feat_tx_count_user_1h": Feature(
-        "user_id", lambda: [_window_count("user", 1)], lambda: _count("_user_count_1h") - 1
-    ),
-    "feat_tx_count_user_24h": Feature(
-        "user_id", lambda: [_window_count("user", 24)], lambda: _count("_user_count_24h") - 1
-    ),
+    "feat_tx_count_user_1h": Feature("user_id", [_window_count("user", 1)], "_user_count_1h - 1"),
+    "feat_tx_count_user_24h": Feature("user_id", [_window_count("user", 24)], "_user_count_24h - 1"),
     "feat_amount_sum_user_24h": Feature(
-        "user_id",
-        lambda: [_window_cents("user", 24)],
-        lambda: (F.col("_user_cents_24h") - F.coalesce(cents(F.col("amount")), F.lit(0))) / F.lit(100.0),
+        "user_id", [_window_cents("user", 24)], f"(_user_cents_24h - coalesce({CENTS}, 0)) / 100D"
     ),
     "feat_amount_avg_user_24h": Feature(
         "user_id",
-        lambda: [_window_cents("user", 24), _window_count("user", 24)],
-        lambda: F.col("_user_cents_24h") / F.lit(100.0) / F.col("_user_count_24h"),
+        [_window_cents("user", 24), _window_count("user", 24)],
+        "_user_cents_24h / 100D / _user_count_24h",
     ),
     "feat_time_since_last_tx_mins": Feature(
-        "user_id", lambda: [_previous_time("user")], lambda: _minutes_since("user", S.NO_PREVIOUS_TX_MINUTES)
-    ),
-    "feat_tx_count_merchant_1h": Feature(
-        "merchant_id", lambda: [_window_count("merchant", 1)], lambda: _count("_merchant_count_1h") - 1
+        "user_id", [_previous("user", US)], _minutes_since("user", S.NO_PREVIOUS_TX_MINUTES)
     ),
+    "feat_tx_count_merchant_1h": Feature("merchant_id", [_window_count("merchant", 1)], "_merchant_count_1h - 1"),
     "feat_unique_users_per_device_24h": Feature(
-        "device_id",
-        lambda: [sliding_distinct("_device_users", _us(), "user_id", 24 * HOUR_US)],
-        lambda: _count("_device_users"),
+        "device_id", [_distinct("device", "user_id", DAY_US)], "_device_user_id_24h"
     ),
     "feat_unique_countries_per_device_7d": Feature(
-        "device_id",
-        lambda: [sliding_distinct("_device_countries", _us(), "country", 7 * DAY_US)],
-        lambda: _count("_device_countries"),
+        "device_id", [_distinct("device", "country", 7 * DAY_US)], "_device_country_168h"
     ),
     "feat_unique_countries_per_device_24h": Feature(
-        "device_id",
-        lambda: [sliding_distinct("_device_countries_24h", _us(), "country", 24 * HOUR_US)],
-        lambda: _count("_device_countries_24h"),
-    ),
-    "feat_unique_users_per_ip_24h": Feature(
-        "ip_id", lambda: [sliding_distinct("_ip_users", _us(), "user_id", 24 * HOUR_US)], lambda: _count("_ip_users")
-    ),
-    "feat_device_age_days": Feature(
-        "device_id", lambda: [_first_time("device")], lambda: (_us() - F.col("_device_first_us")) / F.lit(86400e6)
-    ),
-    "feat_ip_age_days": Feature(
-        "ip_id", lambda: [_first_time("ip")], lambda: (_us() - F.col("_ip_first_us")) / F.lit(86400e6)
+        "device_id", [_distinct("device", "country", DAY_US)], "_device_country_24h"
     ),
+    "feat_unique_users_per_ip_24h": Feature("ip_id", [_distinct("ip", "user_id", DAY_US)], "_ip_user_id_24h"),
+    "feat_device_age_days": Feature("device_id", [_first_time("device")], _days_since_first("device")),
+    "feat_ip_age_days": Feature("ip_id", [_first_time("ip")], _days_since_first("ip")),
     "feat_country_change": Feature(
-        "user_id",
-        lambda: [Track("_user_prev_country", here=F.col("country"), kind="last")],
-        lambda: flag(F.col("country") != F.col("_user_prev_country")),
+        "user_id", [_previous("user", "country")], "CASE WHEN country != _user_prev_country THEN 1 ELSE 0 END"
     ),
     "feat_unique_countries_user_7d": Feature(
-        "user_id",
-        lambda: [sliding_distinct("_user_countries", _us(), "country", 7 * DAY_US)],
-        lambda: _count("_user_countries"),
+        "user_id", [_distinct("user", "country", 7 * DAY_US)], "_user_country_168h"
     ),
     "feat_user_country_entropy": Feature(
-        "user_id",
-        lambda: [_past_count("user"), _entropy_gain("country")],
-        lambda: _entropy("user", "country"),
-    ),
-    "feat_user_fraud_rate_historical": Feature(
-        "user_id", lambda: [_past_count("user"), _past_fraud("user")], lambda: _rate("user")
-    ),
-    "feat_merchant_fraud_rate_historical": Feature(
-        "merchant_id", lambda: [_past_count("merchant"), _past_fraud("merchant")], lambda: _rate("merchant")
+        "user_id", [_past_count("user"), _entropy_gain("country")], _entropy("user", "country")
     ),
-    "feat_device_fraud_rate_historical": Feature(
-        "device_id", lambda: [_past_count("device"), _past_fraud("device")], lambda: _rate("device")
-    ),
-    "feat_amount_vs_user_avg": Feature("user_id", lambda: _moments("user"), lambda: _past_zscore("user")),
-    "feat_amount_vs_merchant_avg": Feature("merchant_id", lambda: _moments("merchant"), lambda: _past_zscore("merchant")),
+    **{
+        f"feat_{name}_fraud_rate_historical": Feature(key, [_past_count(name), _past_fraud(name)], _past_rate(name))
+        for name, key in _ENTITIES.items()
+    },
+    "feat_amount_vs_user_avg": Feature("user_id", _moments("user"), _past_zscore("user")),
+    "feat_amount_vs_merchant_avg": Feature("merchant_id", _moments("merchant"), _past_zscore("merchant")),
     # Variants and base-table columns.
-    "tx_count_user_1h_inclusive": Feature(
-        "user_id", lambda: [_half_open_count("user", 1)], lambda: _count("_user_open_1h")
-    ),
-    "tx_count_user_24h_inclusive": Feature(
-        "user_id", lambda: [_half_open_count("user", 24)], lambda: _count("_user_open_24h")
-    ),
-    "tx_count_merchant_1h_inclusive": Feature(
-        "merchant_id", lambda: [_half_open_count("merchant", 1)], lambda: _count("_merchant_open_1h")
-    ),
+    "tx_count_user_1h_inclusive": Feature("user_id", [_open_count("user", 1)], "_user_open_1h"),
+    "tx_count_user_24h_inclusive": Feature("user_id", [_open_count("user", 24)], "_user_open_24h"),
+    "tx_count_merchant_1h_inclusive": Feature("merchant_id", [_open_count("merchant", 1)], "_merchant_open_1h"),
     "country_change_first_is_change": Feature(
-        "user_id",
-        lambda: [Track("_user_prev_country", here=F.col("country"), kind="last")],
-        lambda: flag(~F.col("country").eqNullSafe(F.col("_user_prev_country"))),
-    ),
-    "user_fraud_rate_smoothed": Feature(
-        "user_id", lambda: [_past_count("user"), _past_fraud("user")], lambda: _rate("user", 1)
-    ),
-    "merchant_fraud_rate_smoothed": Feature(
-        "merchant_id", lambda: [_past_count("merchant"), _past_fraud("merchant")], lambda: _rate("merchant", 1)
-    ),
-    "device_fraud_rate_smoothed": Feature(
-        "device_id", lambda: [_past_count("device"), _past_fraud("device")], lambda: _rate("device", 1)
-    ),
-    "user_fraud_rate_label_aware": Feature(
-        "user_id",
-        lambda: [_past_count("user"), _known_fraud("user")],
-        lambda: ratio(F.col("_user_known"), F.col("_user_past")),
-    ),
-    "merchant_fraud_rate_label_aware": Feature(
-        "merchant_id",
-        lambda: [_past_count("merchant"), _known_fraud("merchant")],
-        lambda: ratio(F.col("_merchant_known"), F.col("_merchant_past")),
-    ),
-    "device_fraud_rate_label_aware": Feature(
-        "device_id",
-        lambda: [_past_count("device"), _known_fraud("device")],
-        lambda: ratio(F.col("_device_known"), F.col("_device_past")),
-    ),
-    "user_transaction_count": Feature(
-        "user_id", lambda: [_past_count("user")], lambda: (F.col("_user_past") + 1).cast("long")
-    ),
-    "time_since_last_transaction": Feature(
-        "user_id", lambda: [_previous_time("user")], lambda: _minutes_since("user", 0.0)
+        "user_id", [_previous("user", "country")], "CASE WHEN country <=> _user_prev_country THEN 0 ELSE 1 END"
     ),
+    **{
+        f"{name}_fraud_rate_smoothed": Feature(key, [_past_count(name), _past_fraud(name)], _past_rate(name, 1))
+        for name, key in _ENTITIES.items()
+    },
+    **{
+        f"{name}_fraud_rate_label_aware": Feature(
+            key, [_past_count(name), _known_fraud(name)], _rate(f"_{name}_known", f"_{name}_past")
+        )
+        for name, key in _ENTITIES.items()
+    },
+    "user_transaction_count": Feature("user_id", [_past_count("user")], "_user_past + 1"),
+    "time_since_last_transaction": Feature("user_id", [_previous("user", US)], _minutes_since("user", 0.0)),
 }
 
 
-def _half_open_count(key: str, hours: int) -> Track:
-    """Rows in (at - width, at], the row itself and its peers included."""
-    width = hours * HOUR_US
-    return Track(
-        f"_{key}_open_{hours}h",
-        here=F.lit(1),
-        later=((f"open {width}", _us() + F.lit(width), F.lit(-1)),),
-        frame="upto",
-    )
-
-
 ROW_FEATURES: dict[str, Callable[[DataFrame], Column]] = {
     "feat_is_high_risk_country": lambda df: is_high_risk_country(F.col("country")),
     "feat_is_small_amount": lambda df: flag(F.col("amount") < S.SMALL_AMOUNT),
@@ -273,18 +214,18 @@ def add_history(df: DataFrame, names: list[str]) -> DataFrame:
     by_key: dict[str, list[str]] = {}
     for name in names:
         by_key.setdefault(HISTORY_FEATURES[name].key, []).append(name)
-    work = df.withColumn("_us", epoch_micros(df, "ts"))
-    helpers = ["_us"]
+    kept = [*columns, US]
+    work = df.withColumn(US, epoch_micros(df, "ts"))
     if any(name.endswith("label_aware") for name in names):
         work = work.withColumn("_chargeback_us", epoch_micros(df, "chargeback_ts"))
-        helpers.append("_chargeback_us")
+        kept.append("_chargeback_us")
     total = df.count()
-    cuts = {key: hot_cuts(work, [key], _us(), total) for key in by_key}
+    cuts = {key: hot_cuts(work, [key], F.col(US), total) for key in by_key}
     for key, wanted in by_key.items():
-        tracks = [t for name in wanted for t in HISTORY_FEATURES[name].tracks()]
-        kept = [*columns, *helpers, *[n for n in names if n in work.columns]]
-        work = replay(work, [key], _us(), TIE, tracks, cuts[key])
-        work = work.select(*kept, *[HISTORY_FEATURES[n].value().alias(n) for n in wanted])
+        tracks = [t for name in wanted for t in HISTORY_FEATURES[name].tracks]
+        work = replay(work, [key], US, TIE, tracks, cuts[key])
+        work = work.selectExpr(*kept, *[f"{HISTORY_FEATURES[n].value} AS {n}" for n in wanted])
+        kept += wanted
     return work.select(*columns, *names)
 
 
@@ -321,7 +262,7 @@ def add_full_table_percentile(df: DataFrame, key: str = "user_id", name: str = "
     counts = df.where(F.col("amount").isNotNull()).groupBy(key, "amount").agg(F.count(F.lit(1)).alias("_peers"))
     sizes = counts.groupBy(key).agg(F.sum("_peers").alias("_n"))
     cuts = hot_cuts(counts, [key], F.col("amount"))
-    ranked = accumulate(counts, [key], "amount", [], [Step("_below", F.col("_peers"))], cuts)
+    ranked = accumulate(counts, [key], "amount", [], [Step("_below", "_peers")], cuts)
     ranked = ranked.join(sizes.withColumnRenamed(key, "_k2"), ranked[key].eqNullSafe(F.col("_k2"))).drop("_k2")
     rank = F.col("_below").cast("double") + (F.col("_peers").cast("double") + 1) / 2
     table = ranked.select(
@@ -348,27 +289,25 @@ def add_past_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_a
     radix = 1 << DIGIT_BITS
     offset = F.col("_cents") - F.lit(low)
     rows = work.select(key, "_us", TIE, offset.alias("_v"))
-    digits = rows.where(F.col("_v").isNotNull()).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    shift = F.col("_level") * DIGIT_BITS
-    digits = digits.withColumn("_lead", F.call_function("shiftright", F.col("_v"), shift + DIGIT_BITS))
-    digits = digits.withColumn(
-        "_digit", F.call_function("shiftright", F.col("_v"), shift).bitwiseAND(F.lit(radix - 1)).cast("int")
+    digits = rows.where("_v IS NOT NULL").selectExpr("*", f"explode(sequence(0, {levels - 1})) AS _level")
+    digits = digits.selectExpr(
+        "*",
+        f"shiftright(_v, (_level + 1) * {DIGIT_BITS}) AS _lead",
+        f"CAST(shiftright(_v, _level * {DIGIT_BITS}) & {radix - 1} AS INT) AS _digit",
     )
     group = [key, "_level", "_lead"]
-    steps = [Step(f"_d{d}", F.when(F.col("_digit") == d, F.lit(1))) for d in range(radix)]
+    steps = [Step(f"_d{d}", f"CASE WHEN _digit = {d} THEN 1 END") for d in range(radix)]
     # On the lowest level an equal digit means an equal amount.
-    counted = accumulate(digits, group, "_us", [TIE], steps, hot_cuts(digits, group, _us(), bounds.n * levels))
-    smaller, same = F.lit(0), F.lit(0)
-    for d in range(radix):
-        smaller = smaller + F.when(F.col("_digit") > d, F.col(f"_d{d}")).otherwise(F.lit(0))
-        same = same + F.when((F.col("_level") == 0) & (F.col("_digit") == d), F.col(f"_d{d}")).otherwise(F.lit(0))
+    counted = accumulate(digits, group, US, [TIE], steps, hot_cuts(digits, group, F.col(US), bounds.n * levels))
+    smaller = " + ".join(f"CASE WHEN _digit > {d} THEN _d{d} ELSE 0 END" for d in range(radix))
+    same = "CASE WHEN _level = 0 THEN element_at(array(" + ", ".join(f"_d{d}" for d in range(radix)) + "), _digit + 1) END"
     ranks = (
-        counted.select(F.col(TIE).alias("_id"), smaller.alias("_smaller"), same.alias("_same"))
+        counted.selectExpr(f"{TIE} AS _id", f"{smaller} AS _smaller", f"{same} AS _same")
         .groupBy("_id")
         .agg(F.sum("_smaller").alias("_smaller"), F.sum("_same").alias("_same"))
     )
-    known = Track("_past_amounts", here=F.when(F.col("amount").isNotNull(), F.lit(1)))
-    numbered = replay(work, [key], _us(), TIE, [known], hot_cuts(work, [key], _us(), bounds.n))
+    known = Track("_past_amounts", here="CASE WHEN amount IS NOT NULL THEN 1 END")
+    numbered = replay(work, [key], US, TIE, [known], hot_cuts(work, [key], F.col(US), bounds.n))
     joined = numbered.join(ranks, numbered[TIE] == ranks["_id"], "left")
     past = F.col("_past_amounts").cast("double")
     rank = F.col("_smaller") + (F.col("_same") + 2) / F.lit(2.0)
@@ -379,11 +318,12 @@ def add_past_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_a
 def latest_history(df: DataFrame, key: str, fields: list[str], ttl_days: int = 7) -> DataFrame:
     """State of an entity just before each row: the latest earlier values, null once older than the time to live."""
     work = df.withColumn("_us", epoch_micros(df, "ts"))
-    state = F.struct(_us().alias("seen"), *[F.col(f) for f in fields])
-    out = replay(work, [key], _us(), TIE, [Track("_state", here=state, kind="last")], hot_cuts(work, [key], _us()))
-    fresh = _us() - F.col("_state.seen") <= F.lit(ttl_days * DAY_US)
+    state = f"named_struct('seen', {US}, " + ", ".join(f"'{f}', {f}" for f in fields) + ")"
+    cuts = hot_cuts(work, [key], F.col(US), df.count())
+    out = replay(work, [key], US, TIE, [Track("_state", here=state, kind="last")], cuts)
+    fresh = F.col(US) - F.col("_state.seen") <= F.lit(ttl_days * DAY_US)
     values = [F.when(fresh, F.col(f"_state.{f}")).alias(f"last_{f}") for f in fields]
-    age = F.when(fresh, (_us() - F.col("_state.seen")) / F.lit(60e6)).alias("history_age_mins")
+    age = F.when(fresh, (F.col(US) - F.col("_state.seen")) / F.lit(60e6)).alias("history_age_mins")
     return out.select(*df.columns, age, *values)
 
 

@@ -25,7 +25,7 @@ def value_counts(df: DataFrame, by: list[str], value: str, weights: dict[str, Co
 def running(counts: DataFrame, by: list[str], at: str, names: list[str], frame: str = "before") -> DataFrame:
     """Running sums of ``names`` over ascending ``at`` within each group, as columns cum_<name>."""
     keys = by or [EVERYTHING]
-    steps = [Step(f"cum_{n}", F.col(n), "sum", frame) for n in names]
+    steps = [Step(f"cum_{n}", n, "sum", frame) for n in names]
     return accumulate(counts, keys, at, [], steps, hot_cuts(counts, keys, F.col(at)))
 
 

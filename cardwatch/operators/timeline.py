@@ -29,14 +29,14 @@ SLICE = "_slice"
 
 @dataclass(frozen=True)
 class Step:
-    """One value carried along the history of a key.
+    """One value carried along the history of a key; ``value`` is a SQL expression.
 
     kind: sum, min, last (latest non-null value) or next (value of the following row).
     frame: before = earlier rows in (time, tie) order; earlier = rows at a smaller time; upto = these and all peers.
     """
 
     name: str
-    value: Column
+    value: str
     kind: str = "sum"
     frame: str = "before"
 
@@ -46,11 +46,12 @@ class Track:
     """A value of the result of :func:`replay`.
 
     ``here`` is contributed at the row's own time, each (label, time, value) of ``later`` at another time; equal labels
-    mean equal times. ``pre`` is a (column, step) to run first per (key, column); ``here`` and ``later`` may read it.
+    mean equal times. All are SQL expressions. ``pre`` is a (column, step) to run first per (key, column); ``here`` and
+    ``later`` may read it.
     """
 
     name: str
-    here: Column | None = None
+    here: str | None = None
     later: tuple = ()
     kind: str = "sum"
     frame: str = "before"
@@ -130,27 +131,29 @@ def add_slice(df: DataFrame, keys: list[str], at: Column, cuts: Cuts) -> DataFra
 def _windowed(
     df: DataFrame, keys: list[str], at: str, tie: list[str], steps: list[Step], zero: bool = True
 ) -> DataFrame:
-    rows = Window.partitionBy(*keys).orderBy(at, *tie)
-    times = Window.partitionBy(*keys).orderBy(at)
-    before = rows.rowsBetween(Window.unboundedPreceding, -1)
+    rows = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join([at, *tie])}"
+    times = f"PARTITION BY {', '.join(keys)} ORDER BY {at}"
     frames = {
-        "before": before,
-        "earlier": times.rangeBetween(Window.unboundedPreceding, -1),
-        "upto": times.rangeBetween(Window.unboundedPreceding, Window.currentRow),
+        "before": f"({rows} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "earlier": f"({times} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "upto": f"({times} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     }
-    by_row, by_time = {}, {}
+    by_row, by_time = [], []
     for step in steps:
+        frame = frames[step.frame]
         if step.kind == "next":
-            by_row[step.name] = F.lead(step.value).over(rows)
+            sql = f"lead({step.value}) OVER ({rows})"
         elif step.kind == "last":
-            by_row[step.name] = F.last(step.value, ignorenulls=True).over(before)
+            sql = f"last({step.value}, true) OVER {frames['before']}"
         else:
-            agg = (F.sum(step.value) if step.kind == "sum" else F.min(step.value)).over(frames[step.frame])
-            if step.kind == "sum" and zero:
-                agg = F.coalesce(agg, F.lit(0))
-            (by_row if step.frame == "before" else by_time)[step.name] = agg
-    out = df.withColumns(by_row) if by_row else df
-    return out.withColumns(by_time) if by_time else out
+            sql = f"{step.kind}({step.value}) OVER {frame}"
+        if step.kind == "sum" and zero:
+            sql = f"coalesce({sql}, 0)"
+        exact = step.kind in ("next", "last") or step.frame == "before"
+        (by_row if exact else by_time).append(f"{sql} AS {step.name}")
+    # Sorted by (time, tie) first, the rows need no second sort for the frames by time.
+    out = df.selectExpr("*", *by_row) if by_row else df
+    return out.selectExpr("*", *by_time) if by_time else out
 
 
 def accumulate(
@@ -164,12 +167,12 @@ def accumulate(
     order = F.struct(F.col(at), *[F.col(t) for t in tie])
     parts = []
     for step in steps:
-        known = F.when(step.value.isNotNull(), order)
+        value = F.expr(step.value)
         agg = {
-            "sum": F.sum(step.value),
-            "min": F.min(step.value),
-            "last": F.max_by(step.value, known),
-            "next": F.min_by(step.value, order),
+            "sum": F.sum(value),
+            "min": F.min(value),
+            "last": F.max_by(value, F.when(value.isNotNull(), order)),
+            "next": F.min_by(value, order),
         }[step.kind]
         parts.append(agg.alias(f"_p_{step.name}"))
     totals = sliced.where(F.col(SLICE) >= 0).groupBy(*keys, SLICE).agg(*parts)
@@ -201,67 +204,62 @@ def accumulate(
     return merged.withColumns(combined).drop(SLICE, *[f"_c_{s.name}" for s in steps])
 
 
-def _typed_null(value: Column) -> Column:
-    return F.when(F.lit(False), value)
+def _typed_null(value: str) -> str:
+    return f"CASE WHEN false THEN {value} END"
 
 
 def replay(
-    df: DataFrame, keys: list[str], at: Column, tie: str, tracks: list[Track], cuts: Cuts | None = None
+    df: DataFrame, keys: list[str], at: str, tie: str, tracks: list[Track], cuts: Cuts | None = None
 ) -> DataFrame:
     """Run all tracks of one key over the table in time order; every row comes back once, with a column per track."""
+    tracks = list({t.name: t for t in tracks}.values())
     columns = df.columns
     work = df if cuts is not None else df.repartition(*keys)
-    work = work.withColumn("_at", at)
     for extra, step in {t.pre[1].name: t.pre for t in tracks if t.pre}.values():
         pair = [*keys, extra]
-        pair_cuts = None if cuts is None else hot_cuts(df, pair, at)
-        work = accumulate(work, pair, "_at", [tie], [step], pair_cuts)
+        pair_cuts = None if cuts is None else hot_cuts(work, pair, F.col(at))
+        work = accumulate(work, pair, at, [tie], [step], pair_cuts)
 
-    tracks = list({t.name: t for t in tracks}.values())
-    shape = {}
-    for track in tracks:
-        sample = track.here if track.here is not None else track.later[0][2]
-        shape[track.name] = _typed_null(sample)
+    nulls = {t.name: _typed_null(t.here or t.later[0][2]) for t in tracks}
 
-    def entry(when: Column, tied: Column, row: Column, filled: dict[str, Column]) -> Column:
-        values = [filled.get(name, null).alias(f"_v_{name}") for name, null in shape.items()]
-        return F.struct(when.alias("_at"), tied.alias("_tie"), row.alias("_row"), *values)
+    def entry(when: str, tied: str, row: str, filled: dict[str, str]) -> str:
+        values = "".join(f", '_v_{name}', {filled.get(name, null)}" for name, null in nulls.items())
+        return f"named_struct('_at', {when}, '_tie', {tied}, '_row', {row}{values})"
 
-    row = F.struct(*[F.col(c) for c in columns])
+    row = f"struct({', '.join(columns)})"
     own = {t.name: t.here for t in tracks if t.here is not None}
-    entries = [entry(F.col("_at"), F.col(tie), row, own)]
-    moments: dict[str, tuple[Column, dict]] = {}
+    entries = [entry(at, tie, row, own)]
+    moments: dict[str, tuple[str, dict]] = {}
     for track in tracks:
         for label, when, value in track.later:
             moments.setdefault(label, (when, {}))[1][track.name] = value
     for when, filled in moments.values():
-        entries.append(entry(when, _typed_null(F.col(tie)), _typed_null(row), filled))
+        entries.append(entry(when, _typed_null(tie), _typed_null(row), filled))
 
-    flat = work.select(*keys, F.inline(F.array(*entries)))
-    flat = flat.where(F.col("_row").isNotNull() | F.col("_at").isNotNull())
-    steps = [Step(t.name, F.col(f"_v_{t.name}"), t.kind, t.frame) for t in tracks]
+    flat = work.selectExpr(*keys, f"inline(array({', '.join(entries)}))")
+    flat = flat.where("_row IS NOT NULL OR _at IS NOT NULL")
+    steps = [Step(t.name, f"_v_{t.name}", t.kind, t.frame) for t in tracks]
     out = accumulate(flat, keys, "_at", ["_tie"], steps, cuts)
-    return out.where(F.col("_row").isNotNull()).select("_row.*", *[t.name for t in tracks])
+    return out.where("_row IS NOT NULL").selectExpr("_row.*", *[t.name for t in tracks])
 
 
-def sliding_sum(name: str, at: Column, value: Column, width: int) -> Track:
+def sliding_sum(name: str, at: str, value: str, width: int) -> Track:
     """Sum of ``value`` over the closed window [at - width, at], peers included."""
-    return Track(name, here=value, later=((f"after {width}", at + F.lit(width + 1), -value),), frame="upto")
+    return Track(name, here=value, later=((f"after {width}", f"{at} + {width + 1}", f"-({value})"),), frame="upto")
 
 
-def sliding_distinct(name: str, at: Column, column: str, width: int) -> Track:
+def sliding_distinct(name: str, at: str, column: str, width: int) -> Track:
     """Number of different values of ``column`` in [at - width, at), without keeping the values.
 
     A row counts until the same value shows up again or the window has passed, whichever comes first.
     """
-    following = F.col(f"_next_{name}")
-    latest = F.col(column).isNotNull() & (following.isNull() | (following > at))
-    end = F.when(latest, F.least(following, at + F.lit(width)))
+    following = f"_next_{name}"
+    latest = f"{column} IS NOT NULL AND ({following} IS NULL OR {following} > {at})"
+    end = f"CASE WHEN {latest} THEN least({following}, {at} + {width}) END"
     return Track(
         name,
-        here=F.when(latest, F.lit(1)),
-        later=((name, end, F.when(latest, F.lit(-1))),),
+        here=f"CASE WHEN {latest} THEN 1 END",
+        later=((name, end, f"CASE WHEN {latest} THEN -1 END"),),
         frame="earlier",
-        pre=(column, Step(f"_next_{name}", at, "next")),
+        pre=(column, Step(following, at, "next")),
     )
-
