@@ -50,6 +50,7 @@ def psi_from_counts(counts: DataFrame, bins: int = 10) -> DataFrame:
         .groupBy("feature")
         .agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
     )
+    # One row per feature.
     sized = _side_totals(counts).join(breaks, "feature")
     usable = (F.size("edges") > 1) & (F.col("total_base") > 0) & (F.col("total_prod") > 0)
     value, edges = F.col("value"), F.col("edges")
@@ -57,7 +58,7 @@ def psi_from_counts(counts: DataFrame, bins: int = 10) -> DataFrame:
     bin_of = F.when(value == F.element_at(edges, -1), F.size(edges) - 1).otherwise(below)
     inside = (value >= F.element_at(edges, 1)) & (value <= F.element_at(edges, -1))
     filled = (
-        counts.join(sized.where(usable), "feature")
+        counts.join(F.broadcast(sized.where(usable)), "feature")
         .where(inside)
         .groupBy("feature", bin_of.alias("bin"))
         .agg(F.sum("base").alias("base"), F.sum("prod").alias("prod"))
@@ -77,7 +78,7 @@ def psi_from_counts(counts: DataFrame, bins: int = 10) -> DataFrame:
 
 def categorical_psi(counts: DataFrame) -> DataFrame:
     """Stability index with one bin per value, which also moves for columns with few values."""
-    parts = counts.join(_side_totals(counts), "feature")
+    parts = counts.join(F.broadcast(_side_totals(counts)), "feature")
     return _psi_sum(parts)
 
 

@@ -219,11 +219,12 @@ def add_history(df: DataFrame, names: list[str]) -> DataFrame:
     if any(name.endswith("label_aware") for name in names):
         work = work.withColumn("_chargeback_us", epoch_micros(df, "chargeback_ts"))
         kept.append("_chargeback_us")
+    base = work
     total = df.count()
-    cuts = {key: hot_cuts(work, [key], F.col(US), total) for key in by_key}
+    cuts = {key: hot_cuts(base, [key], F.col(US), total) for key in by_key}
     for key, wanted in by_key.items():
         tracks = [t for name in wanted for t in HISTORY_FEATURES[name].tracks]
-        work = replay(work, [key], US, TIE, tracks, cuts[key])
+        work = replay(work, [key], US, TIE, tracks, cuts[key], base)
         work = work.selectExpr(*kept, *[f"{HISTORY_FEATURES[n].value} AS {n}" for n in wanted])
         kept += wanted
     return work.select(*columns, *names)

@@ -35,8 +35,9 @@ def totals(counts: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 
 
 def with_totals(df: DataFrame, counts: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Totals of each group beside its rows. Groups are named columns or the whole table, so their table is short."""
     keys = by or [EVERYTHING]
-    return df.join(totals(counts, by, names), keys)
+    return df.join(F.broadcast(totals(counts, by, names)), keys)
 
 
 def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: list[float], weight: str = "n") -> DataFrame:

@@ -13,7 +13,7 @@ Results do not depend on where the cuts fall; a table below the slice size has n
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 
 SLICE_ROWS_CONF = "spark.cardwatch.sliceRows"
 DEFAULT_SLICE_ROWS = 5_000_000
-MAX_HOT_KEYS = 4096
-CUT_POINTS = 2048
-FAN = 32
+MAX_HOT_KEYS = 16384
+CUT_POINTS = 16384
+ACCURACY = 50_000
+FAN = 64
 SLICE = "_slice"
 
 
@@ -60,10 +61,10 @@ class Track:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Slice borders of the hot keys: one row per hot key, at most MAX_HOT_KEYS rows."""
+    """Slice borders of the hot keys: one row per hot key, at most MAX_HOT_KEYS rows. ``total`` counts the table."""
 
     table: DataFrame
-    keys: list[str] = field(default_factory=list)
+    total: int
 
 
 def slice_rows(spark: SparkSession) -> int:
@@ -94,16 +95,16 @@ def hot_cuts(df: DataFrame, keys: list[str], at: Column, total: int | None = Non
     size = max(limit, total // MAX_HOT_KEYS)
     points = df.select(*keys, at.alias("_at"))
     hot = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-    grid = [i / CUT_POINTS for i in range(1, CUT_POINTS)]
+    grid = ", ".join(f"{i / CUT_POINTS}D" for i in range(1, CUT_POINTS))
     slices = F.least(F.lit(CUT_POINTS), F.ceil(F.col("_n") / F.lit(size)).cast("int"))
     thin = F.transform(
         F.sequence(F.lit(1), slices - 1),
-        lambda i: F.get(F.col("_all"), F.floor(i * F.lit(CUT_POINTS) / slices).cast("int") - 1),
+        lambda i: F.get(F.col("_points"), F.floor(i * F.lit(CUT_POINTS) / slices).cast("int") - 1),
     )
     rows = (
         _null_safe(points, hot, keys, "inner")
         .groupBy(*keys, "_n")
-        .agg(F.percentile_approx("_at", grid, 20000).alias("_all"))
+        .agg(F.expr(f"percentile_approx(_at, array({grid}), {ACCURACY})").alias("_points"))
         .select(*keys, F.array_sort(F.array_distinct(thin)).alias("_cuts"))
         .collect()
     )
@@ -115,7 +116,7 @@ def hot_cuts(df: DataFrame, keys: list[str], at: Column, total: int | None = Non
         [T.StructField(k, points.schema[k].dataType) for k in keys]
         + [T.StructField("_cuts", T.ArrayType(T.ArrayType(at_type)))]
     )
-    return Cuts(df.sparkSession.createDataFrame(nested, shape), list(keys))
+    return Cuts(df.sparkSession.createDataFrame(nested, shape), total)
 
 
 def add_slice(df: DataFrame, keys: list[str], at: Column, cuts: Cuts) -> DataFrame:
@@ -157,13 +158,23 @@ def _windowed(
 
 
 def accumulate(
-    df: DataFrame, keys: list[str], at: str, tie: list[str], steps: list[Step], cuts: Cuts | None = None
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    tie: list[str],
+    steps: list[Step],
+    cuts: Cuts | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Add one column per step. ``at`` must be a whole number where a frame is ``earlier``."""
+    """Add one column per step. ``at`` must be a whole number where a frame is ``earlier``.
+
+    ``source`` may name a cheaper frame with the same rows to take the totals of the slices from.
+    """
     if cuts is None:
         return _windowed(df, keys, at, tie, steps)
 
     sliced = add_slice(df, keys, F.col(at), cuts)
+    counted = sliced if source is None else add_slice(source, keys, F.col(at), cuts)
     order = F.struct(F.col(at), *[F.col(t) for t in tie])
     parts = []
     for step in steps:
@@ -175,7 +186,7 @@ def accumulate(
             "next": F.min_by(value, order),
         }[step.kind]
         parts.append(agg.alias(f"_p_{step.name}"))
-    totals = sliced.where(F.col(SLICE) >= 0).groupBy(*keys, SLICE).agg(*parts)
+    totals = counted.where(F.col(SLICE) >= 0).groupBy(*keys, SLICE).agg(*parts)
     past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     future = Window.partitionBy(*keys).orderBy(SLICE)
     carried = []
@@ -208,18 +219,8 @@ def _typed_null(value: str) -> str:
     return f"CASE WHEN false THEN {value} END"
 
 
-def replay(
-    df: DataFrame, keys: list[str], at: str, tie: str, tracks: list[Track], cuts: Cuts | None = None
-) -> DataFrame:
-    """Run all tracks of one key over the table in time order; every row comes back once, with a column per track."""
-    tracks = list({t.name: t for t in tracks}.values())
-    columns = df.columns
-    work = df if cuts is not None else df.repartition(*keys)
-    for extra, step in {t.pre[1].name: t.pre for t in tracks if t.pre}.values():
-        pair = [*keys, extra]
-        pair_cuts = None if cuts is None else hot_cuts(work, pair, F.col(at))
-        work = accumulate(work, pair, at, [tie], [step], pair_cuts)
-
+def _events(work: DataFrame, keys: list[str], at: str, tie: str, tracks: list[Track], columns: list[str]) -> DataFrame:
+    """Every row at its own time, with ``columns`` as its payload, and its contributions at other times without one."""
     nulls = {t.name: _typed_null(t.here or t.later[0][2]) for t in tracks}
 
     def entry(when: str, tied: str, row: str, filled: dict[str, str]) -> str:
@@ -227,19 +228,45 @@ def replay(
         return f"named_struct('_at', {when}, '_tie', {tied}, '_row', {row}{values})"
 
     row = f"struct({', '.join(columns)})"
-    own = {t.name: t.here for t in tracks if t.here is not None}
-    entries = [entry(at, tie, row, own)]
+    entries = [entry(at, tie, row, {t.name: t.here for t in tracks if t.here is not None})]
     moments: dict[str, tuple[str, dict]] = {}
     for track in tracks:
         for label, when, value in track.later:
             moments.setdefault(label, (when, {}))[1][track.name] = value
     for when, filled in moments.values():
         entries.append(entry(when, _typed_null(tie), _typed_null(row), filled))
-
     flat = work.selectExpr(*keys, f"inline(array({', '.join(entries)}))")
-    flat = flat.where("_row IS NOT NULL OR _at IS NOT NULL")
+    return flat.where("_row IS NOT NULL OR _at IS NOT NULL")
+
+
+def replay(
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    tie: str,
+    tracks: list[Track],
+    cuts: Cuts | None = None,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Run all tracks of one key over the table in time order; every row comes back once, with a column per track.
+
+    Where ``df`` carries results of earlier replays, ``source`` is the table before them: statistics and slice totals
+    are taken from it, so that they do not run the earlier replays again.
+    """
+    tracks = list({t.name: t for t in tracks}.values())
     steps = [Step(t.name, f"_v_{t.name}", t.kind, t.frame) for t in tracks]
-    out = accumulate(flat, keys, "_at", ["_tie"], steps, cuts)
+    pre = {t.pre[1].name: t.pre for t in tracks if t.pre}.values()
+    base = df if source is None else source
+    work = df if cuts is not None else df.repartition(*keys)
+    for extra, step in pre:
+        pair = [*keys, extra]
+        pair_cuts = None if cuts is None else hot_cuts(base, pair, F.col(at), cuts.total)
+        work = accumulate(work, pair, at, [tie], [step], pair_cuts, source)
+        if cuts is not None and source is not None:
+            base = accumulate(base, pair, at, [tie], [step], pair_cuts)
+    flat = _events(work, keys, at, tie, tracks, df.columns)
+    counted = None if cuts is None or source is None else _events(base, keys, at, tie, tracks, [tie])
+    out = accumulate(flat, keys, "_at", ["_tie"], steps, cuts, counted)
     return out.where("_row IS NOT NULL").selectExpr("_row.*", *[t.name for t in tracks])
 
 
