@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -230,6 +231,28 @@ def add_history(df: DataFrame, names: list[str]) -> DataFrame:
     return work.select(*columns, *names)
 
 
+INPUTS = "transaction_id ts user_id merchant_id device_id ip_id country amount is_fraud chargeback_ts".split()
+
+
+def input_columns(names: list[str]) -> list[str]:
+    """Columns of the transaction table that the named history features read."""
+    used = {TIE, "ts"}
+    for name in names:
+        feature = HISTORY_FEATURES[name]
+        parts = [feature.key, feature.value]
+        for track in feature.tracks:
+            parts += [track.here or "", *[part for moment in track.later for part in moment[1:]]]
+            parts += [track.pre[0], track.pre[1].value] if track.pre else []
+        text = " ".join(parts)
+        used |= {c for c in INPUTS if re.search(rf"(?<!\w)_?{c.removesuffix('_ts')}(_us|_ts)?(?!\w)", text)}
+    return [c for c in INPUTS if c in used]
+
+
+def history_features(df: DataFrame, names: list[str]) -> DataFrame:
+    """Only the id and the named features, so that the scan reads no other columns."""
+    return add_history(df.select(*input_columns(names)), names).select(TIE, *names)
+
+
 def add_row_features(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({name: ROW_FEATURES[name](df) for name in names})
 

@@ -95,11 +95,13 @@ def hot_cuts(df: DataFrame, keys: list[str], at: Column, total: int | None = Non
     size = max(limit, total // MAX_HOT_KEYS)
     points = df.select(*keys, at.alias("_at"))
     hot = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-    grid = ", ".join(f"{i / CUT_POINTS}D" for i in range(1, CUT_POINTS))
-    slices = F.least(F.lit(CUT_POINTS), F.ceil(F.col("_n") / F.lit(size)).cast("int"))
+    # No key needs more slices than the whole table would.
+    fine = min(CUT_POINTS, 4 * -(-total // size))
+    grid = ", ".join(f"{i / fine}D" for i in range(1, fine))
+    slices = F.least(F.lit(fine), F.ceil(F.col("_n") / F.lit(size)).cast("int"))
     thin = F.transform(
         F.sequence(F.lit(1), slices - 1),
-        lambda i: F.get(F.col("_points"), F.floor(i * F.lit(CUT_POINTS) / slices).cast("int") - 1),
+        lambda i: F.get(F.col("_points"), F.floor(i * F.lit(fine) / slices).cast("int") - 1),
     )
     rows = (
         _null_safe(points, hot, keys, "inner")

@@ -44,14 +44,25 @@ def today(spark: SparkSession):
     return F.lit(TODAY).cast("timestamp_ntz")
 
 
-def history(spark: SparkSession, folder: str, names: list[str], base: DataFrame | None = None) -> DataFrame:
-    base = tx(spark, folder) if base is None else base
-    return rounded(features.add_history(base, names).select("transaction_id", *names))
+def history(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    return rounded(features.history_features(tx(spark, folder), names))
+
+
+def feature_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns that the 31 features read."""
+    return tx(spark, folder).select(*features.INPUTS[:-1])
+
+
+def score_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns that the rules and the evaluation of their scores read."""
+    return tx(spark, folder).select(
+        "transaction_id", "ts", "user_id", "device_id", "country", "mcc", "amount", "is_fraud"
+    )
 
 
 def champion(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions with the champion's rule score."""
-    return scoring.rule_inputs(tx(spark, folder)).withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
+    return scoring.rule_inputs(score_source(spark, folder)).withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
 
 
 def both_models(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +71,7 @@ def both_models(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("champion").alias("model"), scoring.rule_score(scoring.CHAMPION).alias("fraud_score")),
         F.struct(F.lit("challenger").alias("model"), scoring.rule_score(scoring.CHALLENGER).alias("fraud_score")),
     )
-    inputs = scoring.rule_inputs(tx(spark, folder))
+    inputs = scoring.rule_inputs(score_source(spark, folder))
     return inputs.select("transaction_id", "ts", "user_id", "country", "mcc", "amount", "is_fraud", F.inline(scores))
 
 
@@ -69,7 +80,7 @@ def sided_champion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sided_features(spark: SparkSession, folder: str) -> DataFrame:
-    full = features.all_features(tx(spark, folder), amount="full").select("transaction_id", "ts", *S.ALL_FEATURES)
+    full = features.all_features(feature_source(spark, folder), amount="full").select("transaction_id", "ts", *S.ALL_FEATURES)
     return rounded(splits.rowcount_split(full, source=tx(spark, folder)))
 
 
@@ -109,7 +120,8 @@ def scan_transactions(spark, folder):
 def write_features(spark, folder):
     """Write velocity features partitioned by day and read one column set back."""
     names = S.FEATURE_FAMILIES["velocity"]
-    out = features.add_history(tx(spark, folder), names).withColumn("day", F.to_date("ts"))
+    base = tx(spark, folder).select(*features.input_columns(names))
+    out = features.add_history(base, names).withColumn("day", F.to_date("ts"))
     path = shared_path(spark, "features")
     write_table(out.select("transaction_id", "day", *names), path, partition_by=["day"])
     return rounded(spark.read.parquet(path).select("transaction_id", "day", *names))
@@ -165,7 +177,8 @@ def device_risk_features(spark, folder):
 @query
 def geo_features(spark, folder):
     names = ["feat_country_change", "feat_unique_countries_user_7d"]
-    out = features.add_row_features(features.add_history(tx(spark, folder), names), ["feat_is_high_risk_country"])
+    base = tx(spark, folder).select(*features.input_columns(names))
+    out = features.add_row_features(features.add_history(base, names), ["feat_is_high_risk_country"])
     return out.select("transaction_id", *names, "feat_is_high_risk_country")
 
 
@@ -224,13 +237,13 @@ def amount_zscore_full(spark, folder):
 
 @query
 def amount_percentile_full(spark, folder):
-    out = features.add_full_table_percentile(tx(spark, folder))
+    out = features.add_full_table_percentile(tx(spark, folder).select("transaction_id", "user_id", "amount"))
     return rounded(out.select("transaction_id", "feat_amount_percentile_user"))
 
 
 @query
 def amount_percentile_pit(spark, folder):
-    out = features.add_past_percentile(tx(spark, folder))
+    out = features.add_past_percentile(tx(spark, folder).select("transaction_id", "ts", "user_id", "amount"))
     return rounded(out.select("transaction_id", "feat_amount_percentile_user"))
 
 
@@ -258,19 +271,20 @@ def temporal_features(spark, folder):
 
 @query
 def all_features(spark, folder):
-    return rounded(features.all_features(tx(spark, folder)).select("transaction_id", *S.ALL_FEATURES))
+    return rounded(features.all_features(feature_source(spark, folder)).select("transaction_id", *S.ALL_FEATURES))
 
 
 @query
 def all_features_full_table(spark, folder):
-    out = features.all_features(tx(spark, folder), amount="full")
+    out = features.all_features(feature_source(spark, folder), amount="full")
     return rounded(out.select("transaction_id", *S.ALL_FEATURES))
 
 
 @query
 def feature_matrix(spark, folder):
     names = ["feat_amount_vs_user_avg", "feat_hour_sin", "feat_tx_count_user_24h"]
-    out = features.add_full_table_zscore(tx(spark, folder), "user_id", "feat_amount_vs_user_avg")
+    base = tx(spark, folder).select("transaction_id", "ts", "user_id", "amount")
+    out = features.add_full_table_zscore(base, "user_id", "feat_amount_vs_user_avg")
     out = features.add_history(out, ["feat_tx_count_user_24h"])
     out = features.add_row_features(out, ["feat_hour_sin"])
     return rounded(quality.feature_matrix(out.select("transaction_id", *names)))
@@ -325,7 +339,7 @@ def null_census(spark, folder):
 
 @query
 def feature_catalog(spark, folder):
-    return quality.feature_catalog(features.all_features(tx(spark, folder), amount="full"))
+    return quality.feature_catalog(features.all_features(feature_source(spark, folder), amount="full"))
 
 
 @query
@@ -668,7 +682,7 @@ def api_summary_json(spark, folder):
 
 
 def model_input(spark, folder):
-    return training.prepare(features.all_features(tx(spark, folder)).select(*training.KEPT, *S.ALL_FEATURES))
+    return training.prepare(features.all_features(feature_source(spark, folder)).select(*training.KEPT, *S.ALL_FEATURES))
 
 
 # Rounds of the registered tree queries; the library default is the full number.
