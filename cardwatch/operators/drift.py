@@ -54,7 +54,8 @@ def psi_from_counts(counts: DataFrame, bins: int = 10) -> DataFrame:
     sized = _side_totals(counts).join(breaks, "feature")
     usable = (F.size("edges") > 1) & (F.col("total_base") > 0) & (F.col("total_prod") > 0)
     value, edges = F.col("value"), F.col("edges")
-    below = F.size(F.filter(edges, lambda e: e <= value))
+    # The edges of a feature number bins + 1 at most; equal ones have been merged.
+    below = sum((F.when(value >= F.get(edges, F.lit(i)), F.lit(1)).otherwise(F.lit(0)) for i in range(bins + 1)), F.lit(0))
     bin_of = F.when(value == F.element_at(edges, -1), F.size(edges) - 1).otherwise(below)
     inside = (value >= F.element_at(edges, 1)) & (value <= F.element_at(edges, -1))
     filled = (

@@ -45,23 +45,26 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: list[fl
     keys = by or [EVERYTHING]
     filled = counts.where(F.col(weight) > 0)
     ranked = with_totals(running(filled, by, value, [weight]), filled, by, [weight])
-    first = F.col(f"cum_{weight}")
-    last = first + F.col(weight)
-    size = F.col(f"total_{weight}")
+    ranked = ranked.selectExpr(
+        *keys, value, f"cum_{weight} AS _first", f"cum_{weight} + {weight} AS _last", f"total_{weight} - 1 AS _top"
+    )
+    # Few rows hold a wanted rank; plain comparisons, which compile, find them before any array is built.
+    places = [f"floor({float(p)!r}D * _top)" for p in probs]
+    holds = " OR ".join(f"(_first <= least({at} + 1, _top) AND {at} < _last)" for at in places)
 
     def wanted(p: Column) -> Column:
-        place = p * (size - 1)
+        place = p * F.col("_top")
         low = F.floor(place)
-        high = F.least(low + 1, size - 1)
+        high = F.least(low + 1, F.col("_top"))
         return F.struct(
             p.alias("prob"),
             (place - low).alias("part"),
-            ((low >= first) & (low < last)).alias("is_low"),
-            ((high >= first) & (high < last)).alias("is_high"),
+            ((low >= F.col("_first")) & (low < F.col("_last"))).alias("is_low"),
+            ((high >= F.col("_first")) & (high < F.col("_last"))).alias("is_high"),
         )
 
     grid = F.array(*[F.lit(float(p)) for p in probs])
-    hits = ranked.select(
+    hits = ranked.where(holds).select(
         *keys, value, F.explode(F.filter(F.transform(grid, wanted), lambda w: w["is_low"] | w["is_high"])).alias("w")
     )
     ends = hits.groupBy(*keys, F.col("w.prob").alias("prob")).agg(
