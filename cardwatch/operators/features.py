@@ -19,16 +19,8 @@ from cardwatch.functions.expressions import (
     flag,
     is_high_risk_country,
 )
-from cardwatch.operators.timeline import (
-    Cuts,
-    Step,
-    Track,
-    accumulate,
-    hot_cuts,
-    replay,
-    sliding_distinct,
-    sliding_sum,
-)
+from cardwatch.operators.timeline import Step, Track, accumulate, hot_cuts, replay, sliding_distinct, sliding_sum
+from cardwatch.sources.session import materialize
 
 TIE = "transaction_id"
 US = "_us"
@@ -209,19 +201,27 @@ ROW_FEATURES: dict[str, Callable[[DataFrame], Column]] = {
 }
 
 
-def add_history(df: DataFrame, names: list[str]) -> DataFrame:
-    """Add point-in-time features; features of the same key share its shuffle, sort and windows."""
+def add_history(df: DataFrame, names: list[str], source: DataFrame | None = None) -> DataFrame:
+    """Add point-in-time features; features of the same key share its shuffle, sort and windows.
+
+    ``source`` may name a cheaper frame with the same rows; row counts and the slices of hot keys are taken from it.
+    """
     columns = df.columns
     by_key: dict[str, list[str]] = {}
     for name in names:
         by_key.setdefault(HISTORY_FEATURES[name].key, []).append(name)
     kept = [*columns, US]
-    work = df.withColumn(US, epoch_micros(df, "ts"))
-    if any(name.endswith("label_aware") for name in names):
-        work = work.withColumn("_chargeback_us", epoch_micros(df, "chargeback_ts"))
+    source = df if source is None else source
+    aware = any(name.endswith("label_aware") for name in names)
+
+    def timed(frame: DataFrame) -> DataFrame:
+        out = frame.withColumn(US, epoch_micros(frame, "ts"))
+        return out.withColumn("_chargeback_us", epoch_micros(frame, "chargeback_ts")) if aware else out
+
+    work, base = timed(df), timed(source)
+    if aware:
         kept.append("_chargeback_us")
-    base = work
-    total = df.count()
+    total = source.count()
     cuts = {key: hot_cuts(base, [key], F.col(US), total) for key in by_key}
     for key, wanted in by_key.items():
         tracks = [t for name in wanted for t in HISTORY_FEATURES[name].tracks]
@@ -278,12 +278,19 @@ def add_full_table_zscore(df: DataFrame, key: str, name: str) -> DataFrame:
     return joined.withColumn(name, value).select(*df.columns, name)
 
 
-def add_full_table_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_amount_percentile_user") -> DataFrame:
+def add_full_table_percentile(
+    df: DataFrame,
+    key: str = "user_id",
+    name: str = "feat_amount_percentile_user",
+    source: DataFrame | None = None,
+) -> DataFrame:
     """Average rank of the amount among all rows of its key, as a share of the rows.
 
     Equal amounts are counted once per (key, amount) first, so only distinct amounts are ordered.
     """
-    counts = df.where(F.col("amount").isNotNull()).groupBy(key, "amount").agg(F.count(F.lit(1)).alias("_peers"))
+    source = df if source is None else source
+    counts = source.where(F.col("amount").isNotNull()).groupBy(key, "amount").agg(F.count(F.lit(1)).alias("_peers"))
+    counts = materialize(counts)
     sizes = counts.groupBy(key).agg(F.sum("_peers").alias("_n"))
     cuts = hot_cuts(counts, [key], F.col("amount"))
     ranked = accumulate(counts, [key], "amount", [], [Step("_below", "_peers")], cuts)
@@ -299,44 +306,43 @@ def add_full_table_percentile(df: DataFrame, key: str = "user_id", name: str = "
 DIGIT_BITS = 3
 
 
-def add_past_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_amount_percentile_user") -> DataFrame:
-    """Average rank of the amount among the rows of its key up to and including itself; 0.5 for the first row.
+def past_percentile(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(transaction_id, name): average rank of the amount among the rows of its key up to and including itself.
 
     Counting earlier smaller amounts is done digit by digit: an amount is smaller than another if they agree on the
     leading digits and its next digit is smaller. Each row therefore appears once per digit, in the history of
     (key, level, leading digits), and adds the earlier rows there whose digit is smaller. No pair of rows is formed.
     """
-    work = df.withColumn("_us", epoch_micros(df, "ts")).withColumn("_cents", cents(F.col("amount")))
-    bounds = work.agg(F.min("_cents").alias("lo"), F.max("_cents").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    work = df.select(key, epoch_micros(df, "ts").alias(US), TIE, cents(F.col("amount")).alias("_cents"))
+    bounds = work.agg(F.min("_cents").alias("lo"), F.max("_cents").alias("hi"), F.count("_cents").alias("n")).first()
     low = bounds.lo or 0
     levels = max(1, -(-((bounds.hi or 0) - low).bit_length() // DIGIT_BITS))
     radix = 1 << DIGIT_BITS
-    offset = F.col("_cents") - F.lit(low)
-    rows = work.select(key, "_us", TIE, offset.alias("_v"))
-    digits = rows.where("_v IS NOT NULL").selectExpr("*", f"explode(sequence(0, {levels - 1})) AS _level")
-    digits = digits.selectExpr(
+    rows = work.where("_cents IS NOT NULL").selectExpr(
+        key, US, TIE, f"_cents - {low} AS _v", f"explode(sequence(0, {levels - 1})) AS _level"
+    )
+    digits = rows.selectExpr(
         "*",
         f"shiftright(_v, (_level + 1) * {DIGIT_BITS}) AS _lead",
         f"CAST(shiftright(_v, _level * {DIGIT_BITS}) & {radix - 1} AS INT) AS _digit",
     )
     group = [key, "_level", "_lead"]
     steps = [Step(f"_d{d}", f"CASE WHEN _digit = {d} THEN 1 END") for d in range(radix)]
-    # On the lowest level an equal digit means an equal amount.
     counted = accumulate(digits, group, US, [TIE], steps, hot_cuts(digits, group, F.col(US), bounds.n * levels))
     smaller = " + ".join(f"CASE WHEN _digit > {d} THEN _d{d} ELSE 0 END" for d in range(radix))
+    # On the lowest level an equal digit means an equal amount; on the highest all rows of the key are together.
     same = "CASE WHEN _level = 0 THEN element_at(array(" + ", ".join(f"_d{d}" for d in range(radix)) + "), _digit + 1) END"
-    ranks = (
-        counted.selectExpr(f"{TIE} AS _id", f"{smaller} AS _smaller", f"{same} AS _same")
-        .groupBy("_id")
-        .agg(F.sum("_smaller").alias("_smaller"), F.sum("_same").alias("_same"))
-    )
-    known = Track("_past_amounts", here="CASE WHEN amount IS NOT NULL THEN 1 END")
-    numbered = replay(work, [key], US, TIE, [known], hot_cuts(work, [key], F.col(US), bounds.n))
-    joined = numbered.join(ranks, numbered[TIE] == ranks["_id"], "left")
-    past = F.col("_past_amounts").cast("double")
-    rank = F.col("_smaller") + (F.col("_same") + 2) / F.lit(2.0)
-    value = F.when(F.col("amount").isNull(), F.lit(None)).when(past == 0, F.lit(0.5)).otherwise(rank / (past + 1))
-    return joined.withColumn(name, value).select(*df.columns, name)
+    past = f"CASE WHEN _level = {levels - 1} THEN " + " + ".join(f"_d{d}" for d in range(radix)) + " END"
+    sums = counted.selectExpr(TIE, f"{smaller} AS smaller", f"{same} AS same", f"{past} AS past").groupBy(TIE)
+    ranks = sums.agg(*[F.sum(c).alias(c) for c in ("smaller", "same", "past")])
+    value = "CASE WHEN past = 0 THEN 0.5D ELSE (smaller + (same + 2) / 2D) / (past + 1D) END"
+    return ranks.selectExpr(TIE, f"{value} AS {name}")
+
+
+def add_past_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_amount_percentile_user") -> DataFrame:
+    """Add :func:`past_percentile`; the first row of a key has 0.5."""
+    ranks = past_percentile(df, key, name).withColumnRenamed(TIE, "_id")
+    return df.join(ranks, df[TIE] == ranks["_id"], "left").select(*df.columns, name)
 
 
 def latest_history(df: DataFrame, key: str, fields: list[str], ttl_days: int = 7) -> DataFrame:
@@ -358,16 +364,14 @@ def all_features(df: DataFrame, amount: str = "past") -> DataFrame:
     whole table, later rows included.
     """
     history = [n for n in S.ALL_FEATURES if n in HISTORY_FEATURES]
+    # Joins come first, while the rows are narrow.
     if amount == "full":
         history = [n for n in history if n not in S.FEATURE_FAMILIES["amount"]]
-    out = add_history(df, history)
-    if amount == "full":
-        out = add_full_table_zscore(out, "user_id", "feat_amount_vs_user_avg")
+        out = add_full_table_zscore(df, "user_id", "feat_amount_vs_user_avg")
         out = add_full_table_zscore(out, "merchant_id", "feat_amount_vs_merchant_avg")
-        percentile = add_full_table_percentile(df.select("user_id", "amount", TIE))
+        out = add_full_table_percentile(out, source=df)
     else:
-        percentile = add_past_percentile(df.select("user_id", "amount", "ts", TIE))
-    percentile = percentile.select(F.col(TIE).alias("_id"), "feat_amount_percentile_user")
-    out = out.join(percentile, out[TIE] == percentile["_id"], "left").drop("_id")
+        out = add_past_percentile(df)
+    out = add_history(out, history, df)
     out = add_row_features(out, [n for n in S.ALL_FEATURES if n in ROW_FEATURES])
     return out.select(*df.columns, *S.ALL_FEATURES)
