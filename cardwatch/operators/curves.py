@@ -56,11 +56,13 @@ def ks_counts(df: DataFrame, value: str) -> DataFrame:
     return value_counts(df, [], value, sides)
 
 
-def ks_from_counts(counts: DataFrame, value: str) -> DataFrame:
-    """Largest distance of the two distribution functions and its asymptotic p-value (Kolmogorov series)."""
-    ranked = with_totals(running(counts, [], value, ["base", "prod"], "upto"), counts, [], ["base", "prod"])
+def ks_from_counts(counts: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Largest distance of the two distribution functions and its asymptotic p-value (Kolmogorov series), per group."""
+    by = by or []
+    keys = by or [EVERYTHING]
+    ranked = with_totals(running(counts, by, value, ["base", "prod"], "upto"), counts, by, ["base", "prod"])
     gap = F.abs(ratio(F.col("cum_base"), F.col("total_base")) - ratio(F.col("cum_prod"), F.col("total_prod")))
-    stats = ranked.groupBy(EVERYTHING).agg(
+    stats = ranked.groupBy(*keys).agg(
         F.max(gap).alias("ks_statistic"), F.max("total_base").alias("n1"), F.max("total_prod").alias("n2")
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -72,7 +74,7 @@ def ks_from_counts(counts: DataFrame, value: str) -> DataFrame:
         lambda total, k: total + F.when(k % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(exponent * k * k),
     )
     p = F.when(exponent > -0.1, F.lit(1.0)).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0)))
-    return stats.select(EVERYTHING, "ks_statistic", p.alias("ks_pvalue"))
+    return stats.select(*keys, "ks_statistic", p.alias("ks_pvalue"))
 
 
 def ks_two_sample(df: DataFrame, value: str) -> DataFrame:

@@ -132,8 +132,7 @@ def status_counts(report: DataFrame) -> DataFrame:
 def score_drift(df: DataFrame, score: str = "fraud_score") -> DataFrame:
     """Drift of one score column between the sides: 20-bin stability, mean shift, KS and a status."""
     counts = side_counts(df.select("side", score), [score])
-    single = counts.withColumn(EVERYTHING, F.lit(0))
-    ks = ks_from_counts(single, "value").withColumn("feature", F.lit(score)).drop(EVERYTHING)
+    ks = ks_from_counts(counts, "value", ["feature"])
     joined = psi_from_counts(counts, 20).join(side_moments(counts), "feature").join(ks, "feature")
     shift = (F.col("production_mean") - F.col("baseline_mean")) / F.col("baseline_mean") * 100
     shifted = joined.withColumn("mean_shift_percent", shift)

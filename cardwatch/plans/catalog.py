@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# One division of whole microseconds: the same double everywhere, and often half way between two rounded values.
-EXACT = {"feat_time_since_last_tx_mins", "time_since_last_transaction", "history_age_mins"}
+# One division of whole numbers: the same double everywhere, and often half way between two rounded values.
+EXACT = re.compile("feat_time_since_last_tx_mins|time_since_last_transaction|history_age_mins|.*_fraud_rate_.*")
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round doubles for comparison across engines."""
-    inexact = {f.name for f in df.schema if f.dataType.typeName() == "double"} - EXACT
+    inexact = {f.name for f in df.schema if f.dataType.typeName() == "double" and not EXACT.fullmatch(f.name)}
     return df.select(*[F.round(c, digits).alias(c) if c in inexact else F.col(c) for c in df.columns])
 
 

@@ -74,7 +74,7 @@ FROM tx t LEFT JOIN (SELECT transaction_id, -sum(p * log2(p)) AS h FROM shares G
 def past_rate(key: str, extra: int) -> str:
     frame = f"(PARTITION BY {key} ORDER BY ts, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     bottom = f"NULLIF(count(*) OVER {frame} + {extra}, 0)"
-    return r(f"COALESCE({d(f'sum(is_fraud) OVER {frame}')} / {bottom}, 0)")
+    return d(f"COALESCE({d(f'sum(is_fraud) OVER {frame}')} / {bottom}, 0)")
 
 
 RISK = f"""risk AS (SELECT transaction_id,
@@ -89,7 +89,7 @@ FROM tx a LEFT JOIN tx b ON a.{key} = b.{key} AND b.is_fraud = 1 AND b.chargebac
 {alias}_past AS (SELECT transaction_id, count(*) OVER (PARTITION BY {key} ORDER BY ts, transaction_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM tx),
 {alias}_rate AS (SELECT transaction_id,
-  {r("COALESCE(" + d("known") + " / NULLIF(past, 0), 0)")} AS {alias}_fraud_rate_label_aware
+  {d("COALESCE(" + d("known") + " / NULLIF(past, 0), 0)")} AS {alias}_fraud_rate_label_aware
 FROM {alias}_known JOIN {alias}_past USING (transaction_id))"""
 
 
@@ -163,7 +163,7 @@ RULE_INPUTS = [
 FROM tx JOIN velocity USING (transaction_id) JOIN feat_unique_users_per_device_24h_cte USING (transaction_id)
 JOIN changes USING (transaction_id) JOIN row_features USING (transaction_id)
 JOIN (SELECT transaction_id, """
-    + past_rate("device_id", 0).replace(", 6)", ", 12)")
+    + past_rate("device_id", 0)
     + """ AS rate FROM tx) d USING (transaction_id))""",
 ]
 SCORED = [*RULE_INPUTS, f"scored AS (SELECT *, {rule_score(scoring.CHAMPION)} AS fraud_score FROM inputs)"]

@@ -31,6 +31,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def enable_checkpoints(spark: SparkSession) -> None:
+    """Let long iterations of Spark ML cut their lineage in the shared folder; a folder already set is kept."""
+    root = checkpoint_root(spark)
+    if root is not None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Store a frame that several jobs read as a table in the shared folder.
 
