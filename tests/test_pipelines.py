@@ -11,7 +11,7 @@ from conftest import SMALL
 
 from cardwatch import schema as S
 from cardwatch.operators import features, quality, retrain, scoring
-from cardwatch.plans import catalog, monitor, training
+from cardwatch.plans import catalog, monitor
 from cardwatch.sources import session, transactions
 from cardwatch.streaming import jobs, velocity
 
