@@ -3,9 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardwatch.llm.decontaminate import find_items
+from cardwatch.llm.html import extract_main_text
 from cardwatch.llm.lines import drop_repeated_lines
+from cardwatch.llm.near_duplicates import near_duplicate_groups
+from cardwatch.llm.pieces import SPACE, decode, encode
+from cardwatch.llm.resampling import log_ratios, resample
 from cardwatch.llm.secrets import BASE, as_text, scan_secrets
 from cardwatch.llm.token_counts import count_tokens
+from cardwatch.llm.top_k import exact_top_k, usable
+from cardwatch.llm.toxicity import add_severity, fit_severity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +25,24 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_items(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.distance")
+
+
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = decode(encode(docs, model), model, into="decoded")
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = count_tokens(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -43,13 +68,56 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit_severity(docs, table(spark, folder, "labels"))
+    return add_severity(docs, model).select("doc_id", "expected_severity", "toxic")
+
+
+def op8_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return resample(docs, log_ratios(docs, good))
+
+
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return exact_top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_decontamination": op2_decontamination,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_resampling": op8_quality_resampling,
+    "op9_top_k": op9_top_k,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES = {
+    "op9_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scored
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+    """,
     "op5_line_dedup": r"""
         WITH parts AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
