@@ -39,8 +39,9 @@ def without_zone(instant: Column) -> Column:
 
 
 def cents(amount: Column) -> Column:
-    """Whole cents, so that sums are exact and windows can add and take away without residue."""
-    return F.round(amount * 100).cast("long")
+    """Whole cents, so that sums are exact and windows can add and take away without residue; null for NaN and
+    infinities."""
+    return F.round(amount * 100).try_cast("long")
 
 
 def ratio(top: Column, bottom: Column, otherwise: float | None = 0.0) -> Column:

@@ -84,15 +84,20 @@ def categorical_psi(counts: DataFrame) -> DataFrame:
 
 
 def side_moments(counts: DataFrame) -> DataFrame:
-    """Mean and population deviation per feature and side."""
+    """Mean and population deviation per feature and side, null for a side without rows.
 
-    def moments(side: str, label: str) -> list[Column]:
-        n, v = F.col(side).cast("double"), F.col("value")
-        size, total, squares = F.sum(n), F.sum(n * v), F.sum(n * v * v)
-        mean = total / size
-        return [mean.alias(f"{label}_mean"), F.sqrt(F.greatest(squares / size - mean * mean, F.lit(0.0))).alias(f"{label}_std")]
-
-    return counts.groupBy("feature").agg(*moments("base", "baseline"), *moments("prod", "production"))
+    Deviations are summed around the mean in a second pass over the stored counts, so that large values lose no digits.
+    """
+    sides = {"base": "baseline", "prod": "production"}
+    v = F.col("value")
+    means = counts.groupBy("feature").agg(
+        *[ratio(F.sum(F.col(s) * v), F.sum(s), None).alias(f"{label}_mean") for s, label in sides.items()]
+    )
+    spread = [
+        F.sqrt(ratio(F.sum(F.col(s) * (v - F.col(f"{label}_mean")) ** 2), F.sum(s), None)).alias(f"{label}_std")
+        for s, label in sides.items()
+    ]
+    return counts.join(means, "feature").groupBy("feature", "baseline_mean", "production_mean").agg(*spread)
 
 
 def feature_drift(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
@@ -134,9 +139,11 @@ def score_drift(df: DataFrame, score: str = "fraud_score") -> DataFrame:
     counts = side_counts(df.select("side", score), [score])
     ks = ks_from_counts(counts, "value", ["feature"])
     joined = psi_from_counts(counts, 20).join(side_moments(counts), "feature").join(ks, "feature")
-    shift = (F.col("production_mean") - F.col("baseline_mean")) / F.col("baseline_mean") * 100
-    shifted = joined.withColumn("mean_shift_percent", shift)
-    psi, size = F.col("psi"), F.abs("mean_shift_percent")
+    # From a mean of 0 there is no percentage: null, which counts as no shift at 0 again and as a full one otherwise.
+    base, prod = F.col("baseline_mean"), F.col("production_mean")
+    shifted = joined.withColumn("mean_shift_percent", ratio(prod - base, base, None) * 100)
+    psi = F.col("psi")
+    size = F.coalesce(F.abs("mean_shift_percent"), F.when(base != prod, F.lit(100.0)), F.lit(0.0))
     stable = (psi < S.PSI_MODERATE) & (size < 10)
     moderate = (psi < S.PSI_SIGNIFICANT) | (size < 20)
     status = F.when(stable, F.lit("Stable")).when(moderate, F.lit("Moderate drift")).otherwise(F.lit("Significant drift"))

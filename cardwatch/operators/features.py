@@ -24,7 +24,7 @@ from cardwatch.sources.session import materialize
 
 TIE = "transaction_id"
 US = "_us"
-CENTS = "CAST(round(amount * 100) AS BIGINT)"
+CENTS = "TRY_CAST(round(amount * 100) AS BIGINT)"
 
 
 @dataclass(frozen=True)
@@ -68,14 +68,14 @@ def _first_time(key: str) -> Track:
 
 
 def _distinct(key: str, column: str, width: int) -> Track:
-    return sliding_distinct(f"_{key}_{column}_{width // HOUR_US}h", US, column, width)
+    return sliding_distinct(f"_{key}_{column}_{width // HOUR_US}h", US, column, width, f"{key}_id")
 
 
 def _moments(key: str) -> list[Track]:
     return [
         Track(f"_{key}_past", here="1"),
-        Track(f"_{key}_sum", here="amount"),
-        Track(f"_{key}_squares", here="amount * amount"),
+        Track(f"_{key}_sum", here=CENTS),
+        Track(f"_{key}_squares", here=f"CAST({CENTS} AS DECIMAL(19, 0)) * CAST({CENTS} AS DECIMAL(18, 0))"),
     ]
 
 
@@ -114,10 +114,16 @@ def _past_rate(key: str, extra: int = 0) -> str:
 
 
 def _past_zscore(key: str) -> str:
-    """(amount - past mean) / (past sample deviation + 1), 0 with fewer than two past rows."""
+    """(amount - past mean) / (past sample deviation + 1), 0 with fewer than two past rows.
+
+    The sums are whole numbers of cents and of cents squared, so that no digits cancel before the only division.
+    """
     n, total, squares = (f"_{key}_{part}" for part in ("past", "sum", "squares"))
-    variance = f"greatest(({squares} - {total} * {total} / {n}) / ({n} - 1), 0D)"
-    return f"CASE WHEN {n} >= 2 THEN (amount - {total} / {n}) / (sqrt({variance}) + 1) ELSE 0D END"
+    whole = f"CAST({total} AS DECIMAL(19, 0))"
+    top = f"CAST(CAST({n} AS DECIMAL(18, 0)) * {squares} - {whole} * CAST({total} AS DECIMAL(18, 0)) AS DOUBLE)"
+    variance = f"greatest({top} / {n} / ({n} - 1) / 10000D, 0D)"
+    mean = f"{total} / 100D / {n}"
+    return f"CASE WHEN {n} >= 2 THEN (amount - {mean}) / (sqrt({variance}) + 1) ELSE 0D END"
 
 
 _ENTITIES = {"user": "user_id", "merchant": "merchant_id", "device": "device_id"}

@@ -23,7 +23,8 @@ def feature_matrix(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def request_errors() -> Column:
     checks = [F.when(F.col(c).isNull(), F.lit(f"{c} is required")) for c in REQUIRED]
-    checks.append(F.when(F.col("amount") <= 0, F.lit("amount must be greater than 0")))
+    # NaN is greater than every number here, but not greater than 0.
+    checks.append(F.when((F.col("amount") <= 0) | F.isnan("amount"), F.lit("amount must be greater than 0")))
     checks.append(F.when(F.length("country") != 2, F.lit("country must have 2 letters")))
     return F.array_compact(F.array(*checks))
 

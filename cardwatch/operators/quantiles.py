@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardwatch.operators.timeline import Step, accumulate, hot_cuts
 from cardwatch.sources.session import materialize
 
 EVERYTHING = "_all"
-SMALL = 100_000
 BUCKETS = 1024
 
 
@@ -37,7 +37,7 @@ def totals(counts: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 def with_totals(df: DataFrame, counts: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """Totals of each group beside its rows. Groups are named columns or the whole table, so their table is short."""
     keys = by or [EVERYTHING]
-    return df.join(F.broadcast(totals(counts, by, names)), keys)
+    return df.join(totals(counts, by, names), keys)
 
 
 def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: list[float], weight: str = "n") -> DataFrame:
@@ -77,25 +77,60 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: list[fl
 
 
 def row_at_rank(df: DataFrame, at: Column, tie: Column, rank: int):
-    """(at, tie) of the row with ``rank`` rows before it, found by narrowing a histogram of ``at``.
+    """(at, tie) of the row with ``rank`` rows before it in their order, whatever the size of the table.
 
-    Each round reads one column and brings back at most BUCKETS counts; the table itself is never sorted.
+    Whole numbers are found by narrowing a histogram, texts by adding to a prefix: first ``at``, then ``tie`` among
+    the rows with that value. Each round reads one column and brings back at most BUCKETS counts (one per next
+    character for texts); the table is never sorted.
     """
     points = df.select(at.alias("at"), tie.alias("tie")).where(F.col("at").isNotNull())
+    found = {}
+    for name in ("at", "tie"):
+        text = isinstance(points.schema[name].dataType, T.StringType)
+        place = (_text_at_rank if text else _number_at_rank)(points.select(name), name, rank)
+        if place is None:
+            return None
+        found[name], rank = place
+        points = points.where(F.col(name).eqNullSafe(F.lit(found[name])))
+    return found
+
+
+def _pick(counts: list, rank: int):
+    """The (value, rank within it) of the ``rank``th row, from ordered (value, rows)."""
+    for value, n in counts:
+        if rank < n:
+            return value, rank
+        rank -= n
+    return None
+
+
+def _number_at_rank(points: DataFrame, name: str, rank: int):
+    span = points.agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if rank >= span.n:
+        return None
+    low, high = span.lo, span.hi
+    while low is not None and low < high:
+        width = (high - low) // BUCKETS + 1
+        bucket = F.floor((F.col(name) - F.lit(low)) / F.lit(width)).cast("int")
+        inside = points.where(F.col(name).between(low, high))
+        counts = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+        b, rank = _pick(counts, rank)
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+    return low, rank
+
+
+def _text_at_rank(points: DataFrame, name: str, rank: int):
+    prefix = ""
     while True:
-        span = points.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        if rank >= span.n:
+        here = F.when(F.col(name).startswith(prefix), F.substring(name, len(prefix) + 1, 1))
+        counts = points.where(F.col(name).startswith(prefix)).groupBy(here.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        picked = _pick(counts.orderBy("c").collect(), rank)
+        if picked is None:
             return None
-        width = (span.hi - span.lo) // BUCKETS + 1
-        if span.n <= SMALL or span.hi == span.lo:
-            return points.orderBy("at", "tie").offset(rank).limit(1).first()
-        bucket = F.floor((F.col("at") - F.lit(span.lo)) / F.lit(width)).cast("int")
-        found = {r.b: r.n for r in points.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        for b in sorted(found):
-            if rank < found[b]:
-                break
-            rank -= found[b]
-        points = points.where(F.col("at").between(span.lo + b * width, span.lo + (b + 1) * width - 1))
+        step, rank = picked
+        if not step:  # the rows that end here
+            return prefix, rank
+        prefix += step
 
 
 def bucket_of(value: Column, edges: list[float]) -> Column:

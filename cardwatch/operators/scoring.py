@@ -80,16 +80,40 @@ def decision_distribution(df: DataFrame) -> DataFrame:
     )
 
 
-def with_history_defaults(df: DataFrame, history: DataFrame | None = None, key: str = "user_id") -> DataFrame:
-    """Features of a request from stored history, with a fixed value where the store has none.
-
-    Without a store every history feature is its default, which is what the service computes when the store is down.
+def history_stores(df: DataFrame, until: Column, days: int = 7) -> dict[str, DataFrame]:
+    """Figures of users, merchants and devices over the ``days`` days before ``until``, one short-lived store each."""
+    week = df.where((F.col("ts") < until) & (F.col("ts") >= until - F.make_dt_interval(F.lit(days))))
+    amounts = {
+        entity: [F.avg("amount").alias(f"{entity}_avg_amount"), F.stddev_samp("amount").alias(f"{entity}_std_amount")]
+        for entity in ("user", "merchant")
+    }
+    countries = F.count_distinct("country")
+    rate = F.avg("is_fraud")
+    return {
+        "user_id": week.where("user_id IS NOT NULL").groupBy("user_id").agg(
+            *amounts["user"],
+            countries.alias("feat_unique_countries_user_7d"),
+            rate.alias("feat_user_fraud_rate_historical"),
+        ),
+        "merchant_id": week.where("merchant_id IS NOT NULL").groupBy("merchant_id").agg(
+            *amounts["merchant"], rate.alias("feat_merchant_fraud_rate_historical")
+        ),
+        "device_id": week.where("device_id IS NOT NULL").groupBy("device_id").agg(
+            countries.alias("feat_unique_countries_per_device_7d"), rate.alias("feat_device_fraud_rate_historical")
+        ),
+    }
+
+
+def with_history_defaults(df: DataFrame, stores: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Features of a request from stores by key, with a fixed value where they have none.
+
+    Without stores every history feature is its default, which is what the service computes when the store is down.
     """
     work = df
     stored: set[str] = set()
-    if history is not None:
-        stored = set(history.columns) - {key}
-        work = df.join(history.withColumnRenamed(key, "_key"), df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+    for key, history in (stores or {}).items():
+        stored |= set(history.columns) - {key}
+        work = work.join(history.withColumnRenamed(key, "_key"), work[key] == F.col("_key"), "left").drop("_key")
 
     def value(name: str, otherwise: Column) -> Column:
         return F.coalesce(F.col(name), otherwise) if name in stored else otherwise

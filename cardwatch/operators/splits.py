@@ -50,9 +50,13 @@ def _before(df: DataFrame, border) -> Column:
 
 def training_window(df: DataFrame, today, days: int = 90, label_lag_days: int = 7) -> DataFrame:
     """Rows of the last ``days`` days without the last ``label_lag_days``, whose labels are still incomplete."""
+    return df.where(in_training_window(today, days, label_lag_days))
+
+
+def in_training_window(today, days: int = 90, label_lag_days: int = 7) -> Column:
     start = F.lit(today) - F.make_dt_interval(F.lit(days))
     end = F.lit(today) - F.make_dt_interval(F.lit(label_lag_days))
-    return df.where((F.col("ts") >= start) & (F.col("ts") <= end))
+    return (F.col("ts") >= start) & (F.col("ts") <= end)
 
 
 def deterministic_sample(df: DataFrame, size: int, seed: int = 42) -> DataFrame:

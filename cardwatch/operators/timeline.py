@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 SLICE_ROWS_CONF = "spark.cardwatch.sliceRows"
 DEFAULT_SLICE_ROWS = 5_000_000
-MAX_HOT_KEYS = 16384
 CUT_POINTS = 16384
 ACCURACY = 50_000
 FAN = 64
@@ -61,7 +60,7 @@ class Track:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Slice borders of the hot keys: one row per hot key, at most MAX_HOT_KEYS rows. ``total`` counts the table."""
+    """Slice borders of the hot keys, fewer than twice the number of slices of the table. ``total`` counts the table."""
 
     table: DataFrame
     total: int
@@ -84,15 +83,16 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
 def hot_cuts(df: DataFrame, keys: list[str], at: Column, total: int | None = None) -> Cuts | None:
     """Find keys with more rows than one slice should hold, and cut points of ``at`` for each of them.
 
-    The table comes from statistics, so it only steers balance. Fewer than MAX_HOT_KEYS keys can exceed the size used
-    here, as each holds more than 1/MAX_HOT_KEYS of the rows, and all cuts together are fewer than twice that.
+    The table comes from statistics, so it only steers balance. The slice size does not grow with the table: a hot key
+    holds more than one slice of rows, so there are fewer hot keys than slices and fewer than twice as many cuts (at
+    10^12 rows and the default size, 400,000 numbers).
     ``total`` is the row count where the caller knows it; a plain Parquet scan answers it from file footers.
     """
     limit = slice_rows(df.sparkSession)
     total = df.count() if total is None else total
     if total <= limit:
         return None
-    size = max(limit, total // MAX_HOT_KEYS)
+    size = limit
     points = df.select(*keys, at.alias("_at"))
     hot = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
     # No key needs more slices than the whole table would.
@@ -277,13 +277,14 @@ def sliding_sum(name: str, at: str, value: str, width: int) -> Track:
     return Track(name, here=value, later=((f"after {width}", f"{at} + {width + 1}", f"-({value})"),), frame="upto")
 
 
-def sliding_distinct(name: str, at: str, column: str, width: int) -> Track:
+def sliding_distinct(name: str, at: str, column: str, width: int, key: str) -> Track:
     """Number of different values of ``column`` in [at - width, at), without keeping the values.
 
+    Rows without a ``key`` belong to no entity: they count nothing and see nothing.
     A row counts until the same value shows up again or the window has passed, whichever comes first.
     """
     following = f"_next_{name}"
-    latest = f"{column} IS NOT NULL AND ({following} IS NULL OR {following} > {at})"
+    latest = f"{key} IS NOT NULL AND {column} IS NOT NULL AND ({following} IS NULL OR {following} > {at})"
     end = f"CASE WHEN {latest} THEN least({following}, {at} + {width}) END"
     return Track(
         name,

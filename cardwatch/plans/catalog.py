@@ -12,7 +12,7 @@ from cardwatch import schema as S
 from cardwatch.operators import curves, drift, features, metrics, quality, retrain, scoring, splits
 from cardwatch.plans import monitor, training, validation
 from cardwatch.sources.session import materialize, shared_path
-from cardwatch.sources.transactions import event_transactions, write_table
+from cardwatch.sources.transactions import event_transactions, order_transactions, write_table
 from cardwatch.streaming import jobs
 
 DIGITS = 6
@@ -76,6 +76,24 @@ def both_models(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.select("transaction_id", "ts", "user_id", "country", "mcc", "amount", "is_fraud", F.inline(scores))
 
 
+def ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as transactions: many share a date."""
+    return order_transactions(spark, folder)
+
+
+def faulty(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions without some devices and addresses, with one time for all rows of an hour."""
+    base = tx(spark, folder)
+    return base.withColumns(
+        {
+            "device_id": F.when(F.col("device_id") % 7 != 0, F.col("device_id")),
+            "ip_id": F.when(F.col("ip_id") % 5 != 0, F.col("ip_id")),
+            "user_id": F.when(F.col("user_id") % 11 != 0, F.col("user_id")),
+            "ts": F.date_trunc("hour", "ts").cast("timestamp_ntz"),
+        }
+    )
+
+
 def sided_champion(spark: SparkSession, folder: str) -> DataFrame:
     return splits.rowcount_split(champion(spark, folder), source=tx(spark, folder))
 
@@ -85,6 +103,17 @@ def sided_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(splits.rowcount_split(full, source=tx(spark, folder)))
 
 
+def monitoring_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Side, features and champion score of every transaction in one stored table, computed once.
+
+    The score comes from the unrounded features of the same pass.
+    """
+    base = tx(spark, folder).select(*features.INPUTS[:-1], "mcc")
+    full = features.all_features(base, amount="full").withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
+    kept = full.select("transaction_id", "ts", "amount", "is_fraud", "fraud_score", *S.ALL_FEATURES)
+    return materialize(rounded(splits.rowcount_split(kept, source=tx(spark, folder))))
+
+
 def online(spark: SparkSession, folder: str) -> DataFrame:
     """Scores as served without a history store: every history feature is its default."""
     served = scoring.with_history_defaults(tx(spark, folder))
@@ -106,6 +135,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
         "ip_id",
         "mcc",
         "ts",
+        "is_fraud",
     )
 
 
@@ -175,6 +205,18 @@ def device_risk_features(spark, folder):
     return history(spark, folder, S.FEATURE_FAMILIES["device_ip"])
 
 
+@query
+def distinct_counts_with_nulls(spark, folder):
+    """Rows without a device, address or user belong to no entity, and rows of one time do not see each other."""
+    names = [
+        "feat_unique_users_per_device_24h",
+        "feat_unique_countries_per_device_7d",
+        "feat_unique_users_per_ip_24h",
+        "feat_unique_countries_user_7d",
+    ]
+    return rounded(features.history_features(faulty(spark, folder), names))
+
+
 @query
 def geo_features(spark, folder):
     names = ["feat_country_change", "feat_unique_countries_user_7d"]
@@ -302,19 +344,10 @@ def history_asof(spark, folder):
 
 @query
 def enrich_with_defaults(spark, folder):
-    """Serve every request from a store of user figures built before the last week."""
+    """Serve every request from stores of users, merchants and devices that hold the week before the last one."""
     base = tx(spark, folder)
     edge = today(spark) - F.make_dt_interval(F.lit(7))
-    store = (
-        base.where(F.col("ts") < edge)
-        .groupBy("user_id")
-        .agg(
-            F.avg("amount").alias("user_avg_amount"),
-            F.stddev_samp("amount").alias("user_std_amount"),
-            F.count_distinct("country").alias("feat_unique_countries_user_7d"),
-        )
-    )
-    served = scoring.with_history_defaults(base, store)
+    served = scoring.with_history_defaults(base, scoring.history_stores(base, edge))
     return rounded(served.select("transaction_id", *S.ALL_FEATURES))
 
 
@@ -353,20 +386,29 @@ def rowcount_split(spark, folder):
     return splits.rowcount_split(tx(spark, folder)).select("transaction_id", "side")
 
 
+@query
+def rowcount_split_ties(spark, folder):
+    """The border lies within the orders of one day, so that the id decides."""
+    return splits.rowcount_split(ordered(spark, folder)).select("transaction_id", "side")
+
+
 @query
 def training_window(spark, folder):
     """Windows of 30, 60, 90 and 180 days before the cutoff, without the last week."""
-    base = tx(spark, folder)
-    parts = [
-        splits.training_window(base, today(spark), days).select(F.lit(days).alias("window_days"), "is_fraud", "ts")
-        for days in (30, 60, 90, 180)
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.groupBy("window_days").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("frauds"), F.max("ts").alias("last_ts")
-    )
+    windows = [30, 60, 90, 180]
+    widest = splits.training_window(tx(spark, folder), today(spark), max(windows))
+    sums = []
+    for days in windows:
+        inside = splits.in_training_window(today(spark), days)
+        sums.append(
+            F.struct(
+                F.lit(days).alias("window_days"),
+                F.count_if(inside).alias("n"),
+                F.sum(F.when(inside, F.col("is_fraud"))).alias("frauds"),
+                F.max(F.when(inside, F.col("ts"))).alias("last_ts"),
+            )
+        )
+    return widest.agg(F.array(*sums).alias("all")).select(F.inline("all")).where("n > 0")
 
 
 @query
@@ -412,7 +454,7 @@ def decisions(spark, folder):
 @query
 def score_transactions(spark, folder):
     """Validate, add features, score and decide; a rejected request keeps its errors instead of a score."""
-    checked = quality.check_requests(tx(spark, folder))
+    checked = quality.check_requests(requests(spark, folder))
     return validation.score_checked(checked).select(
         "transaction_id", "fraud_score", "decision", "risk_level", "reason", "model_version", "error_count"
     )
@@ -601,9 +643,8 @@ def kpi_alerts(spark, folder):
 
 
 def monitored(spark, folder) -> monitor.Report:
-    sided = sided_features(spark, folder)
-    scored = sided_champion(spark, folder)
-    return monitor.monitor(sided, scored, S.ALL_FEATURES)
+    frame = monitoring_frame(spark, folder)
+    return monitor.monitor(frame, frame, S.ALL_FEATURES)
 
 
 @query
@@ -666,8 +707,8 @@ def promotion_check(spark, folder):
 
 @query
 def retrain_success(spark, folder):
-    scored = sided_champion(spark, folder)
-    report = drift.feature_drift(sided_features(spark, folder), S.ALL_FEATURES)
+    scored = monitoring_frame(spark, folder)
+    report = drift.feature_drift(scored, S.ALL_FEATURES)
     production = metrics.threshold_metrics(scored.where(F.col("side") == "production"), [S.BLOCK_THRESHOLD])
     return retrain.retrain_success(production, report, drift.score_drift(scored))
 

@@ -419,7 +419,7 @@ DECISION_COLUMNS = f"""{r("fraud_score", 4)} AS fraud_score, decision,
 
 REQUESTS = """requests AS (SELECT transaction_id, user_id, merchant_id, round(amount - 20, 2) AS amount,
   CASE WHEN mcc = '5541' THEN 'usa' WHEN mcc = '5411' THEN lower(country) ELSE country END AS country,
-  CASE WHEN device_id > 0 THEN device_id END AS device_id, ip_id, mcc, ts FROM tx)"""
+  CASE WHEN device_id > 0 THEN device_id END AS device_id, ip_id, mcc, ts, is_fraud FROM tx)"""
 REQUEST_ERRORS = """SELECT transaction_id, 'device_id is required' AS error FROM requests WHERE device_id IS NULL
 UNION ALL SELECT transaction_id, 'amount must be greater than 0' FROM requests WHERE amount <= 0
 UNION ALL SELECT transaction_id, 'country must have 2 letters' FROM requests WHERE length(country) != 2"""
@@ -456,14 +456,20 @@ LATENCY_DOUBLES = [
 def enrich_sql() -> str:
     """Stored figures of the user where there are any, else the defaults."""
     plain = {k: str(v) for k, v in DEFAULTS.items() if k.startswith("feat_")}
-    plain["feat_unique_countries_user_7d"] = f"COALESCE(countries, {DEFAULTS['feat_unique_countries_user_7d']})"
-    user_mean = f"COALESCE(mean_amount, {DEFAULTS['user_avg_amount']})"
-    user_std = f"COALESCE(std_amount, {DEFAULTS['user_std_amount']})"
+    stored = {
+        "feat_unique_countries_user_7d": "u.countries",
+        "feat_unique_countries_per_device_7d": "v.countries",
+        **{f"feat_{e}_fraud_rate_historical": f"{e[0] if e != 'device' else 'v'}.rate" for e in ("user", "merchant", "device")},
+    }
+    for name, value in stored.items():
+        plain[name] = f"COALESCE({value}, {DEFAULTS[name]})"
+    user_mean, merchant_mean = (f"COALESCE({e[0]}.mean_amount, {DEFAULTS[f'{e}_avg_amount']})" for e in ("user", "merchant"))
+    user_std, merchant_std = (f"COALESCE({e[0]}.std_amount, {DEFAULTS[f'{e}_std_amount']})" for e in ("user", "merchant"))
     doubles = {
         "feat_amount_sum_user_24h": "amount * 3",
         "feat_amount_avg_user_24h": "amount",
         "feat_amount_vs_user_avg": f"(amount - {user_mean}) / ({user_std} + 1)",
-        "feat_amount_vs_merchant_avg": f"(amount - {DEFAULTS['merchant_avg_amount']}) / ({DEFAULTS['merchant_std_amount']} + 1)",
+        "feat_amount_vs_merchant_avg": f"(amount - {merchant_mean}) / ({merchant_std} + 1)",
         "feat_amount_percentile_user": "least(amount / 1000, 1.0)",
         "feat_user_country_entropy": "0",
     }
@@ -471,15 +477,19 @@ def enrich_sql() -> str:
     for name, value in list(plain.items()):
         if isinstance(DEFAULTS[name], float):
             doubles[name] = plain.pop(name)
-    columns = [f"{v} AS {k}" for k, v in plain.items()] + [f"{r(v)} AS {k}" for k, v in doubles.items()]
-    edge = f"TIMESTAMP '{TODAY}' - INTERVAL 7 DAY"
+    columns = [f"{v} AS {k}" for k, v in plain.items()]
+    columns += [f"{d(v) if 'fraud_rate' in k else r(v)} AS {k}" for k, v in doubles.items()]
+    week = f"ts < TIMESTAMP '{TODAY}' - INTERVAL 7 DAY AND ts >= TIMESTAMP '{TODAY}' - INTERVAL 14 DAY"
+    stores = [
+        f"""{key}_store AS (SELECT {key}, avg(amount) AS mean_amount, stddev_samp(amount) AS std_amount,
+  count(DISTINCT country) AS countries, avg(is_fraud) AS rate FROM tx WHERE {week} GROUP BY 1)"""
+        for key in ("user_id", "merchant_id", "device_id")
+    ]
     return (
-        with_(
-            TX, CHANGE, ROWS,
-            f"""store AS (SELECT user_id, avg(amount) AS mean_amount, stddev_samp(amount) AS std_amount,
-  count(DISTINCT country) AS countries FROM tx WHERE ts < {edge} GROUP BY 1)""",
-        )
-        + f"SELECT transaction_id, {', '.join(columns)}, {', '.join(row)} FROM tx LEFT JOIN store USING (user_id) "
+        with_(TX, CHANGE, ROWS, *stores)
+        + f"SELECT transaction_id, {', '.join(columns)}, {', '.join(row)} FROM tx "
+        "LEFT JOIN user_id_store u ON tx.user_id = u.user_id LEFT JOIN merchant_id_store m ON tx.merchant_id = m.merchant_id "
+        "LEFT JOIN device_id_store v ON tx.device_id = v.device_id "
         "JOIN row_features USING (transaction_id) JOIN (SELECT transaction_id, feat_is_high_risk_country FROM changes) c USING (transaction_id)"
     )
 
@@ -609,6 +619,22 @@ ORACLES: dict[str, str] = {
     "temporal_split": with_(TX)
     + f"SELECT transaction_id, CASE WHEN ts < {TRAIN_EDGE} THEN 'train' ELSE 'test' END AS split FROM tx",
     "rowcount_split": with_(TX, SIDES) + "SELECT * FROM sides",
+    "rowcount_split_ties": with_("tx AS (SELECT o_orderkey AS transaction_id, o_orderdate AS ts FROM orders)", SIDES)
+    + "SELECT * FROM sides",
+    "distinct_counts_with_nulls": with_(
+        TX.replace("tx AS", "raw AS", 1),
+        """tx AS (SELECT * REPLACE (CASE WHEN device_id % 7 != 0 THEN device_id END AS device_id,
+  CASE WHEN ip_id % 5 != 0 THEN ip_id END AS ip_id, CASE WHEN user_id % 11 != 0 THEN user_id END AS user_id,
+  date_trunc('hour', ts) AS ts) FROM raw)""",
+        DEVICE_USERS,
+        DEVICE_COUNTRIES,
+        IP_USERS,
+        USER_COUNTRIES,
+    )
+    + """SELECT transaction_id, feat_unique_users_per_device_24h, feat_unique_countries_per_device_7d,
+  feat_unique_users_per_ip_24h, feat_unique_countries_user_7d FROM feat_unique_users_per_device_24h_cte
+JOIN feat_unique_countries_per_device_7d_cte USING (transaction_id) JOIN feat_unique_users_per_ip_24h_cte USING (transaction_id)
+JOIN feat_unique_countries_user_7d_cte USING (transaction_id)""",
     "training_window": with_(TX)
     + f"""SELECT CAST(w AS INT) AS window_days, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS frauds, max(ts) AS last_ts
 FROM tx, (VALUES (30), (60), (90), (180)) v(w)
@@ -628,10 +654,17 @@ WHERE transaction_id NOT IN (SELECT transaction_id FROM bad)""",
     'amount': amount, 'country': country, 'delay_days': {d("delay_days")}}}) AS VARCHAR) END AS payload FROM tx""",
     "rule_scores": with_(*SCORED) + "SELECT transaction_id, fraud_score FROM scored",
     "decisions": with_(*SCORED, DECIDED) + f"SELECT transaction_id, {DECISION_COLUMNS} FROM decided",
-    "score_transactions": with_(*SCORED, DECIDED)
-    + f"""SELECT transaction_id, CASE WHEN errors = 0 THEN fraud_score END AS fraud_score, CASE WHEN errors = 0 THEN decision END AS decision,
-  CASE WHEN errors = 0 THEN risk_level END AS risk_level, CASE WHEN errors = 0 THEN reason END AS reason, '1.0' AS model_version,
-  errors AS error_count FROM (SELECT transaction_id, {DECISION_COLUMNS}, CASE WHEN amount <= 0 THEN 1 ELSE 0 END AS errors FROM decided)""",
+    "score_transactions": with_(
+        TX.replace("tx AS", "raw AS", 1),
+        REQUESTS.replace("FROM tx)", "FROM raw)"),
+        f"faults AS (SELECT transaction_id, CAST(count(*) AS INT) AS n FROM ({REQUEST_ERRORS}) GROUP BY 1)",
+        """tx AS (SELECT * REPLACE (upper(country) AS country) FROM requests
+  WHERE transaction_id NOT IN (SELECT transaction_id FROM faults))""",
+        *SCORED[1:],
+        DECIDED,
+    )
+    + f"""SELECT transaction_id, {DECISION_COLUMNS}, '1.0' AS model_version, 0 AS error_count FROM decided
+UNION ALL SELECT transaction_id, NULL, NULL, NULL, NULL, '1.0', n FROM faults""",
     "decision_distribution": with_(*SCORED, DECIDED)
     + f"SELECT decision, count(*) AS n, {r('count(*) * 100.0 / (SELECT count(*) FROM decided)')} AS percent FROM decided GROUP BY 1",
     "score_comparison": with_(*SCORED, *SERVED) + "SELECT * FROM compared",

@@ -12,14 +12,12 @@ MODEL_VERSION = "1.0"
 
 
 def score_checked(checked: DataFrame) -> DataFrame:
-    """Rows with errors stay in the result without a score."""
-    scored = scoring.rule_inputs(checked).withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
-    decided = scoring.with_decision(scored)
-    bad = F.size("errors") > 0
-    fields = ["fraud_score", "decision", "risk_level", "reason"]
-    return decided.withColumns({f: F.when(~bad, F.col(f)) for f in fields}).withColumns(
-        {"model_version": F.lit(MODEL_VERSION), "error_count": F.size("errors")}
-    )
+    """Rows with errors stay in the result without a score; they are no part of the history of the others."""
+    good = checked.where(F.size("errors") == 0)
+    scored = scoring.rule_inputs(good).withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
+    rejected = checked.where(F.size("errors") > 0)
+    both = scoring.with_decision(scored).unionByName(rejected, allowMissingColumns=True)
+    return both.withColumns({"model_version": F.lit(MODEL_VERSION), "error_count": F.size("errors")})
 
 
 def api_summary(offline: DataFrame, served: DataFrame, log: DataFrame) -> DataFrame:

@@ -66,6 +66,9 @@ def canonical(raw: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
     """Write features, splits, reports or predictions; days partition large tables."""
+    if partition_by:
+        # Each folder is written by the tasks that hold its rows, not by all tasks; large days are split.
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -179,3 +179,35 @@ def test_time_zone_does_not_matter(spark):
         assert sorted((r.transaction_id, r[-2], r[-1]) for r in f.add_history(frame(spark, rows), names).collect()) == before
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+EDGE = "transaction_id bigint, ts timestamp_ntz, user_id bigint, merchant_id bigint, device_id bigint, ip_id bigint, country string, amount double, is_fraud int"
+
+
+def edge_frame(spark, rows):
+    start = dt.datetime(2024, 1, 1)
+    full = [
+        (i, start + dt.timedelta(minutes=i), r.get("user", 1), 1, r.get("device", 1), 1, "US", r.get("amount", 5.0), 0)
+        for i, r in enumerate(rows)
+    ]
+    return spark.createDataFrame(full, EDGE)
+
+
+def test_null_devices_are_no_entity(spark):
+    df = edge_frame(spark, [{"user": u, "device": None} for u in range(4)] + [{"user": u, "device": 9} for u in range(3)])
+    got = f.history_features(df, ["feat_unique_users_per_device_24h"]).orderBy("transaction_id").collect()
+    assert [r[1] for r in got] == [0, 0, 0, 0, 0, 1, 2]
+
+
+def test_nan_amount_does_not_end_the_job(spark):
+    df = edge_frame(spark, [{"amount": 5.0}, {"amount": float("nan")}, {"amount": float("inf")}, {"amount": 7.0}])
+    out = f.all_features(df).orderBy("transaction_id").collect()
+    assert out[3].feat_amount_sum_user_24h == 5.0 and out[3].feat_tx_count_user_24h == 3
+
+
+def test_deviation_of_large_amounts(spark):
+    amounts = [5e6, 5e6 + 0.01, 5e6, 5e6 + 0.01, 5e6]
+    got = f.history_features(edge_frame(spark, [{"amount": a} for a in amounts]), ["feat_amount_vs_user_avg"])
+    last = got.orderBy("transaction_id").collect()[-1][1]
+    exact = -0.005 / ((4 * 0.005**2 / 3) ** 0.5 + 1)
+    assert last == pytest.approx(exact, abs=1e-9)

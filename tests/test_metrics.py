@@ -1,5 +1,7 @@
 """Published figures recomputed, and sweeps against scans per threshold."""
 
+import math
+import datetime as dt
 import random
 
 import numpy as np
@@ -122,29 +124,46 @@ def test_quantiles_and_ranks(spark, rows_per_slice):
         spark.conf.unset("spark.cardwatch.sliceRows")
 
 
-def test_row_at_rank_narrows(spark, monkeypatch):
-    import cardwatch.operators.quantiles as q
-
-    monkeypatch.setattr(q, "SMALL", 20)
+def test_row_at_rank_narrows(spark):
     rng = random.Random(1)
     points = [(rng.randrange(10**12) if i % 3 else 777, i) for i in range(2000)]
     df = spark.createDataFrame(points, "at bigint, id bigint")
     ordered = sorted(points)
     for rank in (0, 1, 500, 1000, 1999):
         found = row_at_rank(df, F.col("at"), F.col("id"), rank)
-        assert tuple(found) == ordered[rank]
+        assert (found["at"], found["tie"]) == ordered[rank]
     assert row_at_rank(df, F.col("at"), F.col("id"), 2000) is None
 
 
-def numpy_psi(base, prod, bins=10):
-    if len(base) == 0 or len(prod) == 0:
-        return 0.0
-    edges = np.unique(np.percentile(base, np.linspace(0, 100, bins + 1)))
-    if len(edges) <= 1:
-        return 0.0
-    b = np.maximum(np.histogram(base, edges)[0] / len(base), 1e-10)
-    p = np.maximum(np.histogram(prod, edges)[0] / len(prod), 1e-10)
-    return float(np.sum((p - b) * np.log(p / b)))
+def test_row_at_rank_within_one_time(spark):
+    """Many rows of one time: the id decides, as a number or as a text, and no row is sorted to a top."""
+    same = spark.range(200_000).select(F.lit(5).alias("at"), "id", F.concat(F.lit("TXN_"), "id").alias("name"))
+    names = sorted(f"TXN_{i}" for i in range(200_000))
+    for rank in (0, 150_000, 199_999):
+        assert row_at_rank(same, F.col("at"), F.col("id"), rank) == {"at": 5, "tie": rank}
+        assert row_at_rank(same, F.col("at"), F.col("name"), rank) == {"at": 5, "tie": names[rank]}
+    split = splits.rowcount_split(same.select(F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), F.col("id").alias("transaction_id")))
+    assert "TakeOrdered" not in split._jdf.queryExecution().toString()
+    assert split.where("side = 'baseline'").count() == 150_000
+
+
+def plain_psi(base, prod, bins=10):
+    """From the definition: cut points by interpolating the sorted baseline, then one comparison per value and bin."""
+    ordered, cuts = sorted(base), []
+    for i in range(bins + 1):
+        low, part = divmod(i * (len(ordered) - 1), bins)
+        high = ordered[min(low + 1, len(ordered) - 1)]
+        cut = ordered[low] + (high - ordered[low]) * (part / bins)
+        if not cuts or cut > cuts[-1]:
+            cuts.append(cut)
+    total = 0.0
+    for low, high in zip(cuts, cuts[1:]):
+        share = []
+        for values in (base, prod):
+            inside = sum(1 for v in values if low <= v < high or v == high == cuts[-1])
+            share.append(max(inside / len(values), 1e-10))
+        total += (share[1] - share[0]) * math.log(share[1] / share[0])
+    return total
 
 
 def test_psi_matches_numpy(spark):
@@ -161,7 +180,7 @@ def test_psi_matches_numpy(spark):
     df = spark.createDataFrame(rows, "side string, " + ", ".join(f"{c} double" for c in names))
     report = {r.feature: r for r in drift.feature_drift(df, names).collect()}
     for c in names:
-        assert report[c].psi == pytest.approx(numpy_psi(*columns[c]), abs=1e-9)
+        assert report[c].psi == pytest.approx(plain_psi(*columns[c]), abs=1e-9)
         assert report[c].baseline_mean == pytest.approx(columns[c][0].mean())
         assert report[c].production_std == pytest.approx(columns[c][1].std(), abs=1e-6)
     categorical = {r.feature: r.psi for r in drift.categorical_psi(drift.side_counts(df, names)).collect()}
@@ -172,8 +191,24 @@ def test_psi_edges(spark):
     shape = "side string, x double"
     same = [("baseline", float(i)) for i in range(50)] + [("production", float(i)) for i in range(50)]
     assert drift.feature_drift(spark.createDataFrame(same, shape), ["x"]).first().psi == 0
-    one_side = spark.createDataFrame(same[:50], shape)
-    assert drift.psi_from_counts(drift.side_counts(one_side, ["x"])).first().psi == 0
+    for part, seen, missing in ((same[:50], "baseline", "production"), (same[50:], "production", "baseline")):
+        row = drift.feature_drift(spark.createDataFrame(part, shape), ["x"]).first()
+        assert row.psi == 0 and row[f"{seen}_mean"] == 24.5 and row[f"{missing}_mean"] is None and row[f"{missing}_std"] is None
+
+
+def test_deviation_of_large_values(spark):
+    rows = [(side, v) for side in ("baseline", "production") for v in (1e9, 1e9 + 1)]
+    row = drift.feature_drift(spark.createDataFrame(rows, "side string, x double"), ["x"]).first()
+    assert row.baseline_std == 0.5 and row.production_std == 0.5
+
+
+def test_score_drift_from_zero(spark):
+    shape = "side string, fraud_score double"
+    zero = spark.createDataFrame([("baseline", 0.0)] * 9 + [("production", 0.0)] * 9, shape)
+    row = drift.score_drift(zero).first()
+    assert row.mean_shift_percent is None and row.status == "Stable"
+    up = spark.createDataFrame([("baseline", 0.0)] * 9 + [("production", 0.5)] * 9, shape)
+    assert drift.score_drift(up).first().mean_shift_percent is None
 
 
 def test_ks(spark):

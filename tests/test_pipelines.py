@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from cardwatch import schema as S
 from cardwatch.operators import features, quality, retrain, scoring
-from cardwatch.plans import catalog, monitor
+from cardwatch.plans import catalog, monitor, training, validation
 from cardwatch.sources import session, transactions
 from cardwatch.streaming import jobs, velocity
 
@@ -59,6 +60,7 @@ def test_validation(spark):
         ("large", "u", "m", 10001.0, "US", "d", "i", "5411"),
         ("zero", "u", "m", 0.0, "US", "d", "i", "5411"),
         ("two", None, "m", -1.0, "USA", "d", "i", "5411"),
+        ("nan", "u", "m", float("nan"), "US", "d", "i", "5411"),
     ]
     df = spark.createDataFrame(rows, shape)
     good = {r.transaction_id: r for r in quality.valid_requests(df).collect()}
@@ -66,6 +68,7 @@ def test_validation(spark):
     assert good["large"].warnings == ["large amount"] and good["ok"].warnings == []
     bad = [(r.transaction_id, r.error) for r in quality.rejected_requests(df).collect()]
     assert sorted(bad) == [
+        ("nan", "amount must be greater than 0"),
         ("two", "amount must be greater than 0"),
         ("two", "country must have 2 letters"),
         ("two", "user_id is required"),
@@ -176,3 +179,41 @@ def test_checkpoint_folder_of_the_session_is_used(spark, tmp_path, monkeypatch):
         assert any(p.name.startswith("stage-") for p in tmp_path.iterdir())
     finally:
         spark.conf.unset(session.CHECKPOINT_CONF)
+
+
+def test_rejected_requests_are_no_history(spark):
+    base = quality.check_requests(transactions.event_transactions(spark, SMALL).where("user_id < 5"))
+    spoilt = F.when(F.col("transaction_id") % 3 == 0, F.array(F.lit("refused"))).otherwise(F.col("errors"))
+    all_rows = validation.score_checked(base.withColumn("errors", spoilt))
+    alone = validation.score_checked(base.where("transaction_id % 3 != 0"))
+    got = {r.transaction_id: r.fraud_score for r in all_rows.collect()}
+    want = {r.transaction_id: r.fraud_score for r in alone.collect()}
+    assert {k: v for k, v in got.items() if k % 3} == want and all(v is None for k, v in got.items() if k % 3 == 0)
+
+
+def test_class_weights_need_both_classes(spark):
+    day = dt.datetime(2024, 1, 1)
+    none = spark.createDataFrame([(i, day, 1.0, 0, "train") for i in range(4)], "transaction_id int, ts timestamp_ntz, amount double, is_fraud int, split string")
+    assert tuple(retrain.class_weights(none).first()) == (None, 0.5, None)
+    with pytest.raises(ValueError, match="both frauds"):
+        training.weighted(none, balanced=True)
+
+
+def test_stored_tables_need_a_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_root", lambda _: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.materialize(spark.range(3))
+
+
+def test_days_are_written_once(spark, tmp_path):
+    """Each day's folder holds a few files, however many tasks computed the rows."""
+    days = spark.range(2000).selectExpr("id", "date_add(DATE '2024-01-01', CAST(id % 5 AS INT)) AS day").repartition(8)
+    path = transactions.write_table(days, str(tmp_path / "days"), partition_by=["day"])
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "days").glob("day=*"))
+    assert spark.read.parquet(path).count() == 2000
+
+
+def test_monitoring_builds_features_once(spark):
+    frame = catalog.monitoring_frame(spark, SMALL)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Window" not in plan
