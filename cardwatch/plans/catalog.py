@@ -727,10 +727,6 @@ def model_input(spark, folder):
     return training.prepare(features.all_features(feature_source(spark, folder)).select(*training.KEPT, *S.ALL_FEATURES))
 
 
-# Rounds of the registered tree queries; the library default is the full number.
-QUERY_ROUNDS = 20
-
-
 @query
 def lr_scores(spark, folder):
     """Fit, store, load again and score the test period."""
@@ -740,16 +736,42 @@ def lr_scores(spark, folder):
     return rounded(scored.select("transaction_id", "is_fraud", "fraud_score"))
 
 
+@query
+def lr_scored_rows(spark, folder):
+    """Whether each row of the test period has a probability, and the same one from the stored and loaded model."""
+    prepared = model_input(spark, folder)
+    model = training.fit_logistic(prepared)
+    loaded = training.load_model(training.save_model(model, shared_path(spark, "model")))
+    test = prepared.where("split = 'test'")
+    first = training.score(model, test).select("transaction_id", "split", "fraud_score")
+    second = training.score(loaded, test).select("transaction_id", F.col("fraud_score").alias("again"))
+    return first.join(second, "transaction_id").select(
+        "transaction_id",
+        "split",
+        F.col("fraud_score").between(0, 1).alias("is_probability"),
+        (F.col("fraud_score") == F.col("again")).alias("same_after_loading"),
+    )
+
+
+@query
+def scaled_features(spark, folder):
+    """Features with whole values, scaled by the training period."""
+    names = ["feat_tx_count_user_24h", "feat_unique_users_per_device_24h", "feat_hour", "feat_is_night"]
+    base = features.add_history(feature_source(spark, folder), names[:2])
+    base = features.add_row_features(base, names[2:])
+    return rounded(training.scaled(training.prepare(base)))
+
+
 @query
 def gbt_scores(spark, folder):
     prepared = model_input(spark, folder)
-    scored = training.score(training.fit_trees(prepared, QUERY_ROUNDS), prepared.where("split = 'test'"))
+    scored = training.score(training.fit_trees(prepared), prepared.where("split = 'test'"))
     return rounded(scored.select("transaction_id", "is_fraud", "fraud_score"))
 
 
 @query
 def feature_importance(spark, folder):
-    model = training.fit_trees(model_input(spark, folder), QUERY_ROUNDS)
+    model = training.fit_trees(model_input(spark, folder))
     return rounded(training.feature_importance(model, spark))
 
 
@@ -759,7 +781,7 @@ def fitted_model_comparison(spark, folder):
     prepared = model_input(spark, folder)
     models = {
         "logistic regression": training.fit_logistic(prepared),
-        "boosted trees": training.fit_trees(prepared, QUERY_ROUNDS),
+        "boosted trees": training.fit_trees(prepared),
     }
     return metrics.model_comparison(materialize(training.evaluate(prepared, models)))
 
@@ -786,9 +808,17 @@ def stream_dedup(spark, folder):
 
 @query
 def stream_label_join(spark, folder):
-    stream = jobs.transaction_stream(spark, folder)
     labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1")
-    return jobs.drain(jobs.label_join(stream, labels), "labels")
+    joined = jobs.drain(jobs.label_join(labels, tx(spark, folder)), "labels")
+    return joined.where("label_status = 'matched'").drop("label_status")
+
+
+@query
+def stream_late_labels(spark, folder):
+    """Chargebacks that come more than two weeks after their transaction."""
+    labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1")
+    joined = jobs.drain(jobs.label_join(labels, tx(spark, folder), days=14), "late-labels")
+    return joined.where("label_status = 'late'").drop("label_status")
 
 
 @query
@@ -798,5 +828,4 @@ def stream_scores(spark, folder):
 
 @query
 def stream_user_velocity(spark, folder):
-    with jobs.rocksdb(spark):
-        return jobs.drain(jobs.user_velocity(jobs.transaction_stream(spark, folder)), "velocity")
+    return jobs.drain(jobs.user_velocity(jobs.transaction_stream(spark, folder)), "velocity")

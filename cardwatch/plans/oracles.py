@@ -750,6 +750,28 @@ FROM tx LEFT JOIN labels_found l ON tx.transaction_id = l.transaction_id AND l.c
     "unmatched_labels": with_(TX, LABELS)
     + f"""SELECT * FROM labels_found WHERE transaction_id NOT IN (SELECT transaction_id FROM tx
 WHERE ts >= TIMESTAMP '{TODAY}' - INTERVAL 20 DAY AND ts <= TIMESTAMP '{TODAY}' - INTERVAL 7 DAY)""",
+    "lr_scored_rows": with_(TX)
+    + f"SELECT transaction_id, 'test' AS split, true AS is_probability, true AS same_after_loading FROM tx WHERE ts >= {TRAIN_EDGE}",
+    "scaled_features": with_(
+        TX,
+        VELOCITY,
+        DEVICE_USERS,
+        ROWS,
+        f"""wide AS (SELECT transaction_id, CASE WHEN ts < {TRAIN_EDGE} THEN 'train' ELSE 'test' END AS split,
+  feat_tx_count_user_24h, feat_unique_users_per_device_24h, feat_hour, feat_is_night FROM tx
+  JOIN velocity USING (transaction_id) JOIN feat_unique_users_per_device_24h_cte USING (transaction_id)
+  JOIN row_features USING (transaction_id))""",
+    )
+    + "SELECT transaction_id, split, "
+    + ", ".join(
+        r(
+            f"COALESCE(({n} - avg({n}) FILTER (WHERE split = 'train') OVER ()) "
+            f"/ NULLIF(stddev_samp({n}) FILTER (WHERE split = 'train') OVER (), 0), 0)"
+        )
+        + f" AS {n}"
+        for n in ("feat_tx_count_user_24h", "feat_unique_users_per_device_24h", "feat_hour", "feat_is_night")
+    )
+    + " FROM wide",
     "class_weights": with_(
         TX, f"sums AS (SELECT {d('count(*)')} AS n, {d('sum(is_fraud)')} AS p FROM tx WHERE ts < {TRAIN_EDGE})"
     )
@@ -794,6 +816,8 @@ WHERE window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM tx) - INTERVAL 10
     "stream_dedup": with_(TX) + "SELECT transaction_id, ts, amount FROM tx",
     "stream_label_join": with_(TX)
     + "SELECT transaction_id, ts, amount, chargeback_ts FROM tx WHERE is_fraud = 1 AND chargeback_ts <= ts + INTERVAL 90 DAY",
+    "stream_late_labels": with_(TX)
+    + "SELECT transaction_id, ts, amount, chargeback_ts FROM tx WHERE is_fraud = 1 AND chargeback_ts > ts + INTERVAL 14 DAY",
     "stream_scores": with_(TX, *SERVED[:2], DECIDED.replace("scored", "served"))
     + f"""SELECT transaction_id, CASE WHEN amount > 0 THEN {r("fraud_score", 4)} END AS fraud_score,
   CASE WHEN amount > 0 THEN decision END AS decision, CASE WHEN amount > 0 THEN CASE decision WHEN 'BLOCK' THEN 'HIGH'

@@ -26,16 +26,21 @@ def transaction_stream(spark: SparkSession, folder: str) -> DataFrame:
     return tx.withColumn("at", as_instant(tx, "ts"))
 
 
-def drain(stream: DataFrame, name: str, trigger: dict | None = None) -> DataFrame:
-    """Process what is available into a Parquet sink and read the sink back.
+def drain(
+    stream: DataFrame, name: str, trigger: dict | None = None, sink: str | None = None, progress: str | None = None
+) -> DataFrame:
+    """Process what is available into a Parquet sink and read the sink back. State is kept in RocksDB.
 
-    The sink and the checkpoint lie in the shared folder, so a restarted query goes on where it stopped.
+    With the same ``sink`` and ``progress`` folders a later call goes on where this one stopped. Without them both are
+    new folders of the shared one, and the run starts from the beginning.
     """
     spark = stream.sparkSession
-    path = shared_path(spark, f"stream-{name}")
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-progress")
-    writer.trigger(**(trigger or {"availableNow": True})).start(path).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    sink = sink or shared_path(spark, f"stream-{name}")
+    progress = progress or f"{sink}-progress"
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", progress)
+    with rocksdb(spark):
+        writer.trigger(**(trigger or {"availableNow": True})).start(sink).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
 
 
 @contextmanager
@@ -106,17 +111,21 @@ def deduplicated(tx: DataFrame) -> DataFrame:
     return tx.withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def label_join(tx: DataFrame, labels: DataFrame) -> DataFrame:
-    """Transactions with the chargeback that arrives up to 90 days later; older state is dropped by the watermark."""
-    left = tx.select("transaction_id", "ts", "at", "amount").withWatermark("at", DELAY)
-    right = labels.select(
-        F.col("transaction_id").alias("label_id"),
-        "chargeback_ts",
-        as_instant(labels, "chargeback_ts").alias("arrived"),
-    ).withWatermark("arrived", DELAY)
-    span = F.expr(f"arrived >= at AND arrived <= at + INTERVAL {LABEL_DAYS} DAYS")
-    joined = left.join(right, (F.col("transaction_id") == F.col("label_id")) & span)
-    return joined.select("transaction_id", "ts", "amount", "chargeback_ts")
+def label_join(labels: DataFrame, stored: DataFrame, days: int = LABEL_DAYS) -> DataFrame:
+    """A stream of chargebacks with the stored transaction of each, and where it goes: ``matched`` within ``days`` of
+    the transaction, ``late`` after them (nothing is dropped), ``unknown`` without a transaction.
+
+    Labels are few and transactions are stored anyway, so the stream side alone moves and no transaction is buffered
+    as state for three months.
+    """
+    tx = stored.select("transaction_id", "ts", "amount")
+    found = labels.select("transaction_id", "chargeback_ts").join(tx, "transaction_id", "left")
+    status = (
+        F.when(F.col("ts").isNull(), F.lit("unknown"))
+        .when(F.col("chargeback_ts") <= F.col("ts") + F.make_dt_interval(F.lit(days)), F.lit("matched"))
+        .otherwise(F.lit("late"))
+    )
+    return found.select("transaction_id", "ts", "amount", "chargeback_ts", status.alias("label_status"))
 
 
 def scored_decisions(tx: DataFrame) -> DataFrame:
@@ -135,7 +144,8 @@ def user_velocity(tx: DataFrame) -> DataFrame:
     """Activity of each user over the last hour, day and week, kept as state.
 
     Transactions are counted per user and minute before they are shuffled, so a very active user sends one row per
-    minute; the state of a user holds at most a week of minutes.
+    minute; the state of a user holds at most a week of minutes. A user who never returns keeps that state: a time to
+    live needs the processing-time mode, in which a run over what is available never ends.
     """
     minutes = (
         tx.withWatermark("at", DELAY)

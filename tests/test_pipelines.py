@@ -127,8 +127,7 @@ def test_state_goes_on_between_batches(spark, tmp_path):
     stream = spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
     tx = transactions.from_events(stream)
     tx = tx.withColumn("at", jobs.as_instant(tx, "ts"))
-    with jobs.rocksdb(spark):
-        got = jobs.drain(jobs.user_velocity(tx), "two-batches").toPandas()
+    got = jobs.drain(jobs.user_velocity(tx), "two-batches").toPandas()
     minute = events["ts"].dt.floor("min")
     closed = events[minute + pd.Timedelta(minutes=1) <= events["ts"].max() - pd.Timedelta(minutes=10)]
     counts = closed.groupby(["user_id", minute]).size()
@@ -217,3 +216,24 @@ def test_monitoring_builds_features_once(spark):
     frame = catalog.monitoring_frame(spark, SMALL)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Window" not in plan
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """The same sink and progress folders: the second run reads the new file only."""
+    events = spark.read.schema(S.EVENTS).parquet(f"{SMALL}/events.parquet")
+    folder, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    seen = []
+    for part in ("event_id < 300", "event_id >= 300"):
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+        tx = transactions.from_events(spark.readStream.schema(S.EVENTS).parquet(folder))
+        stream = jobs.deduplicated(tx.withColumn("at", jobs.as_instant(tx, "ts"))).select("transaction_id")
+        seen.append(jobs.drain(stream, "resumed", sink=sink, progress=progress).count())
+    assert seen == [300, events.count()]
+
+
+def test_late_and_unknown_labels(spark):
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    stored = spark.createDataFrame([(1, day(0), 5.0), (2, day(0), 5.0)], "transaction_id int, ts timestamp_ntz, amount double")
+    labels = spark.createDataFrame([(1, day(90)), (2, day(91)), (3, day(5))], "transaction_id int, chargeback_ts timestamp_ntz")
+    got = {r.transaction_id: r.label_status for r in jobs.label_join(labels, stored).collect()}
+    assert got == {1: "matched", 2: "late", 3: "unknown"}
