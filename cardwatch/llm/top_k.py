@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries in one broadcast, candidates in one block of sorted lists, and list entries read between two looks at the bound.
+#: Queries in one broadcast, candidates in one block of sorted lists, and entries of each list that are read before the
+#: first look at the bound.
 QUERY_CHUNK = 8192
 BLOCK = 16384
 STEP = 64
@@ -20,40 +21,43 @@ class Lists:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        self.order = np.argsort(self.values, axis=0, kind="stable")
-        self.seen = np.zeros(len(ids), bool)
+        self.order = np.ascontiguousarray(np.argsort(self.values, axis=0, kind="stable").T)
 
     def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[float, int]]) -> list[tuple[float, int]]:
         """The k best of ``best`` and this block as (-score, id).
 
-        Every list is read from the end that helps the query. What it shows is scored at once by random access. The
-        bound is the score of a candidate that has the value last read in every list; below the kth score no unseen
-        candidate can matter. Equal to it, one with a smaller id still can, so reading goes on.
+        Every list is read from the end that helps the query, twice as far each time. What it shows is scored at once
+        by random access. The bound is the score of a candidate that has the value last read in every list; below the
+        kth score no unseen candidate can matter. Equal to it, one with a smaller id still can, so reading goes on.
         """
         n = len(self.ids)
-        used = np.flatnonzero(query)
-        if not len(used):  # all scores are 0: the smallest ids win
+        rising, falling = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+        if not len(rising) and not len(falling):  # all scores are 0: the smallest ids win
             ids = self.ids[self.ids != own][:k]
             return sorted(best + [(0.0, int(i)) for i in ids])[:k]
-        lists = self.order[:, used]
-        up = query[used] < 0
-        self.seen[:] = False
-        for depth in range(0, n, STEP):
-            stop = min(n, depth + STEP)
-            rows = np.where(up, lists[depth:stop], lists[n - stop : n - depth][::-1])
-            fresh = np.unique(rows)
-            fresh = fresh[~self.seen[fresh]]
-            self.seen[fresh] = True
+        seen, scored = np.zeros(n, bool), np.zeros(n, bool)
+        depth = 0
+        while depth < n:
+            stop = min(n, max(STEP, 2 * depth))
+            seen[self.order[rising, depth:stop].ravel()] = True
+            seen[self.order[falling, n - stop : n - depth].ravel()] = True
+            fresh = np.flatnonzero(seen & ~scored)
+            scored[fresh] = True
+            fresh = fresh[self.ids[fresh] != own]
             scores = self.values[fresh] @ query
             if len(best) == k:
                 near = scores >= -best[-1][0]
                 fresh, scores = fresh[near], scores[near]
-            if len(fresh):
-                top = np.lexsort((self.ids[fresh], -scores))[: k + 1]
-                best = sorted(best + [(-float(scores[i]), int(self.ids[fresh[i]])) for i in top if self.ids[fresh[i]] != own])[:k]
-            bound = float(self.values[rows[-1], used] @ query[used])
-            if len(best) == k and bound < -best[-1][0]:
+            if len(fresh) > 8 * k:  # only the k highest and what ties with them
+                near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                fresh, scores = fresh[near], scores[near]
+            top = np.lexsort((self.ids[fresh], -scores))[:k]
+            best = sorted(best + [(-float(scores[i]), int(self.ids[fresh[i]])) for i in top])[:k]
+            last = np.concatenate([self.order[rising, stop - 1], self.order[falling, n - stop]])
+            used = np.concatenate([rising, falling])
+            if len(best) == k and float(self.values[last, used] @ query[used]) < -best[-1][0] or scored.all():
                 break
+            depth = stop
         return best
 
 
