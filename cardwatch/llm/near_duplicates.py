@@ -10,7 +10,8 @@ these short lists (the rarest shingles) are where texts meet; the long lists are
 3. The others return to their node, which orders them by length and keeps the short ones as meeting places.
 4. Every node is compared with one hub per meeting place. Links found label whole clusters of copies, so that members
    of one cluster are never compared with each other again.
-5. Meeting places with more than one label are searched in blocks of bounded size by DivideSkip, across labels only.
+5. Meeting places with more than one label are searched in blocks of bounded size, across labels only: first by
+   counting short lists, then, with whole sets and only for texts that may have a partner, by DivideSkip.
 6. Links are merged to components.
 
 A hash of 64 bits stands for a shingle and a set; everything else is exact and no list, candidate or group is cut short.
@@ -27,9 +28,10 @@ from cardwatch.llm.components import connected_components
 from cardwatch.llm.words import mix, shingle_sets
 from cardwatch.sources.session import materialize
 
-#: Shingles that meet in one range of hashes, and texts in one block of a search.
-RANGE_ROWS = 4_000_000
+#: Shingles that meet in one range of hashes, texts in one block of a search, and texts whose shingles are sorted at a time.
+RANGE_ROWS = 2_000_000
 BLOCK = 2048
+TEXTS = 4096
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -80,7 +82,7 @@ def _to_ranges(size, bits):
     names = ["part", "nodes", "sizes", "owner", "hashes"]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             sets = {}
             for _, s in shingle_sets(batch.column(1), size):
                 if len(s):
@@ -243,6 +245,80 @@ def divide_skip(sets, sizes, labels, queries, percent):
             yield q, int(y)
 
 
+def _lists(values):
+    """Inverted lists of arrays: all values in order, and which array each is from."""
+    flat, member = np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
+    order = np.argsort(flat, kind="stable")
+    return flat[order], member[order]
+
+
+def _members(lists, wanted):
+    flat, member = lists
+    cuts = zip(np.searchsorted(flat, wanted), np.searchsorted(flat, wanted, "right"))
+    return np.concatenate([member[a:b] for a, b in cuts]) if len(wanted) else member[:0]
+
+
+def short_list_partners(meets, places, here, sizes, labels, queries, percent):
+    """Positions of sets that may have a partner with another label among the queries, or that are such queries.
+
+    Two sets that meet in several places are compared in the first of them only: ``places`` has all places of a set,
+    ``here`` is this one.
+
+    Of what two sets share, at most ceil(limit * size) - 1 is in the long lists of the one whose short lists end first.
+    So they share at least T minus the larger of these numbers in their short lists, which are counted here.
+    """
+    by_meet, by_place = _lists(meets), _lists([p[p < here] for p in places])
+    sizes, labels = np.asarray(sizes, np.int64), np.asarray(labels)
+    aside = -(-percent * sizes // 100) - 1
+    may = np.zeros(len(meets), bool)
+    for q in queries:
+        count = np.bincount(_members(by_meet, meets[q]), minlength=len(meets))
+        count[_members(by_place, places[q][places[q] < here])] = 0
+        needed = -(-percent * (sizes + sizes[q]) // (100 + percent)) - np.maximum(aside, aside[q])
+        partner = (count >= np.maximum(needed, 1)) & (labels != labels[q])
+        partner &= (100 * sizes >= percent * sizes[q]) & (100 * sizes[q] >= percent * sizes)
+        if partner.any():
+            may |= partner
+            may[q] = True
+    return np.flatnonzero(may)
+
+
+def by_group(table: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """``function`` of the rows of every group, as an Arrow table. Groups are many and small: they are sorted next to
+    each other and cut in Python, which costs far less than one call from the JVM for each."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch])
+            held = held if rest is None else pa.concat_tables([rest, held])
+            columns = [held.column(k).to_numpy() for k in keys]
+            new = np.zeros(max(0, len(held) - 1), bool)
+            for c in columns:
+                new |= c[1:] != c[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            groups = [held.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+            rest = held.slice(cuts[-1])
+            if groups:
+                yield from pa.concat_tables([function(g) for g in groups]).to_batches()
+        if rest is not None and len(rest):
+            yield from function(rest).to_batches()
+
+    return table.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _screen(percent):
+    def run(table: pa.Table) -> pa.Table:
+        sizes, labels = (table.column(c).to_numpy() for c in ("n", "label"))
+        meets, places = ([np.array(m, np.int64) for m in table.column(c).to_pylist()] for c in ("meet", "places"))
+        here = table.column("t")[0].as_py()
+        asks = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+        found = short_list_partners(meets, places, here, sizes, labels, asks, percent)
+        return table.select(["t", "i", "j", "node", "label", "asks"]).take(pa.array(found, pa.int64()))
+
+    return run
+
+
 def _search(percent):
     def run(table: pa.Table) -> pa.Table:
         nodes, sizes, labels = (table.column(c).to_numpy() for c in ("node", "n", "label"))
@@ -295,7 +371,10 @@ def near_duplicate_groups(
     )
 
     meets = materialize(sets.select("node", F.explode("meet").alias("t")))
-    places = meets.groupBy("t").agg(F.min("node").alias("hub"), F.count("*").alias("k")).where("k > 1")
+    # Places where the same texts meet are one: texts that share a passage share all of its shingles.
+    who = [F.sum(F.xxhash64(F.lit(i), "node").bitwiseAND((1 << 40) - 1)).alias(f"who{i}") for i in (1, 2)]
+    places = meets.groupBy("t").agg(F.min("node").alias("hub"), F.count("*").alias("k"), *who).where("k > 1")
+    places = places.groupBy("k", "hub", "who1", "who2").agg(F.min("t").alias("t"))
     members = meets.join(places.select("t", "hub"), "t")
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("s1"))
@@ -317,6 +396,7 @@ def near_duplicate_groups(
         .withColumns({"rb": blocks[0], "mb": blocks[1]})
         .withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("rb")).otherwise(F.col("mb"))).cast("int"))
     )
+    places_of = labelled.groupBy("node").agg(F.array_sort(F.collect_set("t")).alias("places"))
     own = F.col("own")
     # Askers meet each block of the main label, and each other block of askers once.
     asked = F.concat(
@@ -327,13 +407,16 @@ def near_duplicate_groups(
         ),
     )
     main = F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda j: F.struct(own.alias("i"), j.alias("j")))
-    searched = (
+    placed = (
         open_.withColumn("place", F.explode(F.when(F.col("asks"), asked).otherwise(main)))
         .select("t", "place.i", "place.j", "node", "label", "asks")
-        .join(sets.select("node", "n", "shared"), "node")
-        .groupBy("t", "i", "j")
-        .applyInArrow(_search(percent), "a long, b long")
+        .join(sets.select("node", "n", "meet"), "node")
+        .join(places_of, "node")
     )
+    key = ["t", "i", "j"]
+    screened = materialize(by_group(placed, key, _screen(percent), "t long, i int, j int, node long, label long, asks boolean"))
+    whole = screened.join(sets.select("node", "n", "shared"), "node")
+    searched = by_group(whole, key, _search(percent), "a long, b long")
     components = connected_components(hubs.unionByName(searched))
 
     first = sized.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
