@@ -9,6 +9,7 @@ has one such last piece, and walking back over them gives the encoding.
 
 import heapq
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -17,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Distinct words that a Python worker remembers between batches, and characters indexed at a time.
-CACHED_WORDS = 1 << 19
-INDEX_CHARS = 1 << 20
+#: Distinct words that a Python worker remembers between batches (twice as many at most), characters indexed at a
+#: time, and rows that are held as Python objects at a time.
+CACHED_WORDS = 1 << 18
+CACHED_PAIRS = 1 << 19
+INDEX_CHARS = 1 << 18
+ROWS = 1024
 
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -48,8 +52,10 @@ class Vocabulary:
             if model.is_control(i):
                 self.raw[i] = b""
         self.raw[self.unknown] = " ⁇ ".encode()
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        never = (-np.inf, 0)
+        self.order = {i: (-self.scores[p], 0) if len(p) > 1 else never for p, i in self.ids.items()}
         # Pieces for the binary search, one row of code points each, those that cross words left out.
         self.searched = sorted(p for p in self.ids if SPACE not in p[1:])
         self.codes = np.zeros((len(self.searched), max(map(len, self.searched))), np.int32)
@@ -60,7 +66,11 @@ class Vocabulary:
 
     def merge(self, symbols: str) -> list[str]:
         """Merge neighbours by highest score, leftmost first."""
-        parts, n = list(symbols), len(symbols)
+        return self._merge(symbols)[0]
+
+    def _merge(self, symbols: str):
+        """The parts that are left, and the two that were merged last."""
+        parts, n, last = list(symbols), len(symbols), None
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         queue = []
 
@@ -75,27 +85,55 @@ class Vocabulary:
             _, i, j, both = heapq.heappop(queue)
             if parts[i] is None or right[i] != j or j >= n or parts[j] is None or parts[i] + parts[j] != both:
                 continue
+            last = (parts[i], parts[j])
             parts[i], parts[j] = both, None
             right[i] = right[j]
             if right[i] < n:
                 left[right[i]] = i
             offer(left[i])
             offer(i)
-        return [p for p in parts if p is not None]
+        return [p for p in parts if p is not None], last
+
+    def halves(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces that merge to a piece last; the piece itself twice for a letter, None if its own letters do
+        not merge to it."""
+        if piece not in self._halves:
+            parts, last = self._merge(self.pieces[piece])
+            own = (self.ids[last[0]], self.ids[last[1]]) if last else (piece, piece)
+            self._halves[piece] = own if len(parts) == 1 else None
+        return self._halves[piece]
 
     def whole(self, piece: int) -> bool:
         """Whether a piece's own letters merge to it."""
-        if piece not in self._whole:
-            self._whole[piece] = len(self.merge(self.pieces[piece])) == 1
-        return self._whole[piece]
+        return self.halves(piece) is not None
 
     def apart(self, first: int, second: int) -> bool:
-        """Whether two neighbouring pieces stay as they are when their letters are merged."""
-        pair = (first, second)
-        if pair not in self._apart:
-            a, b = self.pieces[first], self.pieces[second]
-            self._apart[pair] = self.merge(a + b) == [a, b]
-        return self._apart[pair]
+        """Whether two neighbouring pieces stay as they are when their letters are merged.
+
+        Merges happen by score and, of equal ones, from the left. Going back in time, the later of the two pieces' last
+        merges is undone again and again; a merge across the border that comes before it would have prevented it.
+        """
+        pair = first * len(self.pieces) + second
+        known = self._apart.get(pair)
+        if known is None:
+            if len(self._apart) > CACHED_PAIRS:
+                self._apart.clear()
+            known = self._apart[pair] = self.whole(first) and self.whole(second) and self._stay(first, second)
+        return known
+
+    def _stay(self, a: int, b: int) -> bool:
+        pieces, order, limit = self.pieces, self.order, (np.inf, 0)
+        while True:
+            across = self.ids.get(pieces[a] + pieces[b])
+            if across is not None and (order[across][0], 1) < limit:
+                return False
+            left, right = order[a], (order[b][0], 2)
+            if left[0] == right[0] == -np.inf:
+                return True
+            if left > right:
+                limit, a = left, self.halves(a)[1]
+            else:
+                limit, b = right, self.halves(b)[0]
 
 
 def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
@@ -107,7 +145,7 @@ def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(size):
         key <<= np.uint64(bits)
-        key[: n - i] |= letters[i:]
+        key[: max(0, n - i)] |= letters[i:]
     order = np.argsort(key)
     while size < longest:
         ordered = key[order]
@@ -189,12 +227,15 @@ class Encoder:
 
     def __init__(self, model_file: str):
         self.vocabulary = Vocabulary(model_file)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as bytes of int32
+        self.older: dict[str, bytes] = {}
 
     def _parts(self, word: str) -> list[str]:
         """A word cut where no piece reaches across: after all but the last of several spaces, and around letters that
         are not in the vocabulary."""
         letters, parts, at = self.vocabulary.letters, [], 0
+        if word[1:2] != SPACE and letters.issuperset(word):
+            return [word]
         spaces = len(word) - len(word.lstrip(SPACE))
         if spaces > 1:
             parts.append(word[: spaces - 1])
@@ -225,6 +266,9 @@ class Encoder:
             at = end
         lone = v.ids.get(SPACE)
         for word, ps in parts.items():
+            if len(ps) == 1 and word in ids:
+                self.known[word] = array("i", ids[word]).tobytes()
+                continue
             out: list[int] = []
             spaces = ""
             for i, p in enumerate(ps):
@@ -243,16 +287,22 @@ class Encoder:
                 out += own
             if spaces:
                 out += [v.ids[x] for x in v.merge(spaces)]
-            self.known[word] = out
+            self.known[word] = array("i", out).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        fresh = {w for words in split for w in words if w not in self.known}
+        if len(self.known) > CACHED_WORDS:  # words that are still in use come back from the older half
+            self.known, self.older = {}, self.known
+        known, fresh = self.known, set()
+        for words in split:
+            for w in set(words).difference(known):
+                if w in self.older:
+                    known[w] = self.older[w]
+                else:
+                    fresh.add(w)
         if fresh:
             self._learn(list(fresh))
-        return [np.array([i for w in words for i in self.known[w]], np.int32) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
 
 def decode_ids(ids, raw: list[bytes]) -> str:
@@ -279,8 +329,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", into: str =
     def ids(texts: pa.Array) -> pa.Array:
         own = encoder(model_file)
         parts = []
-        for at in range(0, len(texts), 1024):
-            found = own.encode([t or "" for t in texts.slice(at, 1024).to_pylist()])
+        for at in range(0, len(texts), ROWS):
+            found = own.encode([t or "" for t in texts.slice(at, ROWS).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).astype(np.int32)
             parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
@@ -299,6 +349,6 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids", into: str
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         raw = encoder(model_file).vocabulary.raw
-        return pa.array([None if x is None else decode_ids(x, raw) for x in ids.to_pylist()], pa.string())
+        return pa.array((decode_ids(x.values.to_numpy().tolist(), raw) if x.is_valid else None for x in ids), pa.string())
 
     return encoded.withColumn(into, text(F.col(f"`{ids_col}`")))
