@@ -26,7 +26,8 @@ WORD_PAGES = 8
 MERGE_WAYS = 32
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(script|style|noscript|template|textarea|svg|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|$)"
     r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<",
     re.S | re.I,
 )
@@ -37,13 +38,15 @@ _INLINE = set(
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_NESTED = {"p", "dt", "dd", "option"}
-_OUTSIDE = set("nav header footer aside form head button select menu dialog figcaption".split())
+_OUTSIDE = set("nav header footer aside form head button select menu dialog".split())
 _OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|menu|nav\w*|topbar|side-?bar|footer|header|masthead|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|menu|nav\w*|topbar|side-?bar|footer|masthead|"
     r"breadcrumbs?|cookies?|consent|notices?|alerts?|pop-?up|modal|newsletter|subscri\w*|share|sharing|social|related|"
     r"comments?|replies|reply|disqus|respond|login|search)(?:$|[\s_-])",
     re.I,
 )
+#: A header belongs to the frame of the page only outside article and main.
+_HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
 
 def host_of(url: str | None) -> str:
@@ -89,7 +92,9 @@ def read_page(source: str | None):
             _, outside, article, link = stack[-1] if stack else ("", False, False, False)
             names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4] or ""))
             main = name in ("article", "main")
-            outside = outside or name in _OUTSIDE or bool(names and name not in ("body", "html") and _OUTSIDE_NAMES.search(names))
+            if names and name not in ("body", "html"):
+                outside = outside or bool(_OUTSIDE_NAMES.search(names)) or not article and bool(_HEADER_NAMES.search(names))
+            outside = outside or name in _OUTSIDE and not (name == "header" and article)
             if name not in _VOID and not (m[4] or "").endswith("/"):
                 stack.append((name, outside, article or main, link or name == "a"))
         path = "/".join(x[0] for x in stack if x[0] not in _INLINE and x[0] not in _NOT_NESTED)

@@ -84,3 +84,22 @@ def test_parts():
     assert host_of("HTTP://user@Www.A.example:80/x") == "www.a.example" and host_of(None) == ""
     assert in_order([1, 2, 3, 4], {1: 9, 2: 1, 3: 2, 4: 3}) == [2, 3, 4]
     assert [t for _, t, *_ in read_page("a<b>c</b>") if t] == [(["a"], (False, False)), (["c"], (False, False))]
+
+
+def texts(spark, pages, host="https://a.example"):
+    """The texts of pages of one host, in their order."""
+    rows = [(n, f"{host}/{n}", p) for n, p in enumerate(pages)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_tags_that_look_like_skipped_ones(spark):
+    pages = [
+        '<p>one <svg class="i"/> two</p><p>three</p>',
+        '<p>one <svg class="a>b"><text>gone</text></svg> two</p>',
+        "<style-guide>one</style-guide><title-bar>two</title-bar><template-x>three</template-x>",
+        "<article><header class='entry-header'><h1>Head</h1></header><figure><figcaption>Caption</figcaption></figure><p>Story</p></article>",
+        "<header>frame</header><div class='page-header'>frame</div><article><p>Story</p></article><header>frame</header>",
+    ]
+    want = ["one two\n\nthree", "one two", "one\n\ntwo\n\nthree", "Head\n\nCaption\n\nStory", "Story"]
+    assert [texts(spark, [p])[0] for p in pages] == want
