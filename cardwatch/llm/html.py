@@ -1,17 +1,22 @@
 """Main text of web pages by template deduction from pages of one host.
 
-A token is a tag or a word together with the path of the elements around it, so that equal tokens in different places
-have different roles. Tokens that occur equally often on every page of a host (they share an occurrence vector) form an
-equivalence class. The class of tokens that occur exactly once on every page, cut down to those that keep one order on
-all pages, is the outer template of the host; classes of tags with other vectors are its repeating parts when they lie
-in one slot of it. What the template leaves are slots. The main text is in the slots that hold the article; blocks made
-of template words only are boilerplate and go.
+A page gives units: its block tags (path, name and how often they occur on it), its blocks of text outside article and
+main (path and words in order), and the places of its link blocks. A unit is part of the host's template when more than
+half of the host's pages, and two at least, hold it. Pages are told apart by their tags and words: copies, with the same
+tags and words under several urls, count as one, and pages without tokens count for nothing. So a page that is empty,
+cut or an error takes nothing from the template of the others, and one rule holds for hosts of any size.
+
+Blocks of the template are boilerplate and go. Inside article and main they stay, but for paragraphs that open with a
+name such as "share". On pages without article and main, blocks that are at least half links go where the template has
+link blocks in their place, unless they are headings or stand in the slot that holds the article: the innermost element
+of the template, opened and closed alike, with more than half of the page's own words.
 """
 
 import html
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -20,10 +25,8 @@ from pyspark.sql import functions as F
 
 from cardwatch.sources.session import materialize
 
-#: Pages of a host from which words, and not only tags, count as its template.
-WORD_PAGES = 8
-#: Ways in which the summaries of one host are first merged apart.
-MERGE_WAYS = 32
+#: Keys of tags and words that a worker remembers.
+REMEMBERED = 200_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
@@ -45,6 +48,9 @@ _OUTSIDE_NAMES = re.compile(
     r"comments?|replies|reply|disqus|respond|login|search)(?:$|[\s_-])",
     re.I,
 )
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements of a text: they may stand in the slot of the article but are not the slot.
+_TEXT = _HEADINGS | set("p ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th address".split())
 #: A header belongs to the frame of the page only outside article and main.
 _HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
@@ -55,23 +61,21 @@ def host_of(url: str | None) -> str:
 
 
 def read_page(source: str | None):
-    """Tokens in page order: (role, words, break, outside, article, link) with words for text and None for a tag.
+    """Tokens in page order: (role, words, break, outside, article, link, open elements), words for text, None for a tag.
 
-    ``break`` tells that a block ends here. Elements left open are closed by the end of what holds them.
+    ``break`` tells that a block ends here. Elements left open are closed by the end of what holds them. The list of
+    open elements changes as the page goes on; each is (name, outside, article, link, path, role, number).
     """
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, outside, article, link
-    path = ""
+    stack: list[tuple[str, bool, bool, bool, str, str, int]] = []
+    top, number = ("", False, False, False, "", "", 0), 0
     for m in _TOKEN.finditer(source or ""):
         whole = m[0]
         if m[3] is None:
             if whole[:1] == "<" and len(whole) > 1:  # comments, declarations, scripts: a tag without text
-                name = (m[1] or "!").lower()
-                yield f"{path}/{name}", None, False, True, False, False
+                yield f"{top[4]}/{(m[1] or '!').lower()}", None, False, True, False, False, stack
                 continue
-            words = html.unescape(whole).split()
-            _, outside, article, link = stack[-1] if stack else ("", False, False, False)
             space = (whole[:1].isspace(), whole[-1:].isspace())
-            yield path, (words, space), False, outside, article, link
+            yield top[4], (html.unescape(whole).split(), space), False, top[1], top[2], top[3], stack
             continue
         if not whole.endswith(">"):
             continue  # a tag that the end of the page cuts
@@ -79,30 +83,47 @@ def read_page(source: str | None):
         breaks = name not in _INLINE and name != "br"
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            role = f"{path}/-{name}"
+            role = f"{top[4]}/-{name}"
             if depth is not None and name in _INLINE and any(x[0] not in _INLINE for x in stack[depth + 1 :]):
                 depth = None  # an inline end tag does not close blocks
             if depth is not None:
                 del stack[depth:]
+                top = stack[-1] if stack else ("", False, False, False, "", "", 0)
         else:
             if breaks:
                 while stack and (stack[-1][0] in _INLINE or stack[-1][0] in _NOT_NESTED and stack[-1][0] == name):
                     stack.pop()
+                top = stack[-1] if stack else ("", False, False, False, "", "", 0)
+            _, outside, article, link, path, *_ = top
             role = f"{path}/{name}"
-            _, outside, article, link = stack[-1] if stack else ("", False, False, False)
-            names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4] or ""))
-            main = name in ("article", "main")
+            names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[4])) if m[4] else ""
             if names and name not in ("body", "html"):
                 outside = outside or bool(_OUTSIDE_NAMES.search(names)) or not article and bool(_HEADER_NAMES.search(names))
             outside = outside or name in _OUTSIDE and not (name == "header" and article)
             if name not in _VOID and not (m[4] or "").endswith("/"):
-                stack.append((name, outside, article or main, link or name == "a"))
-        path = "/".join(x[0] for x in stack if x[0] not in _INLINE and x[0] not in _NOT_NESTED)
-        yield role, None, breaks, False, False, name == "br"
+                if name not in _INLINE and name not in _NOT_NESTED:
+                    path = f"{path}/{name}" if path else name
+                number += 1
+                top = (name, outside, article or name in ("article", "main"), link or name == "a", path, role, number)
+                stack.append(top)
+        yield role, None, breaks, False, False, name == "br", stack
 
 
-def _key(role: str, word: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{role}\x00{word}") - (1 << 63)
+class _Keys(dict):
+    """Hashes of strings, remembered up to a bound."""
+
+    def __missing__(self, text: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[text] = key = xxhash.xxh64_intdigest(text) - (1 << 63)
+        return key
+
+
+_KEYS = _Keys()
+
+
+def _key(*parts) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
 
 
 def in_order(first: list[int], second: dict[int, int]) -> list[int]:
@@ -121,128 +142,138 @@ def in_order(first: list[int], second: dict[int, int]) -> list[int]:
     return out[::-1]
 
 
-SUMMARY = "host string, pages long, outer array<bigint>, words array<bigint>, tag array<bigint>, vector array<bigint>, total array<bigint>"
-_FIELDS = [("host", pa.string()), ("pages", pa.int64())] + [
-    (c, pa.list_(pa.int64())) for c in ("outer", "words", "tag", "vector", "total")
-]
-
+@dataclass(slots=True)
+class Block:
+    """A run of text that no block tag cuts, and where it stands."""
 
-def _table(rows):
-    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], [n for n, _ in _FIELDS])
+    path: str
+    article: bool
+    outside: bool
+    within: tuple = ()
+    heading: bool = False
+    linked: int = 0
+    words: list = field(default_factory=list)
+    pieces: list = field(default_factory=list)
 
+    def unit(self) -> int:
+        return _key("block", self.path, *self.words)
 
-def _wrap(x: int) -> int:
-    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    def named(self) -> bool:
+        """Opens with a name such as those of elements outside the article."""
+        return not self.heading and bool(_OUTSIDE_NAMES.match(self.words[0].strip(".,:;!?")))
 
+    def of_links(self) -> bool:
+        return not (self.article or self.outside or self.heading) and 2 * self.linked >= len(self.words)
 
-def _summarise(batches):
-    """One row per host and batch: pages, tokens that occur once on all pages in their common order, and of each tag
-    its fingerprint, a sum over pages of a hash of page and count: tags with equal sums share an occurrence vector."""
-    for batch in batches:
-        hosts = {}
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            count, place, words = Counter(), {}, set()
-            for role, text, *_ in read_page(page):
-                keys = [_key(role)] if text is None else [_key(role, w) for w in text[0]]
-                count.update(keys)
-                for key in keys:
-                    place[key] = len(place)
-                if text is not None:
-                    words.update(keys)
-            once = {k: place[k] for k, c in count.items() if c == 1}
-            identity = xxhash.xxh64_intdigest(f"{url}\x00{page}")
-            host = hosts.setdefault(host_of(url), [0, None, set(), defaultdict(int), defaultdict(int)])
-            host[0] += 1
-            host[1] = sorted(once, key=once.get) if host[1] is None else in_order(host[1], once)
-            host[2] = (words if host[0] == 1 else host[2]) & set(host[1])
-            for key, c in count.items():
-                if key not in words:
-                    host[3][key] = _wrap(host[3][key] + xxhash.xxh64_intdigest(f"{identity}:{c}"))
-                    host[4][key] += c
-        rows = [
-            (h, n, outer, sorted(words), list(vector), list(vector.values()), [total[k] for k in vector])
-            for h, (n, outer, words, vector, total) in hosts.items()
-        ]
-        yield from _table(rows).to_batches()
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """One row of the rows of a host."""
-    host, pages, outer, words, vector, total = None, 0, None, set(), defaultdict(int), defaultdict(int)
-    for row in zip(*(table.column(n).to_pylist() for n, _ in _FIELDS)):
-        host, pages = row[0], pages + row[1]
-        outer = row[2] if outer is None else in_order(outer, {t: i for i, t in enumerate(row[2])})
-        words |= set(row[3])
-        for t, v, c in zip(row[4], row[5], row[6]):
-            vector[t] = _wrap(vector[t] + v)
-            total[t] += c
-    return _table([(host, pages, outer, sorted(words & set(outer)), list(vector), list(vector.values()), [total[t] for t in vector])])
-
-
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``pages``, ``outer``, ``words`` and ``classes``: the template of every host.
-
-    Summaries of a host are merged within batches, then in up to ``MERGE_WAYS`` groups, then together, so that a host
-    with a third of all pages is not gathered anywhere.
-    """
-    source = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("page"))
-    parts = source.mapInArrow(_summarise, SUMMARY)
-    ways = F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS))
-    merged = parts.withColumn("way", ways).groupBy("host", "way").applyInArrow(lambda t: _merge(t), SUMMARY)
-    merged = merged.groupBy("host").applyInArrow(_merge, SUMMARY)
-    # Classes of two or more tags with one vector, other than the outer one.
-    entries = F.transform(F.arrays_zip("tag", "vector"), lambda e: F.struct(e["vector"].alias("vector"), e["tag"].alias("tag")))
-    inner = F.filter(entries, lambda e: ~F.array_contains("outer", e["tag"]))
-    return merged.select("host", "pages", "outer", "words", inner.alias("classes"))
+    def place(self) -> int:
+        return _key("links", self.path)
 
+    def text(self) -> str:
+        return " ".join("".join(self.pieces).split())
 
-def main_text(page: str | None, pages: int, outer: list[int], words: list[int], classes: list[tuple[int, int]]) -> str:
-    """The text of one page under its host's template."""
-    template, known = set(outer), set(words) if pages >= WORD_PAGES else set()
-    class_of = dict(classes)
-    slot, slots_of = 0, defaultdict(set)
-    blocks, now = [], None  # [slot, article, outside, link words, all words, template words, text pieces]
-
-    def close():
-        nonlocal now
-        if now and now[4]:
-            blocks.append(now)
-        now = None
 
-    for role, text, breaks, outside, article, link in read_page(page):
+def read_blocks(page: str | None) -> tuple[list[Block], Counter, bytes | None]:
+    """Blocks with words, the block tags with their numbers, and 128 bits of all tags and words; None without any."""
+    blocks, tags, seen, now = [], Counter(), [], None
+    for role, text, breaks, outside, article, link, stack in read_page(page):
+        seen.append(role)
         if text is None:
-            key = _key(role)
-            if key in template:
-                slot += 1
-            elif key in class_of:
-                slots_of[class_of[key]].add((slot, role.endswith("/a")))
             if breaks:
-                close()
+                tags[role] += 1
+                now = None
             elif link and now:
-                now[6].append(" ")
+                now.pieces.append(" ")
             continue
         found, (before, after) = text
-        if now and now[1:3] != [article, outside]:
-            close()
+        if now and (now.article, now.outside) != (article, outside):
+            now = None
         if not found:
             if now and (before or after):
-                now[6].append(" ")
+                now.pieces.append(" ")
             continue
+        seen += found
         if now is None:
-            now = [slot, article, outside, 0, 0, 0, []]
-        now[3] += len(found) * link
-        now[4] += len(found)
-        now[5] += sum(_key(role, w) in known for w in found)
-        now[6].append(" " * before + " ".join(found) + " " * after)
-    close()
-    # A class that stays in one slot nests there; one that repeats links makes the slot a list of links.
-    lists = {next(iter(s))[0] for s in slots_of.values() if len({x for x, _ in s}) == 1 and any(a for _, a in s)}
-    kept = [b for b in blocks if not b[2] and b[5] < b[4]]
-    if any(b[1] for b in kept):
-        kept = [b for b in kept if b[1]]
-    else:
-        kept = [b for b in kept if 2 * b[3] < b[4] or b[0] not in lists and b[3] < b[4]]
-    return "\n\n".join(" ".join("".join(b[6]).split()) for b in kept)
+            within = () if outside else tuple(stack)
+            now = Block(role, article, outside, within, any(x[0] in _HEADINGS for x in within))
+            blocks.append(now)
+        now.linked += len(found) * link
+        now.words += found
+        now.pieces.append(" " * before + " ".join(found) + " " * after)
+    some = bool(blocks or tags)
+    return blocks, tags, xxhash.xxh3_128_digest("\x00".join(seen)) if some else None
+
+
+def units(blocks: list[Block], tags: Counter) -> set[int]:
+    """What a page may have in common with others of its host."""
+    out = {_KEYS[f"tag\x00{role}\x00{n}"] for role, n in tags.items()}
+    for b in blocks:
+        if not b.outside and (not b.article or b.named()):
+            out.add(b.unit())
+            if b.of_links():
+                out.add(b.place())
+    return out
+
+
+def _units(batches):
+    """One row per host and different page of a batch: the page's units and 0, which stands for the page itself."""
+    for batch in batches:
+        rows = {}
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            blocks, tags, content = read_blocks(page)
+            if content is not None and (key := (host_of(url), content)) not in rows:
+                rows[key] = [0, *units(blocks, tags)]
+        hosts, contents = zip(*rows) if rows else ((), ())
+        yield pa.record_batch(
+            [pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(rows.values(), pa.list_(pa.int64()))],
+            ["host", "content", "units"],
+        )
+
+
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host``, ``pages`` and ``outer``: the number of different pages of every host, and the units of its template.
+
+    Different pages are found by a shuffle on host and content, units are counted within tasks first, so that a host
+    with a third of all pages is not gathered anywhere. A template has at most twice the units of an average page.
+    """
+    source = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("page"))
+    found = source.mapInArrow(_units, "host string, content binary, units array<bigint>")
+    found = found.groupBy("host", "content").agg(F.first("units").alias("units"))
+    counts = materialize(found.select("host", F.explode("units").alias("unit")).groupBy("host", "unit").agg(F.count("*").alias("n")))
+    total = counts.where("unit = 0").select("host", F.col("n").alias("pages"))
+    shared = counts.where("unit <> 0 AND n > 1").join(total, "host").where("2 * n > pages")
+    outer = shared.groupBy("host").agg(F.collect_list("unit").alias("outer"))
+    return total.join(outer, "host", "left").withColumn("outer", F.coalesce("outer", F.array().cast("array<bigint>")))
+
+
+def _slot(blocks: list[Block], tags: Counter, template) -> int | None:
+    """The number of the innermost element of the template with more than half of the words outside links."""
+    weight, elements = Counter(), {}
+    for b in blocks:
+        for x in b.within:
+            weight[x[6]] += len(b.words) - b.linked
+            elements[x[6]] = x
+    total = sum(len(b.words) - b.linked for b in blocks)
+    for number in sorted(elements, reverse=True):
+        name, _, _, _, path, role, _ = elements[number]
+        if 2 * weight[number] > total and name not in _INLINE and name not in _TEXT:
+            ends = f"{path}/-{name}"
+            paired = tags[role] == tags[ends]
+            if paired and all(_KEYS[f"tag\x00{r}\x00{tags[r]}"] in template for r in (role, ends)):
+                return number
+    return None
+
+
+def main_text(page: str | None, template) -> str:
+    """The text of one page under its host's template."""
+    blocks, tags, _ = read_blocks(page)
+    kept = [b for b in blocks if not b.outside and not ((not b.article or b.named()) and b.unit() in template)]
+    if any(b.article for b in kept):
+        kept = [b for b in kept if b.article]
+    elif any(b.of_links() for b in kept):
+        slot = _slot(kept, tags, template)
+        inside = [slot is None or any(x[6] == slot for x in b.within) for b in kept]
+        kept = [b for b, here in zip(kept, inside) if here or not (b.of_links() and b.place() in template)]
+    return "\n\n".join(b.text() for b in kept)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -250,8 +281,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
     A null or empty page, or one without an article or other text of its own, has an empty text. Null urls form one
-    host of their own; hosts with few pages have templates of tags alone. Null and repeated ids keep their rows. Pages
-    of any length are read whole. Other columns are not read. An empty table gives an empty table.
+    host of their own; a host with one page has no template. Null and repeated ids keep their rows. Pages of any length
+    are read whole. Other columns are not read. An empty table gives an empty table.
 
     The templates are a stored table, one short row per host; pages are joined with it, by broadcast where its size
     is below the session's limit, else by a shuffle that may split large hosts.
@@ -265,8 +296,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def extract(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page", "pages", "outer", "words", "classes")))
-            texts = [main_text(p, n or 0, o or [], w or [], [(c["tag"], c["vector"]) for c in k or []]) for p, n, o, w, k in rows]
+            known, texts = {}, []
+            for i, (page, host) in enumerate(zip(batch.column("page").to_pylist(), batch.column("host").to_pylist())):
+                if host not in known:
+                    known[host] = frozenset(batch.column("outer")[i].as_py() or ())
+                texts.append(main_text(page, known[host]))
             yield pa.record_batch(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

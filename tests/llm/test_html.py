@@ -103,3 +103,17 @@ def test_tags_that_look_like_skipped_ones(spark):
     ]
     want = ["one two\n\nthree", "one two", "one\n\ntwo\n\nthree", "Head\n\nCaption\n\nStory", "Story"]
     assert [texts(spark, [p])[0] for p in pages] == want
+
+
+def plain(n, body):
+    """A page without article and main, all of whose frame stands in plain elements."""
+    frame = "<html><body><div>{0}</div>{1}<div>We use cookies and cookies of the site</div></body></html>"
+    return frame.format("<ul><li><a href='/'>Home</a></li><li><a href='/n'>Other %d</a></li></ul>" % n, body)
+
+
+def test_empty_and_cut_pages_leave_the_template(spark):
+    pages = [plain(n, f"<div><p>the story {n} of the day</p></div>") for n in range(12)]
+    odd = [None, "", "<html><body><h1>404</h1></body></html>", pages[3][:40]]
+    for n in (3, 12):
+        want = [f"the story {i} of the day" for i in range(n)]
+        assert texts(spark, pages[:n] + odd[: n // 3])[:n] == want
