@@ -117,3 +117,9 @@ def test_empty_and_cut_pages_leave_the_template(spark):
     for n in (3, 12):
         want = [f"the story {i} of the day" for i in range(n)]
         assert texts(spark, pages[:n] + odd[: n // 3])[:n] == want
+
+
+def test_words_that_repeat_or_stand_in_the_story_too(spark):
+    notice = "We use cookies and cookies of the site"
+    pages = [f"<body><div>{notice}</div><div>{'we use the site and cookies ' * n}{n}</div></body>" for n in range(1, 9)]
+    assert texts(spark, pages) == [("we use the site and cookies " * n) + str(n) for n in range(1, 9)]
