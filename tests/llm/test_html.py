@@ -123,3 +123,13 @@ def test_words_that_repeat_or_stand_in_the_story_too(spark):
     notice = "We use cookies and cookies of the site"
     pages = [f"<body><div>{notice}</div><div>{'we use the site and cookies ' * n}{n}</div></body>" for n in range(1, 9)]
     assert texts(spark, pages) == [("we use the site and cookies " * n) + str(n) for n in range(1, 9)]
+
+
+def test_same_blocks_in_articles_stay_on_hosts_of_any_size(spark):
+    def one(n):
+        return f"<article><h1>Release notes</h1><p>By our staff</p><p>story {n}</p></article>"
+
+    for size in (1, 2, 7, 8, 9):
+        assert texts(spark, map(one, range(size))) == [f"Release notes\n\nBy our staff\n\nstory {n}" for n in range(size)]
+    copies = [f"<body><div id='x{n}'><h1>Only head</h1><p>only story</p></div></body>" for n in range(9)]
+    assert texts(spark, copies) == ["Only head\n\nonly story"] * 9
