@@ -133,3 +133,15 @@ def test_same_blocks_in_articles_stay_on_hosts_of_any_size(spark):
         assert texts(spark, map(one, range(size))) == [f"Release notes\n\nBy our staff\n\nstory {n}" for n in range(size)]
     copies = [f"<body><div id='x{n}'><h1>Only head</h1><p>only story</p></div></body>" for n in range(9)]
     assert texts(spark, copies) == ["Only head\n\nonly story"] * 9
+
+
+def test_links_of_the_story_stay(spark):
+    def body(n):
+        refs = "".join(f"<li><a href='/{i}'>Source {n} {i}</a></li>" for i in range(3))
+        return f"<div><h1><a href='/{n}'>Head {n}</a></h1><p>the long story number {n} of this day</p><p>see <a href='/r'>report {n} here</a></p><ul>{refs}</ul></div>"
+
+    want = [
+        "\n\n".join([f"Head {n}", f"the long story number {n} of this day", f"see report {n} here"] + [f"Source {n} {i}" for i in range(3)])
+        for n in range(10)
+    ]
+    assert texts(spark, [plain(n, body(n)) for n in range(10)]) == want
