@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.llm.components import connected_components
+from cardwatch.llm.lines import row_key
 from cardwatch.llm.words import mix, shingle_sets
 from cardwatch.sources.session import materialize
 
@@ -49,7 +50,8 @@ def _sizes(size):
         for batch in batches:
             out = [(len(s), fingerprint(s)) for _, s in shingle_sets(batch.column(1), size)]
             n, node = zip(*out) if out else ((), ())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["id", "n", "node"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *batch.columns[2:]]
+            yield pa.record_batch(columns, ["id", "n", "node", *batch.schema.names[2:]])
 
     return run
 
@@ -357,6 +359,37 @@ def near_duplicate_groups(
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("body"))
     sized = materialize(source.mapInArrow(_sizes(words), "id long, n long, node long"))
+    grouped = _components(source, sized, words, percent)
+    first = sized.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
+    grouped = first.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = grouped.select("node", "component").join(ids, "component").select("node", "component_id")
+    alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return sized.join(named, "node", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), alone.alias("component_id")
+    )
+
+
+def near_duplicate_rows(
+    docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``a``, ``b`` and ``component`` of every row, by the links of ``near_duplicate_groups``.
+
+    ``a`` and ``b`` are the row's key (``row_key`` of id and text, null as empty). ``component`` is the same number for
+    all rows, and only those, that are reachable over links, whatever their ids; it is null for the empty set.
+    """
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("body"))
+    key = row_key(F.col("id"), F.coalesce("body", F.lit("")))
+    keyed = source.select("id", "body", key.getField("a").alias("a"), key.getField("b").alias("b"))
+    sized = materialize(keyed.mapInArrow(_sizes(words), "id long, n long, node long, a long, b long"))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "node"))
+    return sized.join(_components(source, sized, words, percent), "node", "left").select(
+        F.col("id").alias("doc_id"), "a", "b", component.alias("component")
+    )
+
+
+def _components(source: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node`` and ``component`` of the nodes that link with another one."""
     total = sized.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / RANGE_ROWS))))
 
@@ -417,13 +450,4 @@ def near_duplicate_groups(
     screened = materialize(by_group(placed, key, _screen(percent), "t long, i int, j int, node long, label long, asks boolean"))
     whole = screened.join(sets.select("node", "n", "shared"), "node")
     searched = by_group(whole, key, _search(percent), "a long, b long")
-    components = connected_components(hubs.unionByName(searched))
-
-    first = sized.where("n > 0").groupBy("node").agg(F.min("id").alias("first"))
-    grouped = first.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.select("node", "component").join(ids, "component").select("node", "component_id")
-    alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return sized.join(named, "node", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), alone.alias("component_id")
-    )
+    return connected_components(hubs.unionByName(searched))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cardwatch.llm.decontaminate import find_items
-from cardwatch.llm.lines import drop_repeated_lines
-from cardwatch.llm.near_duplicates import near_duplicate_groups
+from cardwatch.llm.lines import drop_repeated_lines, row_key
+from cardwatch.llm.near_duplicates import near_duplicate_rows
 from cardwatch.llm.pieces import decode, encode
 from cardwatch.llm.queries import table, tokenizer_file
 from cardwatch.llm.toxicity import add_severity, fit_severity
@@ -26,16 +26,18 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id. Documents that link with none stay, as
-    do those with an empty text or a null id; rows alike in id and text are one document."""
-    groups = near_duplicate_groups(docs)
-    gone = materialize(
-        groups.where("component_id IS NOT NULL AND doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct()
-    )
+    """One row of each group of near duplicates, that with the smallest id, and of rows alike in id that with the smallest
+    key of id and text. Rows that link with none stay, as do those with an empty text; rows alike in id and text are one
+    document. A null id comes after all others; rows with a null id that are alike in text stay or go together."""
     text = F.coalesce("text", F.lit(""))
-    once = F.row_number().over(W.partitionBy("doc_id", "alike").orderBy(F.length(text)))
-    alike = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
-    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").withColumn("alike", alike)
+    rows = materialize(near_duplicate_rows(docs).where("component IS NOT NULL"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    ends = rows.groupBy("component").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
+    gone = materialize(rows.join(ends, "component").where(order != F.col("first")).select("a", "b").distinct())
+    key = row_key(F.col("doc_id").cast("long"), text)
+    keyed = docs.withColumn("alike", key)
+    left = keyed.join(gone, (keyed["alike.a"] == gone["a"]) & (keyed["alike.b"] == gone["b"]), "left_anti")
+    once = F.row_number().over(W.partitionBy("alike").orderBy(F.length(text)))
     return left.withColumn("once", once).where("once = 1 OR doc_id IS NULL").select(*docs.columns)
 
 

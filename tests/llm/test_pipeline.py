@@ -53,6 +53,23 @@ def test_repeated_rows_become_one(spark):
     assert stage("near_duplicates")(spark, docs, SMALL).count() == 3
 
 
+def test_near_duplicates_go_by_row(spark):
+    first, other = [f"w{i}" for i in range(100)], [f"v{i}" for i in range(100)]
+    clean = "a text of its own that nobody copied"
+    docs = [
+        (1, " ".join(first)),
+        (5, " ".join([*first, "x"])),
+        (5, clean),
+        (7, " ".join(other)),
+        (7, " ".join([*other, "y"])),
+        (None, " ".join([*first, "z"])),
+        (None, clean),
+    ]
+    got = [(r.doc_id, r.text) for r in stage("near_duplicates")(spark, rows(spark, docs), SMALL).collect()]
+    assert {(1, docs[0][1]), (5, clean)} < set(got) and len(got) == 3
+    assert {d for d, _ in got} == {1, 5, 7}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_empty_table(spark, name):
     assert stage(name)(spark, rows(spark, []), SMALL).count() == 0
