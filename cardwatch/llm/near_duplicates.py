@@ -346,6 +346,14 @@ def _search(percent):
     return run
 
 
+def meeting_places(meets: DataFrame) -> DataFrame:
+    """``t`` and ``hub`` of the places where two or more nodes meet. Places where the same texts meet are one: texts that
+    share a passage share all of its shingles. Any number of nodes may meet in one place."""
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"who{i}") for i in (1, 2)]
+    places = meets.groupBy("t").agg(F.min("node").alias("hub"), F.count("*").alias("k"), *who).where("k > 1")
+    return places.groupBy("k", "hub", "who1", "who2").agg(F.min("t").alias("t")).select("t", "hub")
+
+
 def near_duplicate_groups(
     docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -404,11 +412,8 @@ def _components(source: DataFrame, sized: DataFrame, words: int, percent: int) -
     )
 
     meets = materialize(sets.select("node", F.explode("meet").alias("t")))
-    # Places where the same texts meet are one: texts that share a passage share all of its shingles.
-    who = [F.sum(F.xxhash64(F.lit(i), "node").bitwiseAND((1 << 40) - 1)).alias(f"who{i}") for i in (1, 2)]
-    places = meets.groupBy("t").agg(F.min("node").alias("hub"), F.count("*").alias("k"), *who).where("k > 1")
-    places = places.groupBy("k", "hub", "who1", "who2").agg(F.min("t").alias("t"))
-    members = meets.join(places.select("t", "hub"), "t")
+    places = meeting_places(meets)
+    members = meets.join(places, "t")
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("shared").alias("s1"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("shared").alias("s2"))

@@ -11,7 +11,7 @@ from frames import AWKWARD, awkward, empty
 import cardwatch.llm.near_duplicates as near
 from cardwatch.llm.components import connected_components
 from cardwatch.llm.lines import LOWER, UPPER
-from cardwatch.llm.near_duplicates import divide_skip, near_duplicate_groups
+from cardwatch.llm.near_duplicates import divide_skip, meeting_places, near_duplicate_groups
 from cardwatch.llm.words import word_hashes
 
 SMALL = "/root/testdata/sf0.001"
@@ -115,3 +115,8 @@ def test_words_of_long_and_mixed_texts():
     words = text.split()
     assert len(hashes) == len(words) and [text[s : s + 2] for s in starts[-2:].tolist()] == [b"xx", b"en"]
     assert len(set(hashes.tolist())) == 4 and hashes[1] == hashes[2]
+
+
+def test_place_with_very_many_texts(spark):
+    meets = spark.range(20_000_000).selectExpr("id AS node", "7L AS t")
+    assert [tuple(r) for r in meeting_places(meets).collect()] == [(7, 0)]
