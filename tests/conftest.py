@@ -6,9 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from compare import duck, session
-
-SMALL = "/root/testdata/sf0.001"
+from compare import SMALL, duck, session
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from cardwatch import schema as S

@@ -3,8 +3,7 @@
 import re
 
 import pytest
-from compare import difference
-from conftest import SMALL
+from compare import SMALL, difference
 
 import __spark_entry__ as entry
 
