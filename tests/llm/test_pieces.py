@@ -6,6 +6,7 @@ from frames import AWKWARD, awkward, empty
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import cardwatch.llm.pieces as pieces
 from cardwatch.llm.pieces import SPACE, Encoder, decode, decode_ids, encode
 from cardwatch.llm.queries import QUERIES, tokenizer_file
 
@@ -28,6 +29,27 @@ def test_edges(text):
     assert OWN.encode([text])[0].tolist() == LIBRARY.encode(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aehtinos .\n\tTé😀▁'_"), max_size=30), max_size=8), st.integers(1, 20), st.integers(1, 30))
+def test_batches_of_any_size(texts, chars, indexed):
+    """Long texts in parts, small indexes, and words forgotten between batches."""
+    before = pieces.CHARS, pieces.INDEX_CHARS, pieces.CACHED_WORDS
+    pieces.CHARS, pieces.INDEX_CHARS, pieces.CACHED_WORDS = chars, indexed, chars
+    try:
+        assert [x.tolist() for x in OWN.encode(texts)] == LIBRARY.encode(texts)
+    finally:
+        pieces.CHARS, pieces.INDEX_CHARS, pieces.CACHED_WORDS = before
+
+
+def test_halves():
+    """The last merge of pieces, against merging their letters."""
+    v = OWN.vocabulary
+    for piece, i in list(v.ids.items())[::37]:
+        assert v.whole[i] == (v.merge(piece) == [piece])
+        if v.whole[i] and len(piece) > 1:
+            assert v.pieces[v.first_half[i]] + v.pieces[v.last_half[i]] == piece
+
+
 def test_awkward_rows(spark):
     got = decode(encode(awkward(spark), FILE), FILE, into="back").collect()
     assert sorted(((r.doc_id, list(r.ids), r.back) for r in got), key=str) == sorted(
