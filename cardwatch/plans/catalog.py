@@ -13,7 +13,7 @@ from cardwatch.operators import curves, drift, features, metrics, quality, retra
 from cardwatch.plans import monitor, training, validation
 from cardwatch.sources.session import materialize, shared_path
 from cardwatch.sources.transactions import event_transactions, order_transactions, write_table
-from cardwatch.streaming import jobs
+from cardwatch.streaming import jobs, sinks, store
 
 DIGITS = 6
 TODAY = "2024-01-31"
@@ -791,12 +791,18 @@ def fitted_model_comparison(spark, folder):
 
 @query
 def stream_hourly_kpis(spark, folder):
-    return jobs.drain(jobs.hourly_kpis(jobs.transaction_stream(spark, folder)), "hourly")
+    return jobs.drain(jobs.hourly_kpis(jobs.scored_stream(jobs.transaction_stream(spark, folder))), "hourly")
 
 
 @query
 def stream_alert_volume(spark, folder):
-    return jobs.drain(jobs.alert_volume(jobs.transaction_stream(spark, folder)), "alerts")
+    return jobs.drain(jobs.alert_volume(jobs.scored_stream(jobs.transaction_stream(spark, folder))), "alerts")
+
+
+@query
+def stream_alert_volume_1h(spark, folder):
+    scored = jobs.scored_stream(jobs.transaction_stream(spark, folder))
+    return jobs.drain(jobs.alert_volume(scored, "1 hour", "10 minutes"), "alerts-1h")
 
 
 @query
@@ -806,19 +812,42 @@ def stream_dedup(spark, folder):
     return jobs.drain(jobs.deduplicated(twice), "dedup").select("transaction_id", "ts", "amount")
 
 
+def stored_by_day(spark, folder):
+    """The transactions as a stored table with a folder per day."""
+    path = shared_path(spark, "transactions")
+    return write_table(tx(spark, folder).withColumn("day", F.to_date("ts")), path, partition_by=["day"])
+
+
+def label_status(spark, folder, days):
+    labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1").select("transaction_id", "chargeback_ts")
+    sink = shared_path(spark, "labels")
+    sinks.labels_into(labels, stored_by_day(spark, folder), sink, days)
+    return spark.read.parquet(sink).select("transaction_id", "ts", "amount", "chargeback_ts", "label_status")
+
+
 @query
 def stream_label_join(spark, folder):
-    labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1")
-    joined = jobs.drain(jobs.label_join(labels, tx(spark, folder)), "labels")
-    return joined.where("label_status = 'matched'").drop("label_status")
+    return label_status(spark, folder, jobs.LABEL_DAYS).where("label_status = 'matched'").drop("label_status")
 
 
 @query
 def stream_late_labels(spark, folder):
     """Chargebacks that come more than two weeks after their transaction."""
-    labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1")
-    joined = jobs.drain(jobs.label_join(labels, tx(spark, folder), days=14), "late-labels")
-    return joined.where("label_status = 'late'").drop("label_status")
+    return label_status(spark, folder, 14).where("label_status = 'late'").drop("label_status")
+
+
+@query
+def stream_label_upsert(spark, folder):
+    """A stored table without labels into which the stream of chargebacks is merged day by day."""
+    base = tx(spark, folder)
+    bare = base.withColumns(
+        {"day": F.to_date("ts"), "is_fraud": F.lit(0), "chargeback_ts": F.lit(None).cast("timestamp_ntz")}
+    )
+    path = write_table(bare, shared_path(spark, "unlabelled"), partition_by=["day"])
+    work = shared_path(spark, "upserts")
+    labels = jobs.transaction_stream(spark, folder).where("is_fraud = 1").select("transaction_id", "chargeback_ts")
+    sinks.run_batches(labels, "upsert", lambda batch, i: sinks.upsert_labels(batch, i, path, work, 20))
+    return spark.read.parquet(path).select("transaction_id", "ts", "is_fraud", "chargeback_ts")
 
 
 @query
@@ -826,6 +855,19 @@ def stream_scores(spark, folder):
     return jobs.drain(jobs.scored_decisions(jobs.transaction_stream(spark, folder)), "scores")
 
 
+@query
+def stream_scores_without_store(spark, folder):
+    return jobs.drain(jobs.decisions_without_store(jobs.transaction_stream(spark, folder)), "scores")
+
+
+@query
+def stream_entity_features(spark, folder):
+    """The features of the store for every closed transaction: users, merchants, devices and addresses."""
+    stream = jobs.transaction_stream(spark, folder).withWatermark("at", jobs.DELAY)
+    names = [n for e in store.ENTITIES for n in e.features]
+    return rounded(jobs.drain(store.with_history(stream), "features").select("transaction_id", *names))
+
+
 @query
 def stream_user_velocity(spark, folder):
     return jobs.drain(jobs.user_velocity(jobs.transaction_stream(spark, folder)), "velocity")

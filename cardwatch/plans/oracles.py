@@ -172,6 +172,46 @@ MODELS = [
     f"""models AS (SELECT *, 'champion' AS model, {rule_score(scoring.CHAMPION)} AS fraud_score FROM inputs
 UNION ALL SELECT *, 'challenger' AS model, {rule_score(scoring.CHALLENGER)} AS fraud_score FROM inputs)""",
 ]
+
+
+def renewed(key: str) -> str:
+    """A key that counts as a new one after more than seven days without activity."""
+    return f"CAST({key} AS VARCHAR) || '#' || CAST(sum({key}_gap) OVER (PARTITION BY {key} ORDER BY ts, transaction_id) AS VARCHAR)"
+
+
+KEYS = ["user_id", "merchant_id", "device_id", "ip_id"]
+GAPS = ", ".join(
+    f"CASE WHEN ts - lag(ts) OVER (PARTITION BY {k} ORDER BY ts, transaction_id) > INTERVAL 7 DAY THEN 1 ELSE 0 END AS {k}_gap"
+    for k in KEYS
+)
+#: What a store with a time to live of seven days sees: rows in the order of time, idle keys as new ones.
+LIVE = [
+    TX.replace("tx AS", "given AS", 1),
+    f"gaps AS (SELECT *, {GAPS} FROM given)",
+    "tx AS (SELECT * EXCLUDE (" + ", ".join(f"{k}_gap" for k in KEYS) + ") REPLACE ("
+    + ", ".join(f"{renewed(k)} AS {k}" for k in KEYS) + ") FROM gaps)",
+]
+LIVE_SCORED = [*LIVE, *SCORED[1:]]
+CLOSED = "(epoch_us(ts) + 999) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM given)"
+STORE_NAMES = [
+    *["feat_tx_count_user_1h", "feat_tx_count_user_24h", "feat_amount_sum_user_24h", "feat_amount_avg_user_24h"],
+    *["feat_unique_countries_user_7d", "feat_time_since_last_tx_mins", "feat_country_change"],
+    *["feat_user_fraud_rate_historical", "feat_tx_count_merchant_1h", "feat_merchant_fraud_rate_historical"],
+    *["feat_unique_users_per_device_24h", "feat_unique_countries_per_device_7d", "feat_device_age_days"],
+    *["feat_device_fraud_rate_historical", "feat_unique_users_per_ip_24h", "feat_ip_age_days"],
+]
+
+
+def sliding(width: str, slide: str, copies: int, minutes: int) -> str:
+    """Alerts per window of closed counts, from the scores."""
+    return f"""steps AS (SELECT time_bucket(INTERVAL {slide}, ts) AS step, count(*) AS n,
+  count(*) FILTER (WHERE fraud_score >= 0.95) AS alerts FROM scored GROUP BY 1),
+starts AS (SELECT DISTINCT step - to_minutes(CAST(i * {minutes} AS INT)) AS window_start FROM steps, range({copies}) g(i))
+SELECT window_start, window_start + INTERVAL {width} AS window_end, CAST(sum(n) AS BIGINT) AS transactions,
+  CAST(sum(alerts) AS BIGINT) AS alerts FROM starts JOIN steps ON step >= window_start AND step < window_start + INTERVAL {width}
+WHERE window_start + INTERVAL {width} <= (SELECT max(ts) FROM given) - INTERVAL 10 MINUTE GROUP BY 1"""
+
+
 SIDES = """sides AS (SELECT transaction_id, CASE WHEN row_number() OVER (ORDER BY ts, transaction_id)
   <= CAST(floor(count(*) OVER () * 0.75) AS BIGINT) THEN 'baseline' ELSE 'production' END AS side FROM tx)"""
 SIDED = [*SCORED, SIDES, "sided AS (SELECT scored.*, side FROM scored JOIN sides USING (transaction_id))"]
@@ -801,24 +841,36 @@ WHERE ts >= TIMESTAMP '{TODAY}' - INTERVAL 20 DAY AND ts <= TIMESTAMP '{TODAY}'
     )
     + "SELECT *, dollar_recall_ok AND approval_ok AND precision_ok AND score_psi_ok AND feature_psi_ok AS success FROM checks",
     "api_summary_json": summary_json_sql(),
-    "stream_hourly_kpis": with_(TX, *SERVED[:2])
+    "stream_hourly_kpis": with_(*LIVE_SCORED)
     + f"""SELECT date_trunc('hour', ts) AS hour, count(*) AS transactions, count(*) FILTER (WHERE fraud_score >= 0.95) AS alerts,
-  CAST(sum(is_fraud) AS BIGINT) AS frauds, CAST(sum({CENTS}) * 100 AS BIGINT) AS amount_cents FROM served GROUP BY 1
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tx) - INTERVAL 10 MINUTE""",
-    "stream_alert_volume": with_(
-        TX, *SERVED[:2],
-        "hours AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (WHERE fraud_score >= 0.95) AS alerts FROM served GROUP BY 1)",
-        "starts AS (SELECT DISTINCT hour - to_hours(CAST(i AS INT)) AS window_start FROM hours, range(24) g(i))",
-    )
-    + """SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, CAST(sum(n) AS BIGINT) AS transactions,
-  CAST(sum(alerts) AS BIGINT) AS alerts FROM starts JOIN hours ON hour >= window_start AND hour < window_start + INTERVAL 24 HOUR
-WHERE window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM tx) - INTERVAL 10 MINUTE GROUP BY 1""",
+  CAST(sum(is_fraud) AS BIGINT) AS frauds, CAST(sum({CENTS}) * 100 AS BIGINT) AS amount_cents FROM scored GROUP BY 1
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM given) - INTERVAL 10 MINUTE""",
+    "stream_alert_volume": with_(*LIVE_SCORED).rstrip() + ",\n" + sliding("24 HOUR", "1 HOUR", 24, 60),
+    "stream_alert_volume_1h": with_(*LIVE_SCORED).rstrip() + ",\n" + sliding("1 HOUR", "10 MINUTE", 6, 10),
     "stream_dedup": with_(TX) + "SELECT transaction_id, ts, amount FROM tx",
     "stream_label_join": with_(TX)
     + "SELECT transaction_id, ts, amount, chargeback_ts FROM tx WHERE is_fraud = 1 AND chargeback_ts <= ts + INTERVAL 90 DAY",
     "stream_late_labels": with_(TX)
     + "SELECT transaction_id, ts, amount, chargeback_ts FROM tx WHERE is_fraud = 1 AND chargeback_ts > ts + INTERVAL 14 DAY",
-    "stream_scores": with_(TX, *SERVED[:2], DECIDED.replace("scored", "served"))
+    "stream_label_upsert": with_(TX)
+    + """SELECT transaction_id, ts, CASE WHEN is_fraud = 1 AND delay_days <= 20 THEN 1 ELSE 0 END AS is_fraud,
+  CASE WHEN is_fraud = 1 AND delay_days <= 20 THEN chargeback_ts END AS chargeback_ts FROM tx""",
+    "stream_scores": with_(LIVE[0], LIVE[1].removesuffix(")") + " WHERE amount > 0)", *LIVE_SCORED[2:], DECIDED)
+    + f"""SELECT transaction_id, {r("d.fraud_score", 4)} AS fraud_score, d.decision,
+  CASE d.decision WHEN 'BLOCK' THEN 'HIGH' WHEN 'REVIEW' THEN 'MEDIUM' WHEN 'APPROVE' THEN 'LOW' END AS risk_level,
+  CASE WHEN amount > 0 THEN 0 ELSE 1 END AS error_count
+FROM given LEFT JOIN (SELECT transaction_id, fraud_score, decision FROM decided) d USING (transaction_id) WHERE {CLOSED}""",
+    "stream_entity_features": with_(*LIVE, VELOCITY, DEVICE_USERS, DEVICE_COUNTRIES, IP_USERS, AGES, CHANGE, USER_COUNTRIES, RISK)
+    + f"SELECT transaction_id, {', '.join(f'CAST({n} AS BIGINT) AS {n}' if 'country_change' in n else n for n in STORE_NAMES)} FROM given "
+    + " ".join(
+        f"JOIN {t} USING (transaction_id)"
+        for t in [
+            *["velocity", "feat_unique_users_per_device_24h_cte", "feat_unique_countries_per_device_7d_cte", "ages", "changes"],
+            *["feat_unique_users_per_ip_24h_cte", "feat_unique_countries_user_7d_cte", "risk"],
+        ]
+    )
+    + f" WHERE {CLOSED}",
+    "stream_scores_without_store": with_(TX, *SERVED[:2], DECIDED.replace("scored", "served"))
     + f"""SELECT transaction_id, CASE WHEN amount > 0 THEN {r("fraud_score", 4)} END AS fraud_score,
   CASE WHEN amount > 0 THEN decision END AS decision, CASE WHEN amount > 0 THEN CASE decision WHEN 'BLOCK' THEN 'HIGH'
   WHEN 'REVIEW' THEN 'MEDIUM' ELSE 'LOW' END END AS risk_level, CASE WHEN amount > 0 THEN 0 ELSE 1 END AS error_count FROM decided""",

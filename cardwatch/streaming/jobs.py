@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from cardwatch import schema as S
 from cardwatch.functions.expressions import as_instant, cents, without_zone
 from cardwatch.operators import quality, scoring
+from cardwatch.operators.features import add_row_features
 from cardwatch.sources.session import shared_path
 from cardwatch.sources.transactions import from_events
+from cardwatch.streaming.store import DEVICE, USER, with_history
 from cardwatch.streaming.velocity import OUTPUT, UserVelocity
 
 DELAY = "10 minutes"
@@ -58,19 +60,23 @@ def rocksdb(spark: SparkSession):
             spark.conf.set(key, before)
 
 
-def scored_stream(tx: DataFrame) -> DataFrame:
-    """Scores from the row itself and the default history, as the service computes them without a store."""
+def scored_stream(tx: DataFrame, ttl_days: int | None = 7, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Scores from the state of users and devices, by the batch definitions: two stateful stages, one per key."""
+    served = with_history(tx.withWatermark("at", DELAY), (USER, DEVICE), ttl_days, stored)
+    return add_row_features(served, scoring.RULE_ROW).withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
+
+
+def scored_without_store(tx: DataFrame) -> DataFrame:
+    """Scores from the row itself and the default history, as the service computes them when the store is down."""
     served = scoring.with_history_defaults(tx)
     return served.select(*tx.columns, scoring.rule_score(scoring.CHAMPION).alias("fraud_score"))
 
 
-def hourly_kpis(tx: DataFrame) -> DataFrame:
+def hourly_kpis(scored: DataFrame) -> DataFrame:
     """Closed hours only: an hour is written once the watermark has passed its end."""
     alert = F.col("fraud_score") >= F.lit(S.BLOCK_THRESHOLD)
     return (
-        scored_stream(tx)
-        .withWatermark("at", DELAY)
-        .groupBy(F.window("at", "1 hour"))
+        scored.groupBy(F.window("at", "1 hour"))
         .agg(
             F.count(F.lit(1)).alias("transactions"),
             F.count_if(alert).alias("alerts"),
@@ -81,25 +87,20 @@ def hourly_kpis(tx: DataFrame) -> DataFrame:
     )
 
 
-def alert_volume(tx: DataFrame) -> DataFrame:
-    """Alerts of the last 24 hours, every hour.
+def alert_volume(scored: DataFrame, width: str = "24 hours", slide: str = "1 hour") -> DataFrame:
+    """Alerts of the last ``width``, every ``slide``.
 
-    Rows are counted per hour first, so that the 24 copies a sliding window needs are made of hours and not of rows.
+    Rows are counted per ``slide`` first, so that the copies a sliding window needs are made of counts and not of rows.
     """
     alert = F.col("fraud_score") >= F.lit(S.BLOCK_THRESHOLD)
-    hours = (
-        scored_stream(tx)
-        .withWatermark("at", DELAY)
-        .groupBy(F.window("at", "1 hour"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(alert).alias("alerts"))
-    )
-    day = F.window(F.window_time("window"), "24 hours", "1 hour")
+    steps = scored.groupBy(F.window("at", slide)).agg(F.count(F.lit(1)).alias("n"), F.count_if(alert).alias("alerts"))
+    span = F.window(F.window_time("window"), width, slide)
     return (
-        hours.groupBy(day.alias("day"))
+        steps.groupBy(span.alias("span"))
         .agg(F.sum("n").alias("transactions"), F.sum("alerts").alias("alerts"))
         .select(
-            without_zone(F.col("day.start")).alias("window_start"),
-            without_zone(F.col("day.end")).alias("window_end"),
+            without_zone(F.col("span.start")).alias("window_start"),
+            without_zone(F.col("span.end")).alias("window_end"),
             "transactions",
             "alerts",
         )
@@ -128,16 +129,25 @@ def label_join(labels: DataFrame, stored: DataFrame, days: int = LABEL_DAYS) ->
     return found.select("transaction_id", "ts", "amount", "chargeback_ts", status.alias("label_status"))
 
 
-def scored_decisions(tx: DataFrame) -> DataFrame:
-    """Validate, score and decide on the stream; rejected requests keep their error count and get no score."""
+def scored_decisions(tx: DataFrame, ttl_days: int | None = 7, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Validate, score and decide on the stream, with the history of users and devices. Rejected requests keep their
+    error count, get no score and are no part of the history of others."""
     checked = quality.check_requests(tx)
-    served = scoring.with_history_defaults(checked)
-    decided = scoring.with_decision(served.withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION)))
-    valid = F.size("errors") == 0
+    counted = checked.withColumns({"error_count": F.size("errors"), "counted": F.size("errors") == 0})
+    return _decided(scored_stream(counted, ttl_days, stored), F.col("counted"))
+
+
+def decisions_without_store(tx: DataFrame) -> DataFrame:
+    """The same from default histories, at once and without state."""
+    checked = quality.check_requests(tx)
+    counted = checked.withColumns({"error_count": F.size("errors"), "counted": F.size("errors") == 0})
+    return _decided(scored_without_store(counted), F.col("counted"))
+
+
+def _decided(scored: DataFrame, valid) -> DataFrame:
+    decided = scoring.with_decision(scored)
     fields = ["fraud_score", "decision", "risk_level"]
-    return decided.select(
-        "transaction_id", *[F.when(valid, F.col(f)).alias(f) for f in fields], F.size("errors").alias("error_count")
-    )
+    return decided.select("transaction_id", *[F.when(valid, F.col(f)).alias(f) for f in fields], "error_count")
 
 
 def user_velocity(tx: DataFrame) -> DataFrame:
