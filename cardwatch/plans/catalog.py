@@ -98,9 +98,9 @@ def sided_champion(spark: SparkSession, folder: str) -> DataFrame:
     return splits.rowcount_split(champion(spark, folder), source=tx(spark, folder))
 
 
-def sided_features(spark: SparkSession, folder: str) -> DataFrame:
-    full = features.all_features(feature_source(spark, folder), amount="full").select("transaction_id", "ts", *S.ALL_FEATURES)
-    return rounded(splits.rowcount_split(full, source=tx(spark, folder)))
+def sided_features(spark: SparkSession, folder: str, names: list[str] = S.ALL_FEATURES) -> DataFrame:
+    full = features.all_features(feature_source(spark, folder), amount="full").select("transaction_id", "ts", *names)
+    return materialize(rounded(splits.rowcount_split(full, source=tx(spark, folder))))
 
 
 def monitoring_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -580,7 +580,7 @@ def roc_auc(spark, folder):
 @query
 def psi_amount(spark, folder):
     sided = splits.rowcount_split(tx(spark, folder)).select("side", "amount")
-    return rounded(drift.psi_from_counts(drift.side_counts(sided, ["amount"])))
+    return rounded(drift.feature_drift(sided, ["amount"]).select("feature", "psi"))
 
 
 @query
@@ -590,8 +590,8 @@ def feature_drift(spark, folder):
 
 @query
 def categorical_psi(spark, folder):
-    sided = sided_features(spark, folder)
     columns = ["feat_country_change", "feat_is_night", "feat_is_large_amount", "feat_day_of_week", "feat_hour"]
+    sided = sided_features(spark, folder, columns)
     return rounded(drift.categorical_psi(drift.side_counts(sided, columns)))
 
 
@@ -657,6 +657,35 @@ def monitoring_summary(spark, folder):
     return monitored(spark, folder).summary
 
 
+def daily_tables(spark, folder, frame) -> monitor.DailyTables:
+    """Daily tables whose baseline is the first three quarters of the rows."""
+    tables = monitor.DailyTables(spark, shared_path(spark, "monitoring"))
+    columns = [c for c in frame.columns if c in S.ALL_FEATURES]
+    tables.start(frame.where("side = 'baseline'"), {**dict.fromkeys(columns, 10), "fraud_score": 20})
+    return tables
+
+
+@query
+def retrain_decision_by_day(spark, folder):
+    """Production comes in two deliveries, the second with a day that the first one had; the tables add up."""
+    frame = monitoring_frame(spark, folder)
+    tables = daily_tables(spark, folder, frame)
+    production = frame.where("side = 'production'")
+    last = production.agg(F.to_date(F.max("ts")).alias("d")).first().d
+    tables.add(production.where(F.to_date("ts") < F.lit(last)))
+    tables.add(production.where(F.to_date("ts") >= F.date_sub(F.lit(last), 1)))
+    return rounded(tables.report().decision)
+
+
+@query
+def kpi_trend(spark, folder):
+    """KPIs and score stability of every day, from daily counts."""
+    frame = materialize(sided_champion(spark, folder).select("ts", "is_fraud", "fraud_score", "side"))
+    tables = daily_tables(spark, folder, frame)
+    tables.add(frame)
+    return rounded(tables.trend())
+
+
 @query
 def sustained_breach(spark, folder):
     """Days below the approval target at the review threshold, where both models refuse more."""

@@ -577,6 +577,37 @@ def open_count(key: str, hours: int, name: str) -> str:
     return f"count(*) OVER ({w}) AS {name}"
 
 
+def trend_sql() -> str:
+    """Every day against the baseline, and again with the days before it."""
+
+    def over(name: str, span: int) -> str:
+        inside = f"x.day > d.day - {span} AND x.day <= d.day"
+        return f"""{name} AS (SELECT day, sum((p - b) * ln(p / b)) AS {name} FROM (
+  SELECT d.day, greatest(CAST(c.cb AS DOUBLE) / s.nb, 1e-10) AS b,
+    greatest(CAST((SELECT coalesce(sum(x.n), 0) FROM day_bins x WHERE x.bin = c.bin AND {inside}) AS DOUBLE)
+      / (SELECT sum(x.n) FROM days x WHERE {inside}), 1e-10) AS p
+  FROM days d, binned c, sizes s) GROUP BY 1)"""
+
+    spans = {"score_psi": 1, "score_psi_7d": 7, "score_psi_30d": 30}
+    counts = ["total_transactions", "predicted_fraud_count", "actual_fraud_count"]
+    doubles = ["predicted_fraud_rate", "approval_rate", "fraud_detection_rate", "precision", *spans]
+    alerts, caught = "count(*) FILTER (WHERE fraud_score >= 0.95)", "count(*) FILTER (WHERE fraud_score >= 0.95 AND is_fraud = 1)"
+    return with_(
+        *SIDED,
+        "long AS (SELECT 'fraud_score' AS feature, side, fraud_score AS value, CAST(ts AS DATE) AS day FROM sided)",
+        psi_ctes(20),
+        """day_bins AS (SELECT l.day, b.bin, count(*) AS n FROM bins b JOIN long l
+  ON l.value >= b.edges[b.bin] AND (l.value < b.edges[b.bin + 1] OR (b.bin = len(b.edges) - 1 AND l.value = b.edges[b.bin + 1]))
+  GROUP BY 1, 2)""",
+        "days AS (SELECT day, count(*) AS n FROM long GROUP BY 1)",
+        *[over(name, span) for name, span in spans.items()],
+        f"""day_kpi AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total_transactions, {alerts} AS predicted_fraud_count,
+  CAST(sum(is_fraud) AS BIGINT) AS actual_fraud_count, {guarded(alerts, "count(*)")} * 100 AS predicted_fraud_rate,
+  (1 - {guarded(alerts, "count(*)")}) * 100 AS approval_rate, {guarded(caught, "sum(is_fraud)")} * 100 AS fraud_detection_rate,
+  {guarded(caught, alerts)} * 100 AS precision FROM sided GROUP BY 1)""",
+    ) + f"SELECT day, {', '.join(counts)}, {rounded_list(doubles)} FROM day_kpi JOIN " + " JOIN ".join(f"{n} USING (day)" for n in spans)
+
+
 ORACLES: dict[str, str] = {
     "scan_transactions": with_(TX) + "SELECT * FROM tx",
     "write_features": with_(TX, VELOCITY)
@@ -777,6 +808,7 @@ FROM (SELECT * FROM report ORDER BY round(psi, 9) DESC, feature LIMIT 10)""",
     "retrain_decision": with_(*MONITOR_CTES)
     + f"SELECT should_retrain, reason_count, reasons, {rounded_list(['score_psi', 'approval_rate', 'fraud_detection_rate'])} FROM decision",
     "monitoring_summary": with_(*MONITOR_CTES).rstrip() + SUMMARY,
+    "kpi_trend": trend_sql(),
     "sustained_breach": with_(
         *MODELS, daily("models", "0.665", "model"),
         """islands AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY model ORDER BY day) AS INT) AS island FROM kpis
@@ -885,3 +917,4 @@ FROM given LEFT JOIN (SELECT transaction_id, fraud_score, decision FROM decided)
   CAST(sum(n) OVER (PARTITION BY user_id ORDER BY minute RANGE BETWEEN 10079 PRECEDING AND CURRENT ROW) AS BIGINT) AS tx_7d,
   CAST(sum(cents) OVER (PARTITION BY user_id ORDER BY minute RANGE BETWEEN 1439 PRECEDING AND CURRENT ROW) AS BIGINT) AS cents_24h FROM minutes""",
 }
+ORACLES["retrain_decision_by_day"] = ORACLES["retrain_decision"]
