@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardwatch import schema as S
 from cardwatch.functions.expressions import (
@@ -19,7 +20,18 @@ from cardwatch.functions.expressions import (
     flag,
     is_high_risk_country,
 )
-from cardwatch.operators.timeline import Step, Track, accumulate, hot_cuts, replay, sliding_distinct, sliding_sum
+from cardwatch.operators import ranks
+from cardwatch.operators.timeline import (
+    SLICE,
+    Step,
+    Track,
+    accumulate,
+    add_slice,
+    hot_cuts,
+    replay,
+    sliding_distinct,
+    sliding_sum,
+)
 from cardwatch.sources.session import materialize
 
 TIE = "transaction_id"
@@ -309,46 +321,70 @@ def add_full_table_percentile(
     return df.join(table, match, "left").select(*df.columns, name)
 
 
-DIGIT_BITS = 3
-
-
-def past_percentile(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(transaction_id, name): average rank of the amount among the rows of its key up to and including itself.
+def add_past_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_amount_percentile_user") -> DataFrame:
+    """Average rank of the amount among the rows of its key up to and including itself, as a share; the first row has 0.5.
 
-    Counting earlier smaller amounts is done digit by digit: an amount is smaller than another if they agree on the
-    leading digits and its next digit is smaller. Each row therefore appears once per digit, in the history of
-    (key, level, leading digits), and adds the earlier rows there whose digit is smaller. No pair of rows is formed.
+    One shuffle brings the rows of a key, or of a slice of a hot key, together in time order; earlier smaller amounts are
+    counted there for many keys at once (:mod:`cardwatch.operators.ranks`). Rows of a hot key add what the earlier slices
+    hold, from counts per slice and amount. Nothing depends on how large amounts are, and rows that share an id keep
+    their own ranks.
     """
-    work = df.select(key, epoch_micros(df, "ts").alias(US), TIE, cents(F.col("amount")).alias("_cents"))
-    bounds = work.agg(F.min("_cents").alias("lo"), F.max("_cents").alias("hi"), F.count("_cents").alias("n")).first()
-    low = bounds.lo or 0
-    levels = max(1, -(-((bounds.hi or 0) - low).bit_length() // DIGIT_BITS))
-    radix = 1 << DIGIT_BITS
-    rows = work.where("_cents IS NOT NULL").selectExpr(
-        key, US, TIE, f"_cents - {low} AS _v", f"explode(sequence(0, {levels - 1})) AS _level"
-    )
-    digits = rows.selectExpr(
-        "*",
-        f"shiftright(_v, (_level + 1) * {DIGIT_BITS}) AS _lead",
-        f"CAST(shiftright(_v, _level * {DIGIT_BITS}) & {radix - 1} AS INT) AS _digit",
+    extra = ["_us", "_cents", SLICE]
+    work = df.withColumns({"_us": epoch_micros(df, "ts"), "_cents": cents(F.col("amount"))})
+    cuts = hot_cuts(work, [key], F.col("_us"))
+    sliced = work.withColumn(SLICE, F.lit(-1)) if cuts is None else add_slice(work, [key], F.col("_us"), cuts)
+    if cuts is not None:
+        sliced = materialize(sliced)
+    ordered = sliced.repartition(key, SLICE).sortWithinPartitions(key, SLICE, "_us", TIE)
+    shape = T.StructType([*ordered.schema, *[T.StructField(c, T.LongType()) for c in ("_past", "_same", "_smaller")]])
+    counted = ordered.mapInArrow(ranks.counter(key, SLICE, "_cents"), shape)
+    if cuts is not None:
+        earlier = _earlier_slices(sliced, key).withColumnsRenamed({key: "_key", SLICE: "_s", "_cents": "_c"})
+        match = counted[key].eqNullSafe(F.col("_key")) & (F.col(SLICE) == F.col("_s")) & (F.col("_cents") == F.col("_c"))
+        counted = counted.join(earlier, match, "left")
+        counted = counted.withColumns({f"_{c}": F.col(f"_{c}") + F.coalesce(f"_{c}_e", F.lit(0)) for c in ("past", "same", "smaller")})
+    value = F.when(F.col("_past") == 0, F.lit(0.5)).otherwise((F.col("_smaller") + (F.col("_same") + 2) / 2) / (F.col("_past") + 1.0))
+    return counted.withColumn(name, value).select(*df.columns, name)
+
+
+def _earlier_slices(sliced: DataFrame, key: str) -> DataFrame:
+    """For every slice and amount of a hot key, the rows of earlier slices: all, those with the amount, those below it.
+
+    Slices are the leaves of a binary tree. On each level the left child counts for the right one: a running sum over
+    the amounts of both. A count per slice and amount appears once per level, and levels are the logarithm of the
+    number of slices of one key.
+    """
+    cells = sliced.where((F.col(SLICE) >= 0) & F.col("_cents").isNotNull())
+    cells = materialize(cells.groupBy(key, SLICE, "_cents").agg(F.count(F.lit(1)).alias("n")))
+    levels = max(1, int(cells.agg(F.max(SLICE)).first()[0] or 0).bit_length())
+    nodes = cells.select(
+        key, SLICE, "_cents", "n", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
+    ).withColumns({"_node": F.expr(f"shiftright({SLICE}, _level + 1)"), "_right": F.expr(f"shiftright({SLICE}, _level) & 1")})
+    group = [key, "_level", "_node"]
+    # Per amount of a node, so that a running sum tells smaller amounts from equal ones.
+    sums = {"l": F.sum(F.when(F.col("_right") == 0, F.col("n")).otherwise(0)).alias("l")}
+    amounts = materialize(nodes.groupBy(*group, "_cents").agg(*sums.values()))
+    below = accumulate(amounts, group, "_cents", [], [Step("_below", "l")], hot_cuts(amounts, group, F.col("_cents")))
+    every = amounts.groupBy(*group).agg(F.sum("l").alias("_all"))
+    names = {c: f"_g{i}" for i, c in enumerate([*group, "_cents"])}
+    below, every = below.withColumnsRenamed(names), every.withColumnsRenamed({c: f"_h{i}" for i, c in enumerate(group)})
+    right = nodes.where("_right = 1")
+
+    def same(columns: list[str], prefix: str) -> Column:
+        match = F.lit(True)
+        for i, c in enumerate(columns):
+            match &= F.col(c).eqNullSafe(F.col(f"{prefix}{i}"))
+        return match
+
+    joined = right.join(below, same([*group, "_cents"], "_g")).join(every, same(group, "_h"))
+    return joined.groupBy(key, SLICE, "_cents").agg(
+        F.sum("_all").alias("_past_e"), F.sum("l").alias("_same_e"), F.sum("_below").alias("_smaller_e")
     )
-    group = [key, "_level", "_lead"]
-    steps = [Step(f"_d{d}", f"CASE WHEN _digit = {d} THEN 1 END") for d in range(radix)]
-    counted = accumulate(digits, group, US, [TIE], steps, hot_cuts(digits, group, F.col(US), bounds.n * levels))
-    smaller = " + ".join(f"CASE WHEN _digit > {d} THEN _d{d} ELSE 0 END" for d in range(radix))
-    # On the lowest level an equal digit means an equal amount; on the highest all rows of the key are together.
-    same = "CASE WHEN _level = 0 THEN element_at(array(" + ", ".join(f"_d{d}" for d in range(radix)) + "), _digit + 1) END"
-    past = f"CASE WHEN _level = {levels - 1} THEN " + " + ".join(f"_d{d}" for d in range(radix)) + " END"
-    sums = counted.selectExpr(TIE, f"{smaller} AS smaller", f"{same} AS same", f"{past} AS past").groupBy(TIE)
-    ranks = sums.agg(*[F.sum(c).alias(c) for c in ("smaller", "same", "past")])
-    value = "CASE WHEN past = 0 THEN 0.5D ELSE (smaller + (same + 2) / 2D) / (past + 1D) END"
-    return ranks.selectExpr(TIE, f"{value} AS {name}")
 
 
-def add_past_percentile(df: DataFrame, key: str = "user_id", name: str = "feat_amount_percentile_user") -> DataFrame:
-    """Add :func:`past_percentile`; the first row of a key has 0.5."""
-    ranks = past_percentile(df, key, name).withColumnRenamed(TIE, "_id")
-    return df.join(ranks, df[TIE] == ranks["_id"], "left").select(*df.columns, name)
+def past_percentile(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(transaction_id, name) of :func:`add_past_percentile`, which then carries no other columns through its shuffle."""
+    return add_past_percentile(df.select(key, "ts", TIE, "amount"), key, name).select(TIE, name)
 
 
 def latest_history(df: DataFrame, key: str, fields: list[str], ttl_days: int = 7) -> DataFrame:
