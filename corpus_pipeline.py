@@ -13,41 +13,59 @@ from cardwatch.llm.toxicity import add_severity, fit_severity
 from cardwatch.sources.session import materialize
 
 
+# All but the last stage return the columns of the documents, whatever their names: the input is carried in a struct.
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the severity model does not reject; it is fitted on the labels of documents that are there."""
+    """Documents that the severity model does not reject; it is fitted on the labels of documents that are there.
+
+    Whole texts count; null and empty ones have no features. Repeated rows and rows with a null id are judged by their
+    texts like all others. Without labels of both kinds nothing is rejected."""
     model = fit_severity(docs, table(spark, folder, "labels"))
-    return add_severity(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return add_severity(packed(docs), model).where(~F.col("toxic")).select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, without lines that a document with a smaller id holds; ``n_chars`` follows the text."""
-    kept = drop_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, without lines that a document with a smaller id holds; ``n_chars`` follows the text.
+
+    Rows that share an id are one document; a null text becomes an empty one; rows with a null id keep their lines."""
+    kept = drop_repeated_lines(packed(docs))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest id, and of rows alike in id that with the smallest
     key of id and text. Rows that link with none stay, as do those with an empty text; rows alike in id and text are one
-    document. A null id comes after all others; rows with a null id that are alike in text stay or go together."""
+    document, of which any row stays. A null id comes after all others; rows with a null id that are alike in text stay
+    or go together. Texts of any length count whole."""
     text = F.coalesce("text", F.lit(""))
     rows = materialize(near_duplicate_rows(docs).where("component IS NOT NULL"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
     ends = rows.groupBy("component").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last")
     gone = materialize(rows.join(ends, "component").where(order != F.col("first")).select("a", "b").distinct())
     key = row_key(F.col("doc_id").cast("long"), text)
-    keyed = docs.withColumn("alike", key)
+    keyed = packed(docs).withColumn("alike", key)
     left = keyed.join(gone, (keyed["alike.a"] == gone["a"]) & (keyed["alike.b"] == gone["b"]), "left_anti")
     once = F.row_number().over(W.partitionBy("alike").orderBy(F.length(text)))
-    return left.withColumn("once", once).where("once = 1 OR doc_id IS NULL").select(*docs.columns)
+    return left.withColumn("once", once).where("once = 1 OR doc_id IS NULL").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    return find_items(docs, table(spark, folder, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    """Documents that hold no passage of the benchmark, judged by the whole text that the earlier stages left.
+
+    Null and empty texts hold none; repeated rows and null ids are judged by their texts; items alike count as one."""
+    found = find_items(packed(docs), table(spark, folder, "benchmark"))
+    return found.where(F.size("hits") == 0).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Piece ids of every document, with their number and whether decoding gives the text back."""
+    """Piece ids of every document, with their number and whether decoding gives the text back. A null or empty text has
+    none; repeated rows and null ids stay; texts of any length are encoded whole."""
     model = tokenizer_file("piece_bpe_32k.model")
     coded = decode(encode(docs.select("doc_id", "text"), model), model, into="decoded")
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
