@@ -10,6 +10,16 @@ from cardwatch.functions.expressions import clean_number
 
 REQUIRED = ["transaction_id", "user_id", "merchant_id", "amount", "country", "device_id", "ip_id", "mcc"]
 
+#: What a request to the service has to name as well, and what it may leave out.
+REQUEST_FIELDS = [*REQUIRED, "merchant_category"]
+OPTIONAL_FIELDS = {
+    "merchant_category": "string",
+    "currency": "string",
+    "ts": "timestamp_ntz",
+    "user_email_domain": "string",
+    "is_first_transaction": "boolean",
+}
+
 
 def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("feat_")]
@@ -21,25 +31,34 @@ def feature_matrix(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*(keep or ["transaction_id"]), *[clean_number(F.col(c)).alias(c) for c in names])
 
 
-def request_errors() -> Column:
-    checks = [F.when(F.col(c).isNull(), F.lit(f"{c} is required")) for c in REQUIRED]
+def request_errors(required: list[str] = REQUIRED) -> Column:
+    checks = [F.when(F.col(c).isNull(), F.lit(f"{c} is required")) for c in required]
     # NaN is greater than every number here, but not greater than 0.
     checks.append(F.when((F.col("amount") <= 0) | F.isnan("amount"), F.lit("amount must be greater than 0")))
     checks.append(F.when(F.length("country") != 2, F.lit("country must have 2 letters")))
     return F.array_compact(F.array(*checks))
 
 
-def check_requests(df: DataFrame) -> DataFrame:
+def check_requests(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
     """Upper-case countries, fill the currency and attach errors and warnings; failed rows stay as data."""
     currency = F.coalesce(F.col("currency"), F.lit("USD")) if "currency" in df.columns else F.lit("USD")
     large = F.when(F.col("amount") > S.LARGE_REQUEST_AMOUNT, F.lit("large amount"))
     return (
-        df.withColumn("errors", request_errors())
+        df.withColumn("errors", request_errors(required))
         .withColumn("warnings", F.array_compact(F.array(large)))
         .withColumns({"country": F.upper("country"), "currency": currency})
     )
 
 
+def complete_requests(df: DataFrame, received: Column | None = None) -> DataFrame:
+    """Checked requests with every field of the service. A column that is missing is null in all rows, which is an error
+    for ``merchant_category`` and none for the optional ones; a request without a time gets that of its arrival."""
+    missing = {c: F.lit(None).cast(kind) for c, kind in OPTIONAL_FIELDS.items() if c not in df.columns}
+    now = F.current_timestamp() if received is None else received
+    full = df.withColumns(missing) if missing else df
+    return check_requests(full.withColumn("ts", F.coalesce("ts", now.cast("timestamp_ntz"))), REQUEST_FIELDS)
+
+
 def valid_requests(df: DataFrame) -> DataFrame:
     return check_requests(df).where(F.size("errors") == 0)
 

@@ -361,14 +361,18 @@ def dataset_summary(spark, folder):
 
 @query
 def null_census(spark, folder):
-    base = tx(spark, folder)
-    stats = features.amount_stats(base, "user_id").select("user_id", "std_amount")
-    per_hour = base.groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        F.stddev_samp("amount").alias("feat_daily_deviation"),
-        F.max("delay_days").alias("feat_longest_delay"),
-        F.count(F.lit(1)).alias("feat_rows"),
-    )
-    return quality.null_census(per_hour.join(stats, "user_id"))
+    """Missing values of the 31 features, whole-table variant: users with one row have no deviation."""
+    source = feature_source(spark, folder)
+    return quality.null_census(features.all_features(source, amount="full"), S.ALL_FEATURES)
+
+
+@query
+def null_census_first_day(spark, folder):
+    """The same for the first day alone, on which many users have one row."""
+    source = feature_source(spark, folder)
+    first = source.agg(F.to_date(F.min("ts")).alias("d")).first().d
+    day = materialize(source.where(F.to_date("ts") == F.lit(first)))
+    return quality.null_census(features.all_features(day, amount="full"), S.ALL_FEATURES)
 
 
 @query
@@ -427,6 +431,20 @@ def validation_errors(spark, folder):
     return quality.rejected_requests(requests(spark, folder))
 
 
+@query
+def request_fields(spark, folder):
+    """Requests of which some lack the category or the time, and all the optional fields."""
+    category = F.when(F.col("mcc") != "5812", F.concat(F.lit("category "), F.col("mcc")))
+    given = requests(spark, folder).withColumns(
+        {"merchant_category": category, "ts": F.when(F.col("transaction_id") % 10 != 0, F.col("ts"))}
+    )
+    checked = quality.complete_requests(given, today(spark))
+    return checked.select(
+        *["transaction_id", "ts", "merchant_category", "currency", "user_email_domain", "is_first_transaction"],
+        F.size("errors").alias("error_count"),
+    )
+
+
 @query
 def request_payload(spark, folder):
     return quality.request_payload(
@@ -782,6 +800,14 @@ def lr_scored_rows(spark, folder):
     )
 
 
+@query
+def lr_optimum(spark, folder):
+    """Whether the penalised gradient of the logistic model vanishes for every coefficient, from its own scores."""
+    prepared = model_input(spark, folder)
+    gradient = training.logistic_gradient(training.fit_logistic(prepared), prepared)
+    return gradient.select("feature", (F.abs("gradient") < 1e-4).alias("at_optimum"))
+
+
 @query
 def scaled_features(spark, folder):
     """Features with whole values, scaled by the training period."""

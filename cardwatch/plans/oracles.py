@@ -608,6 +608,13 @@ def trend_sql() -> str:
     ) + f"SELECT day, {', '.join(counts)}, {rounded_list(doubles)} FROM day_kpi JOIN " + " JOIN ".join(f"{n} USING (day)" for n in spans)
 
 
+def census(table: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM {table}" for c in S.ALL_FEATURES
+    )
+    return f"SELECT * FROM ({parts}) WHERE missing > 0"
+
+
 ORACLES: dict[str, str] = {
     "scan_transactions": with_(TX) + "SELECT * FROM tx",
     "write_features": with_(TX, VELOCITY)
@@ -672,13 +679,13 @@ ORACLES: dict[str, str] = {
     + f"""SELECT count(*) AS transactions, CAST(sum(is_fraud) AS BIGINT) AS frauds, {r("avg(is_fraud)")} AS fraud_rate,
   min(ts) AS first_ts, max(ts) AS last_ts, {r("min(amount)")} AS min_amount, {r("max(amount)")} AS max_amount,
   count(DISTINCT country) AS countries, count(DISTINCT user_id) AS users, count(DISTINCT merchant_id) AS merchants FROM tx""",
-    "null_census": with_(
-        TX,
-        "daily AS (SELECT user_id, CAST(ts AS DATE) AS day, stddev_samp(amount) AS dev, max(delay_days) AS delay FROM tx GROUP BY 1, 2)",
-        "missing AS (SELECT 'feat_daily_deviation' AS column_name, count(*) FILTER (WHERE dev IS NULL) AS missing FROM daily "
-        "UNION ALL SELECT 'feat_longest_delay', count(*) FILTER (WHERE delay IS NULL) FROM daily)",
+    "null_census": with_(*FEATURES_FULL) + census("features"),
+    "null_census_first_day": with_(
+        TX.replace("tx AS", "given AS", 1),
+        "tx AS (SELECT * FROM given WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM given))",
+        *FEATURES_FULL[1:],
     )
-    + "SELECT * FROM missing WHERE missing > 0",
+    + census("features"),
     "feature_catalog": with_(*FEATURES_FULL)
     + "SELECT family, count(*) AS features, CAST(sum(present) AS BIGINT) AS values_present FROM ("
     + " UNION ALL ".join(
@@ -717,6 +724,12 @@ WHERE ts >= TIMESTAMP '{TODAY}' - to_days(CAST(w AS INT)) AND ts <= TIMESTAMP '{
   CASE WHEN amount > 10000 THEN 1 ELSE 0 END AS warning_count FROM requests
 WHERE transaction_id NOT IN (SELECT transaction_id FROM bad)""",
     "validation_errors": with_(TX, REQUESTS) + REQUEST_ERRORS,
+    "request_fields": with_(TX, REQUESTS, f"bad AS ({REQUEST_ERRORS})", "counted AS (SELECT transaction_id, count(*) AS n FROM bad GROUP BY 1)")
+    + f"""SELECT transaction_id, CASE WHEN transaction_id % 10 = 0 THEN TIMESTAMP '{TODAY} 00:00:00' ELSE ts END AS ts,
+  CASE WHEN mcc != '5812' THEN 'category ' || mcc END AS merchant_category, 'USD' AS currency,
+  CAST(NULL AS VARCHAR) AS user_email_domain, CAST(NULL AS BOOLEAN) AS is_first_transaction,
+  CAST(COALESCE(n, 0) + CASE WHEN mcc = '5812' THEN 1 ELSE 0 END AS INT) AS error_count
+FROM requests LEFT JOIN counted USING (transaction_id)""",
     "request_payload": with_(TX)
     + f"""SELECT transaction_id, CASE WHEN delay_days IS NULL
   THEN CAST(to_json({{'transaction_id': {d("transaction_id")}, 'user_id': {d("user_id")}, 'merchant_category_code': mcc,
@@ -824,6 +837,9 @@ FROM tx LEFT JOIN labels_found l ON tx.transaction_id = l.transaction_id AND l.c
 WHERE ts >= TIMESTAMP '{TODAY}' - INTERVAL 20 DAY AND ts <= TIMESTAMP '{TODAY}' - INTERVAL 7 DAY)""",
     "lr_scored_rows": with_(TX)
     + f"SELECT transaction_id, 'test' AS split, true AS is_probability, true AS same_after_loading FROM tx WHERE ts >= {TRAIN_EDGE}",
+    "lr_optimum": "SELECT feature, true AS at_optimum FROM (VALUES "
+    + ", ".join(f"('{n}')" for n in [*S.ALL_FEATURES, "intercept"])
+    + ") v(feature)",
     "scaled_features": with_(
         TX,
         VELOCITY,
