@@ -3,7 +3,7 @@
 import html
 import re
 
-from cardwatch.llm.html import extract_main_text, host_of, in_order, read_page, templates
+from cardwatch.llm.html import extract_main_text, main_text, parse, read_page, tag_tokens, templates, with_host, word_tokens
 from cardwatch.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -60,13 +60,44 @@ def test_awkward_rows(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
-def test_template_has_the_frame(spark):
-    rows = [(n, f"https://a.example/{n}", page(n, f"<article><p>x{n}</p></article>")) for n in range(9)]
+def deduced(pages):
+    """Classes by laying the vectors out: the template of one host's pages, brute force."""
+    parsed = list({p.content: p for p in map(parse, pages) if p.content is not None}.values())
+
+    def shared(found):
+        vectors = {}
+        for token in set().union(*found):
+            vectors.setdefault(tuple(token in f for f in found), []).append(token)
+        return {t for v, ts in vectors.items() for t in ts if len(ts) > 1 and 2 * sum(v) > len(v) and sum(v) > 1}
+
+    skeleton = shared([tag_tokens(p) for p in parsed])
+    return skeleton, shared([word_tokens(p, skeleton) for p in parsed])
+
+
+def test_template_against_laid_out_vectors(spark):
+    pages = [page(n, f"<article><p>x{n}</p>{'<p>y</p>' * (n % 3)}</article>") for n in range(9)]
+    pages += [plain(n, f"<div><p>the story {n}</p></div>") for n in range(5)] + [pages[2], None, "", pages[3][:90]]
+    rows = [(n, f"https://a.example/{n}", p) for n, p in enumerate(pages)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = templates(frame.repartition(4)).collect()
-    once = templates(frame.coalesce(1)).collect()
-    assert [r.host for r in found] == ["a.example"] and found[0].pages == 9 and len(found[0].outer) > 20
-    assert set(found[0].outer) == set(once[0].outer)
+    skeleton, words = deduced(pages)
+    for parts in (frame.repartition(5), frame.coalesce(1)):
+        (found,) = templates(parts).collect()
+        assert found.host == "a.example" and set(found.skeleton) == skeleton and set(found.words) == words
+    assert len(skeleton) > 10 and len(words) > 5
+
+
+def test_given_templates(spark):
+    """All hosts of the given pages."""
+    source = spark.read.parquet(f"{SMALL}/pages.parquet")
+    found = {r.host: r for r in templates(source).collect()}
+    hosts = {}
+    for r in with_host(source, "url", "html").collect():
+        hosts.setdefault(r.host, []).append(r.page)
+    for host, pages in hosts.items():
+        skeleton, words = deduced(pages)
+        r = found.get(host)
+        assert (set(r.skeleton or ()) if r else set()) == skeleton
+        assert (set(r.words or ()) if r else set()) == words
 
 
 def test_given_pages(spark):
@@ -81,9 +112,11 @@ def test_given_pages(spark):
 
 
 def test_parts():
-    assert host_of("HTTP://user@Www.A.example:80/x") == "www.a.example" and host_of(None) == ""
-    assert in_order([1, 2, 3, 4], {1: 9, 2: 1, 3: 2, 4: 3}) == [2, 3, 4]
     assert [t for _, t, *_ in read_page("a<b>c</b>") if t] == [(["a"], (False, False)), (["c"], (False, False))]
+    got = parse("<div>a b</div><div>b</div>")
+    assert len(set(got.places(tag_tokens(got)))) == 5 and len(set(got.places(()))) == 1
+    assert len(word_tokens(got, ())) == 4 and len(word_tokens(got, tag_tokens(got))) == 8
+    assert main_text("<p>a</p>", (), ()) == "a"
 
 
 def texts(spark, pages, host="https://a.example"):
@@ -145,3 +178,27 @@ def test_links_of_the_story_stay(spark):
         for n in range(10)
     ]
     assert texts(spark, [plain(n, body(n)) for n in range(10)]) == want
+
+
+def test_names_around_and_inside_an_article(spark):
+    pages = {
+        '<div class="layout has-sidebar"><article><p>Story</p></article></div>': "Story",
+        '<div class="no-sidebar"><main><p>Story</p></main></div>': "Story",
+        '<article class="post search-engine"><p>Story</p></article>': "Story",
+        '<form id="aspnetForm"><article><p>Story</p></article></form>': "Story",
+        '<div class="sidebar"><div class="related"><article><p>Story</p></article></div></div>': "Story",
+        '<article><h2 id="related-work">Related work</h2><p id="login">Story</p><h2 id="login">Login</h2></article>': "Related work\n\nStory\n\nLogin",
+        '<article><p>Story</p><section class="comments"><p>Hello</p></section><div id="share">Send</div></article>': "Story",
+        '<aside><article><p>Teaser</p></article></aside><article><p>Story</p></article>': "Story",
+        '<div class="search-results"><p>The one long story of this page</p></div><div>by me</div>': "The one long story of this page\n\nby me",
+        '<div class="cookie-notice"><p>We use them</p></div><div><p>The one long story of this page</p></div>': "The one long story of this page",
+    }
+    assert [texts(spark, [p], f"https://h{i}.example")[0] for i, p in enumerate(pages)] == list(pages.values())
+
+
+def test_template_matters_without_article(spark):
+    """Plain elements only: without other pages the frame cannot be told from the story."""
+    pages = [plain(n, f"<div><p>the story {n} of the site</p></div>") for n in range(6)]
+    alone = [texts(spark, [p])[0] for p in pages]
+    assert all("cookies" in a for a in alone)
+    assert texts(spark, pages) == [f"the story {n} of the site" for n in range(6)]
