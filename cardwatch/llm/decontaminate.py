@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.sources.session import materialize
+
 #: Characters of test items that go to the executors in one broadcast.
 CHUNK_CHARS = 8_000_000
 
@@ -135,20 +137,39 @@ def find_items(
     nothing, nor do null and empty texts. Items alike are found each; null and repeated ids of documents do not matter,
     as rows are judged by their texts. Texts of any length are searched whole. An empty benchmark gives empty arrays.
 
-    Documents are not shuffled. Items reach the executors in broadcasts of about ``CHUNK_CHARS`` characters; a larger
-    benchmark takes more passes over a text, never a larger broadcast.
+    Items reach the executors in broadcasts of about ``CHUNK_CHARS`` characters, one at a time. A benchmark that fits in one
+    is searched without a shuffle. A larger one takes a pass over the texts for each part; the hits of a pass are stored
+    by a hash of 128 bits of the text and its broadcast is given up before the next, so that neither the driver nor an
+    executor ever holds more than one part. The few texts with hits are joined back.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     chunks = max(1, math.ceil(total / CHUNK_CHARS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-    parts = []
-    for chunk in range(chunks):
+    text = F.col(f"`{text_col}`").cast("string")
+
+    def part(chunk):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == chunk).collect()
         shared = spark.sparkContext.broadcast([(r.i, plain(r.t)) for r in own if plain(r.t)])
-        parts.append(_search(shared, error_percent, kind)(F.col(f"`{text_col}`").cast("string")))
-    return docs.withColumn("hits", F.concat(*parts))
+        return shared, _search(shared, error_percent, kind)(text)
+
+    if chunks == 1:
+        return docs.withColumn("hits", part(0)[1])
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    found = None
+    for chunk in range(chunks):
+        shared, hits = part(chunk)
+        own = materialize(docs.select(key.alias("key"), hits.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["key"]))
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+    merged = found.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    others = [c for c in docs.columns if c != "hits"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), key.alias("key"))
+    none = F.array().cast("array<struct<item_id:bigint,distance:int>>")
+    joined = rows.join(merged, "key", "left").withColumn("hits", F.coalesce("hits", none))
+    order = docs.columns if "hits" in docs.columns else [*docs.columns, "hits"]
+    return joined.select(*[F.col("hits") if c == "hits" else F.col(f"row.`{c}`").alias(c) for c in order])
 
 
 def _search(shared, error_percent, kind):

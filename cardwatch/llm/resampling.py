@@ -13,7 +13,9 @@ from cardwatch.sources.session import materialize
 #: Buckets of hashed words and word pairs, and the most target rows that the target's model is fitted on.
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
+#: Vectors of counts that are added up in one place, and rounds of it: enough for 32^4 tasks.
 MERGE_WAYS = 32
+MERGE_ROUNDS = 4
 
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -49,9 +51,9 @@ def _count(batches):
 
 def _add(table: pa.Table) -> pa.Table:
     total = np.zeros(2 * BUCKETS, np.int64)
-    for data in table.column("counts").to_pylist():
-        total += np.frombuffer(data, np.int64)
-    return pa.table([pa.array([total.tobytes()])], ["counts"])
+    for data in table.column("counts"):
+        total += np.frombuffer(data.as_buffer(), np.int64)
+    return pa.table([table.column("way").slice(0, 1), pa.array([total.tobytes()])], ["way", "counts"])
 
 
 def log_ratios(
@@ -60,23 +62,19 @@ def log_ratios(
     """log p(bucket | target) - log p(bucket | all documents), with one added to every count.
 
     ``targets`` has the ids of the target documents in ``id``; at most ``target_rows`` of them, taken by a hash of the
-    id, enter the target's model. All documents enter the other. Tasks add up their own counts, which are merged in
-    ``MERGE_WAYS`` groups and then together, in vectors of a fixed size.
+    id, enter the target's model. All documents enter the other. Tasks add up their own counts, vectors of a fixed
+    size, of which at most ``MERGE_WAYS`` are added in one place and round.
     """
     chosen = targets.where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows)
     flagged = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body")).join(
         F.broadcast(chosen.withColumn("target", F.lit(True))), "id", "left"
     )
-    counts = (
-        flagged.select("body", F.coalesce("target", F.lit(False)).alias("target"))
-        .mapInArrow(_count, "counts binary")
-        .withColumn("way", F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)))
-        .groupBy("way")
-        .applyInArrow(_add, "counts binary")
-        .groupBy()
-        .applyInArrow(_add, "counts binary")
-        .first()
-    )
+    counts = flagged.select("body", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count, "counts binary")
+    counts = counts.select(F.spark_partition_id().cast("long").alias("way"), "counts")
+    for _ in range(MERGE_ROUNDS):
+        wider = counts.select(F.floor(F.col("way") / MERGE_WAYS).cast("long").alias("way"), "counts")
+        counts = wider.groupBy("way").applyInArrow(_add, "way long, counts binary")
+    counts = counts.first()
     totals = np.frombuffer(counts.counts, np.int64).reshape(2, BUCKETS) if counts else np.zeros((2, BUCKETS), np.int64)
     logs = np.log(totals + 1.0) - np.log(totals.sum(axis=1, keepdims=True) + BUCKETS)
     return logs[0] - logs[1]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cardwatch.sources.session import materialize
+
 #: Queries in one broadcast, candidates in one block of sorted lists, and entries of each list that are read before the
 #: first look at the bound.
 QUERY_CHUNK = 8192
@@ -103,18 +105,17 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
     candidates are all rows with another id and a vector of the same length; with fewer than ``k`` all are returned.
     A query row that is there twice is answered once. Empty tables give no rows.
 
-    Queries go to the executors in broadcasts of at most about ``QUERY_CHUNK`` rows, one job for each; candidates stay
-    where they are, are read in blocks of bounded size, and each task sends k rows per query. So no pair is ever a row.
+    Queries go to the executors in broadcasts of about ``QUERY_CHUNK`` rows, one after the other: what a chunk finds is
+    stored, and its broadcast is given up before the next chunk is read, so that neither the driver nor an executor ever
+    holds more than one. Candidates stay where they are, are read in blocks of bounded size, and each task sends k rows
+    per query. So no pair is ever a row.
     """
     spark, schema = candidates.sparkSession, "query_id long, vec_id long, score long"
-    queries = queries.dropDuplicates(["id"])
+    queries = materialize(queries.dropDuplicates(["id"]))
     chunks = max(1, math.ceil(queries.count() / QUERY_CHUNK))
-    parts = []
-    for chunk in range(chunks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).collect()
-        shared = spark.sparkContext.broadcast([(r.id, np.array(r.v, np.float64)) for r in rows])
 
-        def search(batches, shared=shared):
+    def search_in(shared):
+        def search(batches):
             best = {q: [] for q, _ in shared.value}
             for ids, values in _blocks(batches, BLOCK):
                 lists = Lists(ids, values)
@@ -125,9 +126,16 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-        parts.append(candidates.select("id", "v").mapInArrow(search, schema))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
+        return candidates.select("id", "v").mapInArrow(search, schema)
+
+    found = None
+    for chunk in range(chunks):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).collect()
+        shared = spark.sparkContext.broadcast([(r.id, np.array(r.v, np.float64)) for r in rows])
+        part = search_in(shared)
+        if chunks > 1:
+            part = materialize(part)
+            shared.destroy()
+        found = part if found is None else found.union(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

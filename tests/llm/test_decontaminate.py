@@ -95,6 +95,21 @@ def test_edited_passages_are_found(spark):
     assert got == want and len(want) > 80
 
 
+def test_a_benchmark_in_parts(spark, monkeypatch):
+    """The same hits, rows and columns, one broadcast after the other."""
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(["a SHARED line,", "short", "é", None, "word and more words. word", "first line"])], "item_id long, text string")
+    docs = awkward(spark).selectExpr("*", "id AS row", "pos AS key", "'x' AS hits")
+
+    def found():
+        got = find_items(docs, bench)
+        assert got.columns == docs.columns
+        return sorted(((r.doc_id, r.row, r.key, sorted(tuple(h) for h in r.hits)) for r in got.collect()), key=str)
+
+    whole = found()
+    monkeypatch.setattr("cardwatch.llm.decontaminate.CHUNK_CHARS", 9)
+    assert found() == whole and sum(bool(r[3]) for r in whole) > 4
+
+
 def test_awkward_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "a SHARED line,"), (4, "a SHARED line,"), (5, "é")], "item_id long, text string")
     got = find_items(awkward(spark), bench).select("doc_id", "hits", "pos").collect()

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from frames import awkward, empty
+from pyspark.sql import functions as F
 
+import cardwatch.llm.resampling as resampling
 from cardwatch.llm.queries import QUERIES, table
 from cardwatch.llm.resampling import kth_largest, log_ratios, resample
 from cardwatch.llm.toxicity import SeverityModel, add_severity, fit_ordinal, fit_severity
@@ -68,6 +70,23 @@ def test_resampling_of_awkward_rows(spark):
     assert resample(none, log_ratios(none, none.select("doc_id").withColumnRenamed("doc_id", "id"))).collect() == []
 
 
+def test_counts_add_up_in_rounds(spark, monkeypatch):
+    """More tasks than one place adds up, against one task."""
+    docs = table(spark, FOLDER, "documents").select("doc_id", "text").where("doc_id < 400")
+    good = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    want = log_ratios(docs.coalesce(1), good)
+    monkeypatch.setattr(resampling, "MERGE_WAYS", 3)
+    assert np.array_equal(log_ratios(docs.repartition(23), good), want)
+
+
+def test_equal_keys_at_the_border(spark):
+    """Texts without words have the same weight; with one hash all keys are equal and the smaller ids stay."""
+    docs = spark.createDataFrame([(i, "same text of all") for i in range(20)], "doc_id long, text string")
+    weights = resample(docs, np.zeros(resampling.BUCKETS), keep=0.5)
+    keys = sorted(((-r.gumbel_key, r.doc_id) for r in resample(docs, np.zeros(resampling.BUCKETS), keep=1.0).collect()))
+    assert {r.doc_id for r in weights.collect()} == {d for _, d in keys[:10]}
+
+
 @pytest.mark.parametrize("values", [[1.0] * 50, [float(i % 7) for i in range(100)], [-1e300, 5e-324, 0.0, 1.5, 1e300, 1e-300]])
 def test_kth_largest(spark, values):
     frame = spark.createDataFrame([(v,) for v in values], "x double")
