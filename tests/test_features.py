@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from cardwatch import schema as S
 from cardwatch.operators import features as f
+from cardwatch.sources import transactions
 
 START = dt.datetime(2024, 3, 1)
 SCHEMA = (
@@ -211,3 +212,51 @@ def test_deviation_of_large_amounts(spark):
     last = got.orderBy("transaction_id").collect()[-1][1]
     exact = -0.005 / ((4 * 0.005**2 / 3) ** 0.5 + 1)
     assert last == pytest.approx(exact, abs=1e-9)
+
+
+def ranked(rows):
+    """Ranks among earlier rows of the user, row by row; rows are (id, user, hour, amount)."""
+    out = []
+    for i, (_, user, at, amount) in enumerate(rows):
+        if amount is None:
+            out.append(None)
+            continue
+        past = [r for j, r in enumerate(rows) if r[1] == user and r[3] is not None and ((r[2], r[0], j) < (at, rows[i][0], i))]
+        below, same = sum(r[3] < amount for r in past), sum(r[3] == amount for r in past)
+        out.append(0.5 if not past else (below + (same + 2) / 2) / (len(past) + 1))
+    return out
+
+
+@pytest.mark.parametrize("slice_rows", [None, 40])
+def test_past_percentile_of_any_amounts(spark, slice_rows):
+    """Outliers, equal amounts, missing ones, a hot user with one amount in most rows, rows without a user."""
+
+
+    rng = random.Random(2)
+    amounts = [1e12, -3.0, 0.0, 0.01, None, 5.0, 5.0, 5.0, 7.25]
+    rows = [(i, rng.choice([1, 1, 1, 1, 2, None]), i // 2, rng.choice(amounts) if i % 5 else float(rng.randrange(300))) for i in range(600)]
+    start = dt.datetime(2024, 1, 1)
+    given = [(i, u, start + dt.timedelta(hours=h), a) for i, u, h, a in rows]
+    df = spark.createDataFrame(given, "transaction_id long, user_id long, ts timestamp_ntz, amount double")
+    if slice_rows:
+        spark.conf.set("spark.cardwatch.sliceRows", str(slice_rows))
+    try:
+        got = {r.transaction_id: r.feat_amount_percentile_user for r in f.add_past_percentile(df).collect()}
+    finally:
+        spark.conf.unset("spark.cardwatch.sliceRows")
+    want = dict(zip([r[0] for r in rows], ranked(rows)))
+    assert len(got) == 600 and all(got[i] is None if w is None else abs(got[i] - w) < 1e-12 for i, w in want.items())
+
+
+def test_past_percentile_has_one_shuffle_and_no_join(spark):
+    tx = transactions.event_transactions(spark, "/root/testdata/sf0.001")
+    tree = f.add_past_percentile(tx)._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("Exchange hashpartitioning") == 1 and "Join" not in tree
+
+
+def test_replayed_ids_keep_their_own_ranks(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, 1, start, 10.0), (2, 1, start + dt.timedelta(hours=1), 20.0), (2, 1, start + dt.timedelta(hours=2), 5.0)]
+    df = spark.createDataFrame(rows, "transaction_id long, user_id long, ts timestamp_ntz, amount double")
+    got = sorted((r.ts.hour, r.feat_amount_percentile_user) for r in f.add_past_percentile(df).collect())
+    assert got == [(0, 0.5), (1, 1.0), (2, pytest.approx(1 / 3))]

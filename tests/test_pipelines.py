@@ -237,3 +237,30 @@ def test_late_and_unknown_labels(spark):
     labels = spark.createDataFrame([(1, day(90)), (2, day(91)), (3, day(5))], "transaction_id int, chargeback_ts timestamp_ntz")
     got = {r.transaction_id: r.label_status for r in jobs.label_join(labels, stored).collect()}
     assert got == {1: "matched", 2: "late", 3: "unknown"}
+
+
+SAMPLES = [
+    # An ordinary purchase, a doubtful one and one with nothing but what is required.
+    ("ok", "u1", "m1", 45.5, "us", "d1", "1.1.1.1", "5411", "Grocery Stores", "USD", None),
+    ("large", "u2", "m2", 15000.0, "NG", "d2", "2.2.2.2", "7995", "Gambling", None, dt.datetime(2024, 1, 2)),
+    ("bare", "u3", "m3", 9.0, "GB", "d3", "3.3.3.3", "5812", None, None, None),
+]
+
+
+def test_complete_requests(spark):
+    shape = "transaction_id string, user_id string, merchant_id string, amount double, country string, device_id string, ip_id string, mcc string, merchant_category string, currency string, ts timestamp_ntz"
+    now = F.lit("2024-05-01 10:00:00").cast("timestamp_ntz")
+    df = spark.createDataFrame(SAMPLES, shape)
+    got = {r.transaction_id: r for r in quality.complete_requests(df, now).collect()}
+    assert got["ok"].errors == [] and got["ok"].country == "US" and got["ok"].ts == dt.datetime(2024, 5, 1, 10)
+    assert got["large"].errors == [] and got["large"].warnings == ["large amount"] and got["large"].currency == "USD"
+    assert got["large"].ts == dt.datetime(2024, 1, 2) and got["large"].user_email_domain is None
+    assert got["bare"].errors == ["merchant_category is required"] and got["bare"].is_first_transaction is None
+    without = quality.complete_requests(df.drop("merchant_category", "ts"), now)
+    assert all("merchant_category is required" in r.errors for r in without.collect())
+
+
+def test_gradient_tells_a_fit_that_stopped_early(spark):
+    prepared = catalog.model_input(spark, SMALL)
+    largest = lambda model: max(abs(r.gradient) for r in training.logistic_gradient(model, prepared).collect())
+    assert largest(training.fit_logistic(prepared)) < 1e-4 < largest(training.fit_logistic(prepared, iterations=1))
