@@ -115,7 +115,7 @@ def test_tiles_in_small_batches(monkeypatch):
 
 
 def test_long_words_and_letters_outside_latin_1(spark):
-    long = "x" * 30_000 + "é" + "y" * 30_000
+    long = "x" * 900 + "é" + "y" * 900
     words = {long: 100, long[1:]: 2, "z" + long: 3, "слово здесь": 40, "слово зде": 1, "слово здес": 2, "naïveté": 50, "naivete": 5, "naiveté": 5}
     assert rows(spelling_groups(spark.createDataFrame(list(words.items()), "word string, n long"))) == grouped(words)
 
