@@ -401,22 +401,12 @@ def kpi_alerts(kpis: DataFrame) -> DataFrame:
     approval, detection, precision = F.col("approval_rate"), F.col("fraud_detection_rate"), F.col("precision")
     low_approval = approval < S.MIN_APPROVAL_RATE
     low_detection = _low_detection()
+    low_precision = (precision < S.MIN_PRECISION) & (F.col("predicted_fraud_count") > 0)
     alerts = [
-        F.when(
-            low_approval,
-            F.concat(F.lit("ALERT: Approval rate "), F.format_string("%.1f", approval), F.lit("% below 95% threshold")),
-        ),
-        F.when(
-            low_detection,
-            F.concat(
-                F.lit("ALERT: Fraud detection rate "), F.format_string("%.1f", detection), F.lit("% below 75% threshold")
-            ),
-        ),
-        F.when(
-            (precision < S.MIN_PRECISION) & (F.col("predicted_fraud_count") > 0),
-            F.concat(F.lit("WARNING: Precision "), F.format_string("%.1f", precision), F.lit("% below 50% threshold")),
-        ),
-        F.when(~low_approval & ~low_detection, F.lit("All metrics within acceptable ranges")),
+        F.when(low_approval, F.format_string(S.APPROVAL_ALERT, approval)),
+        F.when(low_detection, F.format_string(S.DETECTION_ALERT, detection)),
+        F.when(low_precision, F.format_string(S.PRECISION_ALERT, precision)),
+        F.when(~low_approval & ~low_detection, F.lit(S.NO_ALERT)),
     ]
     return kpis.select(F.explode(F.array_compact(F.array(*alerts))).alias("alert"))
 
@@ -428,36 +418,15 @@ def retrain_decision(report: DataFrame, score: DataFrame, kpis: DataFrame) -> Da
         F.col("psi").alias("score_psi"), F.col("mean_shift_percent").alias("shift"), F.lit(0).alias(EVERYTHING)
     )
     one = high.join(scores, EVERYTHING).join(kpis.withColumn(EVERYTHING, F.lit(0)), EVERYTHING)
-    reasons = F.array_compact(
-        F.array(
-            F.when(
-                F.col("high") >= 3,
-                F.concat(F.lit("High drift in "), F.col("high").cast("string"), F.lit(" features (threshold: 3)")),
-            ),
-            F.when(
-                F.col("score_psi") >= S.PSI_SIGNIFICANT,
-                F.concat(F.lit("Score PSI "), F.format_string("%.3f", F.col("score_psi")), F.lit(" exceeds 0.25")),
-            ),
-            F.when(
-                F.abs("shift") > 20,
-                F.concat(
-                    F.lit("Score mean shifted "), F.format_string("%+.1f", F.col("shift")), F.lit("% (threshold: ±20%)")
-                ),
-            ),
-            F.when(
-                F.col("approval_rate") < S.MIN_APPROVAL_RATE,
-                F.concat(F.lit("Approval rate "), F.format_string("%.1f", F.col("approval_rate")), F.lit("% below 95%")),
-            ),
-            F.when(
-                _low_detection(),
-                F.concat(
-                    F.lit("Fraud detection rate "),
-                    F.format_string("%.1f", F.col("fraud_detection_rate")),
-                    F.lit("% below 75%"),
-                ),
-            ),
-        )
-    )
+    approval = F.col("approval_rate")
+    found = [
+        F.when(F.col("high") >= 3, F.format_string(S.FEATURES_REASON, F.col("high"))),
+        F.when(F.col("score_psi") >= S.PSI_SIGNIFICANT, F.format_string(S.SCORE_REASON, F.col("score_psi"))),
+        F.when(F.abs("shift") > 20, F.format_string(S.SHIFT_REASON, F.col("shift"))),
+        F.when(approval < S.MIN_APPROVAL_RATE, F.format_string(S.APPROVAL_REASON, approval)),
+        F.when(_low_detection(), F.format_string(S.DETECTION_REASON, F.col("fraud_detection_rate"))),
+    ]
+    reasons = F.array_compact(F.array(*found))
     return one.select(
         (F.size(reasons) > 0).alias("should_retrain"),
         F.size(reasons).alias("reason_count"),

@@ -22,6 +22,17 @@ TRAIN_MONTHS = 9
 TEST_MONTHS = 3
 LARGE_REQUEST_AMOUNT = 10000
 
+# The texts of alerts and of reasons to retrain.
+APPROVAL_ALERT = "ALERT: Approval rate %.1f%% below 95%% threshold"
+DETECTION_ALERT = "ALERT: Fraud detection rate %.1f%% below 75%% threshold"
+PRECISION_ALERT = "WARNING: Precision %.1f%% below 50%% threshold"
+NO_ALERT = "All metrics within acceptable ranges"
+FEATURES_REASON = "High drift in %d features (threshold: 3)"
+SCORE_REASON = "Score PSI %.3f exceeds 0.25"
+SHIFT_REASON = "Score mean shifted %+.1f%% (threshold: ±20%%)"
+APPROVAL_REASON = "Approval rate %.1f%% below 95%%"
+DETECTION_REASON = "Fraud detection rate %.1f%% below 75%%"
+
 # Fixed values used when an entity has no stored history.
 HISTORY_DEFAULTS = {
     "user_avg_amount": 150.0,
