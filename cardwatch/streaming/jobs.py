@@ -154,8 +154,7 @@ def user_velocity(tx: DataFrame) -> DataFrame:
     """Activity of each user over the last hour, day and week, kept as state.
 
     Transactions are counted per user and minute before they are shuffled, so a very active user sends one row per
-    minute; the state of a user holds at most a week of minutes. A user who never returns keeps that state: a time to
-    live needs the processing-time mode, in which a run over what is available never ends.
+    minute; the state of a user holds at most a week of minutes and ends a week after the last.
     """
     minutes = (
         tx.withWatermark("at", DELAY)
@@ -163,7 +162,7 @@ def user_velocity(tx: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("amount"))).alias("cents"))
     )
     minute = (F.unix_micros(F.col("window.start")) / 60_000_000).cast("long")
-    rows = minutes.select("user_id", minute.alias("minute"), "n", "cents")
+    rows = minutes.select("user_id", minute.alias("minute"), "n", "cents", F.window_time("window").alias("at"))
     return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=UserVelocity(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=UserVelocity(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )

@@ -136,6 +136,28 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     assert {r.key.user_id for r in minutes.collect()} <= {1, 2, 4}
 
 
+def test_idle_users_have_no_velocity(spark, tmp_path):
+    """User 1 returns after eight days, user 3 never; minutes of the first day are gone from the state."""
+    folder, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    parts = [
+        [event(1, 0), event(2, 0, user=2), event(3, 0, user=3)],
+        [event(4, 6, user=2), event(5, 6.5, user=4)],
+        [event(6, 8), event(7, 8, user=2), event(8, 8.5, user=5)],
+    ]
+    files(spark, folder, [spark.createDataFrame(p, SHAPE) for p in parts])
+    got = jobs.drain(jobs.user_velocity(stream(spark, folder)), "velocity", sink=str(tmp_path / "out"), progress=progress)
+    weeks = {(r.user_id, r.minute): r.tx_7d for r in got.collect()}
+    first = int(START.replace(tzinfo=dt.timezone.utc).timestamp()) // 60
+    assert weeks == {
+        (1, first): 1, (2, first): 1, (3, first): 1, (2, first + 6 * 1440): 2, (4, first + 6 * 1440 + 720): 1,
+        (1, first + 8 * 1440): 1, (2, first + 8 * 1440): 2,
+    }
+    kept = spark.read.format("statestore").option("stateVarName", "minutes").load(progress)
+    assert {(r.key.user_id, r.user_map_key.minute) for r in kept.collect()} == {
+        (1, first + 8 * 1440), (2, first + 6 * 1440), (2, first + 8 * 1440), (4, first + 6 * 1440 + 720),
+    }
+
+
 def test_null_keys_and_values(spark, tmp_path):
     rows = [(i, START + dt.timedelta(hours=i), None if i % 3 == 0 else i % 2, "view", None if i % 4 == 0 else 1.0 * i, '{"k": 1}') for i in range(24)]
     rows.append((99, START + dt.timedelta(hours=99), 1, "view", 1.0, None))
