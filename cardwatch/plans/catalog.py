@@ -830,6 +830,14 @@ def feature_importance(spark, folder):
     return rounded(training.feature_importance(model, spark))
 
 
+@query
+def importance_shares(spark, folder):
+    """Whether the importances of the boosted trees are shares of one whole over all features."""
+    found = training.feature_importance(training.fit_trees(model_input(spark, folder)), spark)
+    whole = abs(found.agg(F.sum("importance")).first()[0] - 1) < 1e-9
+    return found.select("feature", (F.lit(whole) & F.col("importance").between(0, 1)).alias("is_share"))
+
+
 @query
 def fitted_model_comparison(spark, folder):
     """Both fitted models at their best thresholds on the test period."""

@@ -837,6 +837,9 @@ FROM tx LEFT JOIN labels_found l ON tx.transaction_id = l.transaction_id AND l.c
 WHERE ts >= TIMESTAMP '{TODAY}' - INTERVAL 20 DAY AND ts <= TIMESTAMP '{TODAY}' - INTERVAL 7 DAY)""",
     "lr_scored_rows": with_(TX)
     + f"SELECT transaction_id, 'test' AS split, true AS is_probability, true AS same_after_loading FROM tx WHERE ts >= {TRAIN_EDGE}",
+    "importance_shares": "SELECT feature, true AS is_share FROM (VALUES "
+    + ", ".join(f"('{n}')" for n in S.ALL_FEATURES)
+    + ") v(feature)",
     "lr_optimum": "SELECT feature, true AS at_optimum FROM (VALUES "
     + ", ".join(f"('{n}')" for n in [*S.ALL_FEATURES, "intercept"])
     + ") v(feature)",
