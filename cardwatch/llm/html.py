@@ -84,8 +84,9 @@ def read_page(source: str | None):
     """Tokens in page order: (role, words, break, outside, article, link, open elements), words for text, None for a tag.
 
     ``break`` tells that a block ends here; ``outside`` is 2 in elements outside any article, 1 in those that are called
-    so, which an article or main inside them is not, else 0. Elements left open are closed by the end of what holds them. The list of
-    open elements changes as the page goes on; each is (name, outside, article, link, path, role, number).
+    so, which an article or main inside them is not, else 0. Elements left open are closed by the end of
+    what holds them. The list of open elements changes as the page goes on; each is (name, outside, article, link, path,
+    role, number).
     """
     stack: list[tuple[str, int, bool, bool, str, str, int]] = []
     top, number = ("", 0, False, False, "", "", 0), 0
@@ -103,8 +104,13 @@ def read_page(source: str | None):
         name, closing = m[3].lower(), bool(m[2])
         breaks = name not in _INLINE and name != "br"
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             role = f"{top[4]}/-{name}"
+            if stack and stack[-1][0] == name:  # the usual case
+                stack.pop()
+                top = stack[-1] if stack else ("", 0, False, False, "", "", 0)
+                yield role, None, breaks, 0, False, False, stack
+                continue
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None and name in _INLINE and any(x[0] not in _INLINE for x in stack[depth + 1 :]):
                 depth = None  # an inline end tag does not close blocks
             if depth is not None:
@@ -157,20 +163,26 @@ class Block:
     outside: int
     after: int
     within: tuple = ()
-    heading: bool = False
     linked: int = 0
     words: list = field(default_factory=list)
     pieces: list = field(default_factory=list)
 
+    def heading(self) -> bool:
+        return any(x[0] in _HEADINGS for x in self.within)
+
     def named(self) -> bool:
         """Opens with a name such as those of elements outside the article."""
-        return not self.heading and bool(_OUTSIDE_NAMES.fullmatch(self.words[0].strip(".,:;!?")))
+        return bool(_OUTSIDE_NAMES.fullmatch(self.words[0].strip(".,:;!?"))) and not self.heading()
 
     def of_links(self) -> bool:
-        return not (self.article or self.outside or self.heading) and 2 * self.linked >= len(self.words)
+        return 2 * self.linked >= len(self.words) and not (self.article or self.outside or self.heading())
 
     def text(self) -> str:
-        return " ".join("".join(self.pieces).split())
+        """The words with one space between them; only where two pieces meet can there be more."""
+        text = "".join(self.pieces)
+        while "  " in text:
+            text = text.replace("  ", " ")
+        return text.strip(" ")
 
 
 @dataclass(slots=True)
@@ -199,34 +211,39 @@ class Page:
         return found
 
 
-def parse(source: str | None) -> Page:
+def parse(source: str | None, texts: bool = False) -> Page:
+    """A page with its content hash, or with the texts of its blocks instead."""
     blocks, order, tags, seen, now = [], [], Counter(), [], None
     for role, text, breaks, outside, article, link, stack in read_page(source):
-        seen.append(role)
         if text is None:
+            seen.append(role)
             if breaks:
                 order.append(role)
-                tags[role] += 1
                 now = None
-            elif link and now:
+            elif texts and link and now:
                 now.pieces.append(" ")
             continue
         found, (before, after) = text
-        if now and (now.article, now.outside) != (article, outside):
+        if now and (now.article != article or now.outside != outside):
             now = None
         if not found:
-            if now and (before or after):
+            if texts and now and (before or after):
                 now.pieces.append(" ")
             continue
-        seen += found
         if now is None:
             within = () if outside == 2 else tuple(stack)
-            now = Block(role, article, outside, len(order), within, any(x[0] in _HEADINGS for x in within))
+            now = Block(role, article, outside, len(order), within)
             blocks.append(now)
-        now.linked += len(found) * link
+        if link:
+            now.linked += len(found)
         now.words += found
-        now.pieces.append(" " * before + " ".join(found) + " " * after)
-    some = bool(blocks or tags)
+        joined = " ".join(found)
+        if texts:
+            now.pieces.append(f"{' ' if before else ''}{joined}{' ' if after else ''}")
+        else:
+            seen.append(f"{role}\x00{joined}")
+    tags.update(order)
+    some = bool(blocks or tags) and not texts
     return Page(blocks, order, tags, xxhash.xxh3_128_digest("\x00".join(seen)) if some else None)
 
 
@@ -347,7 +364,7 @@ def _slot(page: Page, kept: list[Block], skeleton) -> int | None:
 
 def main_text(source: str | None, skeleton, words) -> str:
     """The text of one page under its host's template."""
-    page = parse(source)
+    page = parse(source, texts=True)
     places, seen = page.places(skeleton), Counter()
     frame = set()
     for b in page.blocks:
