@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.llm.skew import join_by_key
 from cardwatch.sources.session import materialize
 
 #: White space stripped from both ends of a line: space and the controls from tab to carriage return.
@@ -36,7 +37,8 @@ def drop_repeated_lines(docs: DataFrame, min_length: int = 10, id_col: str = "do
 
     Two shuffles of small rows (one per line: hashes and position, never text) find the lines to drop: counting per
     hash is combined before the shuffle, so a line that a third of all documents share arrives as one row per task.
-    The third shuffle brings each document its positions.
+    Lines of such hot hashes then meet their count by a broadcast of bounded size, the others by a shuffle
+    (``join_by_key``). The third shuffle brings each document its positions.
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)])
     kept = base.columns
@@ -56,12 +58,10 @@ def drop_repeated_lines(docs: DataFrame, min_length: int = 10, id_col: str = "do
     )
     lines = materialize(lines)
     # Two documents hold a line where its smallest and largest document differ.
-    shared = (
-        lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    )
-    drops = (
-        lines.join(shared, ["h1", "h2"]).where("id > first").groupBy("key").agg(F.collect_set("pos").alias("drops"))
-    )
+    ends = F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")
+    shared = materialize(lines.groupBy("h1", "h2").agg(*ends).where("first < last").drop("last"))
+    held = join_by_key(lines, shared, ["h1", "h2"], "size", lines.count())
+    drops = held.where("id > first").groupBy("key").agg(F.collect_set("pos").alias("drops"))
     parts = F.split("body", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.coalesce("drops", F.array().cast("array<int>")))
     out = (

@@ -2,6 +2,7 @@
 
 from frames import AWKWARD, awkward, empty
 
+import cardwatch.llm.skew as skew
 from cardwatch.llm.lines import SPACES, UPPER, LOWER, drop_repeated_lines
 
 
@@ -35,3 +36,17 @@ def test_many_copies(spark):
 
 def test_empty_table(spark):
     assert drop_repeated_lines(empty(spark)).collect() == []
+
+
+def test_hot_lines(spark, monkeypatch):
+    """Lines of hot and of other hashes in one table: the broadcast and the shuffle take their own."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    rows = [(i, f"shared by everyone here\nshared by a few, number {i % 40}\nown line number {i}") for i in range(300)]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str) == by_loop(rows)
+
+
+def test_hot_keys_are_bounded():
+    assert skew.hot_rows(0) == skew.HOT_ROWS
+    for total in (10**6, 10**9 + 7, 10**14):
+        assert total // skew.hot_rows(total) <= skew.HOT_KEYS
