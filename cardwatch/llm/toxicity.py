@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from cardwatch.sources.session import materialize
 
-#: The largest number of labelled rows that a model is fitted on, and of features that it keeps.
+#: The largest number of labelled rows that a model is fitted on, of features that it keeps, and the labelled rows that
+#: have to hold a feature.
 SAMPLE_ROWS = 8000
 FEATURES = 2048
+LEAST_ROWS = 3
 GRADES = 4
 
 _WORD = re.compile(r"\w+")
@@ -78,10 +80,19 @@ def fit_ordinal(rows, columns, values, grades, n_columns, rounds=400, rate=0.1,
 
 
 def fit_severity(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = SAMPLE_ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    features: int = FEATURES,
+    least_rows: int = LEAST_ROWS,
 ) -> SeverityModel:
     """Fit on at most ``sample_rows`` labelled rows, taken by a hash of the id from all labelled rows.
 
+    The model keeps the ``features`` features, held by at least ``least_rows`` of these rows, whose shares among toxic
+    and other rows differ most surely. Scoring reads whole texts and all rows, whatever the size of the model.
+
     ``labels`` has the id and ``toxic`` (0 or 1; the largest of several, rows with null are left out). Labels know two
     grades only. Toxic rows are graded 1 to 3 by the third of the toxic rows that their number of telling features
     falls into; features are telling that toxic rows hold eight times as often as others. Without rows of both kinds
@@ -121,10 +132,10 @@ def fit_severity(
         counted.select("toxic", F.explode("feature").alias("feature"))
         .groupBy("feature")
         .agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
-        .where("bad + good >= 3")
+        .where(F.col("bad") + F.col("good") >= least_rows)
         .select("feature", F.abs(z).alias("z"), (bad / good).alias("lift"))
         .orderBy(F.desc("z"), "feature")
-        .limit(FEATURES)
+        .limit(features)
         .collect()
     )
     place = {r.feature: i for i, r in enumerate(telling)}
