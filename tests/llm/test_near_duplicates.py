@@ -9,9 +9,10 @@ import pytest
 from frames import AWKWARD, awkward, empty
 
 import cardwatch.llm.near_duplicates as near
+import cardwatch.llm.skew as skew
 from cardwatch.llm.components import connected_components
 from cardwatch.llm.lines import LOWER, UPPER
-from cardwatch.llm.near_duplicates import divide_skip, meeting_places, near_duplicate_groups
+from cardwatch.llm.near_duplicates import divide_skip, hot_lists, meeting_places, merge_skip, near_duplicate_groups, near_duplicate_links
 from cardwatch.llm.words import word_hashes
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,10 +70,16 @@ def clusters(seed=3):
     return [(1000 - i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("ranges,block", [(4_000_000, 2048), (500, 7)])
-def test_clusters(spark, monkeypatch, ranges, block):
+@pytest.mark.parametrize(
+    "ranges,block,held,hot", [(4_000_000, 2048, 2_000_000, 10_000), (500, 7, 2_000_000, 12), (500, 64, 900, 30)]
+)
+def test_clusters(spark, monkeypatch, ranges, block, held, hot):
+    """Small ranges and blocks, and lists and keys that are hot from a few entries on."""
     monkeypatch.setattr(near, "RANGE_ROWS", ranges)
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", held)
+    monkeypatch.setattr(near, "HOT_LIST", hot)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rows = clusters()
     got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted(map(tuple, got.collect()), key=str) == by_pairs(rows)
@@ -119,4 +126,64 @@ def test_words_of_long_and_mixed_texts():
 
 def test_place_with_very_many_texts(spark):
     meets = spark.range(20_000_000).selectExpr("id AS node", "7L AS t")
-    assert [tuple(r) for r in meeting_places(meets).collect()] == [(7, 0)]
+    assert [tuple(r) for r in meeting_places(meets).collect()] == [(7, 0, 20_000_000)]
+
+
+def test_merge_skip_counts_lists():
+    rng = random.Random(5)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(60), rng.randrange(0, 40))) for _ in range(rng.randrange(1, 12))]
+        counts = Counter(x for members in lists for x in members)
+        for least in (1, 2, 3, len(lists), len(lists) + 1):
+            assert list(merge_skip(lists, least)) == sorted((x, k) for x, k in counts.items() if k >= least)
+
+
+def links_by_pairs(texts):
+    sets = [shingles(t) for t in texts]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    return [sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)], sets
+
+
+@pytest.mark.parametrize("hot", [10_000, 12])
+def test_links_of_every_row(spark, monkeypatch, hot):
+    monkeypatch.setattr(near, "HOT_LIST", hot)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rows = clusters(4) + [(2000 + i, "the same words in each of these rows") for i in range(20)]
+    counts, sets = links_by_pairs([t for _, t in rows])
+    members, links = near_duplicate_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    members = members.collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in members) == sorted(
+        (i, len(s), k) for (i, _), s, k in zip(rows, sets, counts)
+    )
+    node = {r.doc_id: r.node for r in members}
+    node_of = {s: node[i] for (i, _), s in zip(rows, sets)}
+    distinct = [s for s in node_of if s]
+    want = {
+        tuple(sorted((node_of[a], node_of[b]))) for n, a in enumerate(distinct) for b in distinct[:n]
+        if 100 * len(a & b) >= 75 * len(a | b)
+    }
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_of_awkward_rows(spark):
+    members, links = near_duplicate_links(awkward(spark))
+    counts, sets = links_by_pairs([r[1] for r in AWKWARD])
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in members.collect()), key=str) == sorted(
+        ((r[0], len(s), k) for r, s, k in zip(AWKWARD, sets, counts)), key=str
+    )
+    members, links = near_duplicate_links(empty(spark))
+    assert members.collect() == [] and links.collect() == []
+
+
+def test_hot_lists_are_few(spark, monkeypatch):
+    """A list that half of the texts share is hot wherever it is long enough, and no list beyond the bound."""
+    monkeypatch.setattr(near, "HOT_LIST", 50)
+    rows = [(i, f"one two three four five a{i} b{i} c{i} d{i} e{i}" if i % 2 else f"f{i} g{i} h{i}") for i in range(200)]
+    source = spark.createDataFrame(rows, "id long, body string").repartition(2)
+    sized = source.mapInArrow(near._sizes(5), near._SIZED)
+    hashes, held = hot_lists(sized, 10_000)
+    assert held.tolist() == [100] and len(hashes) == 1
+    monkeypatch.setattr(near, "HOT_LISTS", 10)
+    assert len(hot_lists(sized, 10_000)[0]) == 0
