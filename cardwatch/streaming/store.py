@@ -2,13 +2,18 @@
 
 A row waits until the watermark has passed its time. Then the rows of a key are taken in the order of time and id, as the
 batch features take them, so both give the same values. State is kept in small entries: one per minute with activity,
-one per value that a distinct count needs, one summary. A batch reads the entries of its keys and writes those it
-changed. An entity without activity for the time to live is forgotten by an event-time timer.
+one per value that a distinct count needs, one summary, and waiting rows in packs. A batch reads the entries of its keys
+and writes those it changed and a later row can still see: every access to the state is a message to the executor, so
+their number follows the windows and not the rows. A row crosses to Python and back as its key, its time and one JSON
+text to which a stage appends its features, as every cell that crosses has its price. An entity without activity for the
+time to live is forgotten by an event-time timer.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +27,10 @@ from cardwatch import schema as S
 from cardwatch.functions.expressions import DAY_US, HOUR_US, cents, without_zone
 
 MINUTE_US = 60_000_000
+TIE = "transaction_id"
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+#: Waiting rows of one key that are stored as one entry.
+PACK_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +53,11 @@ class Entity:
         real = [*self.money, *[n for n in (self.since_last, self.age, self.rate) if n]]
         return {n: T.LongType() for n in whole} | {n: T.DoubleType() for n in real}
 
+    @property
+    def sources(self) -> set[str]:
+        """The columns that the features read beside time, amount and label."""
+        return {c for c, _ in self.distinct.values()} | ({self.change[1]} if self.change else set())
+
     @property
     def widest(self) -> int:
         return max([*self.counts.values(), *[w for _, w in self.money.values()], 0])
@@ -111,6 +124,7 @@ _SUMMARY = T.StructType(
     + [T.StructField("value", T.StringType())]
 )
 _MINUTE = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("cents", T.ArrayType(T.LongType()))])
+_PACK = T.StructType([T.StructField("rows", T.BinaryType())])
 _LONG = T.StructType([T.StructField("v", T.LongType())])
 _TEXT = T.StructType([T.StructField("v", T.StringType())])
 
@@ -130,37 +144,36 @@ STORED = T.StructType(
 
 
 class EntityHistory(StatefulProcessor):
-    """Adds the features of one entity to rows with ``us`` (time), ``cents``, ``is_fraud`` and ``counted``; rows that are
-    not counted pass through in their order, without features and without a trace."""
+    """Adds the features of one entity to rows of an instant ``at`` and a JSON object ``row`` with ``us`` (the same time),
+    ``cents``, ``is_fraud`` and ``counted``; rows that are not counted pass through in their order, without features and
+    without a trace."""
 
-    def __init__(self, entity: Entity, row: T.StructType, ttl_us: int | None):
-        self.entity, self.row, self.ttl_us = entity, row, ttl_us
-        self.names = row.names
-        self.output = Row(*row.names, *entity.features, "at")
+    def __init__(self, entity: Entity, ttl_us: int | None):
+        self.entity, self.ttl_us = entity, ttl_us
+        self.output = Row("at", "row")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
+        self.waiting = handle.getListState("waiting", _PACK)
         self.summary = handle.getValueState("summary", _SUMMARY)
         self.minutes = handle.getMapState("minutes", _LONG, _MINUTE) if self.entity.widest else None
         self.seen = {c: handle.getMapState(f"seen_{c}", _TEXT, _LONG) for c, _ in self.entity.distinct.values()}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r[n] for n in self.names) for r in rows]
         mark = timerValues.getCurrentWatermarkInMs()
-        at = self.names.index("us")
-        if all(close_ms(r[at]) > mark for r in new):
-            self.waiting.appendList(new)
-            self._wake(new)
+        *_, times, texts = zip(*map(tuple, rows))
+        us = (min(times) - EPOCH) // dt.timedelta(microseconds=1)
+        if close_ms(us) > mark:
+            self._wait(list(texts), us)
             return iter(())
-        return iter(self._close(key, [*self.waiting.get(), *new], mark))
+        return iter(self._close(key, [*self._waited(), *texts], mark))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
+        rows = self._waited()
         if rows:
             return iter(self._close(key, rows, mark))
-        known = self.summary.get() if self.summary.exists() else None
+        known = self.summary.get()
         if known and self.ttl_us is not None and known[4] <= mark:
             self._forget()
         return iter(())
@@ -180,11 +193,14 @@ class EntityHistory(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _wake(self, rows: list[tuple]) -> None:
-        """A timer for the first of the rows to close."""
-        if rows:
-            at = self.names.index("us")
-            self.handle.registerTimer(min(close_ms(r[at]) for r in rows))
+    def _waited(self) -> list[str]:
+        return [text for (pack,) in self.waiting.get() for text in pickle.loads(pack)]
+
+    def _wait(self, texts: list[str], first_us: int) -> None:
+        """Store rows in packs, a few entries per batch however many they are, with a timer for the first to close."""
+        for i in range(0, len(texts), PACK_ROWS):
+            self.waiting.appendValue((pickle.dumps(texts[i : i + PACK_ROWS], pickle.HIGHEST_PROTOCOL),))
+        self.handle.registerTimer(close_ms(first_us))
 
     def _expire(self, last_us: int, before: int | None) -> int | None:
         """Move the timer that forgets the entity."""
@@ -201,25 +217,22 @@ class EntityHistory(StatefulProcessor):
             if state is not None:
                 state.clear()
 
-    def _close(self, key, rows: list[tuple], mark: int) -> list[Row]:
+    def _close(self, key, texts: list[str], mark: int) -> list[Row]:
         """Features of the rows that the watermark has passed; the others go on waiting."""
-        at, tie = self.names.index("us"), self.names.index("transaction_id")
-        done = sorted((r for r in rows if close_ms(r[at]) <= mark), key=lambda r: (r[at], r[tie]))
-        left = [r for r in rows if close_ms(r[at]) > mark]
+        rows = [(r["us"], r.get(TIE), r, text) for r, text in zip(map(json.loads, texts), texts)]
+        done = sorted((r for r in rows if close_ms(r[0]) <= mark), key=lambda r: r[:2])
+        left = [r for r in rows if close_ms(r[0]) > mark]
+        self.waiting.clear()
         if left:
-            self.waiting.put(left)
-            self._wake(left)
-        else:
-            self.waiting.clear()
-        counted = self.names.index("counted")
-        history = [r for r in done if r[counted]]
+            self._wait([r[3] for r in left], min(r[0] for r in left))
+        history = [r[2] for r in done if r[2]["counted"]]
         found: list[tuple] = []
-        known = self.summary.get() if self.summary.exists() else None
+        known = self.summary.get()
         while history:
             # Up to the first gap longer than the time to live; behind it the entity is a new one.
-            last, end = known[1] if known else history[0][at], 0
-            while end < len(history) and (self.ttl_us is None or history[end][at] - last <= self.ttl_us):
-                last, end = history[end][at], end + 1
+            last, end = known[1] if known else history[0]["us"], 0
+            while end < len(history) and (self.ttl_us is None or history[end]["us"] - last <= self.ttl_us):
+                last, end = history[end]["us"], end + 1
             if end:
                 values, known = self._features(key, history[:end], known)
                 found += values
@@ -227,21 +240,21 @@ class EntityHistory(StatefulProcessor):
                 self._forget()
                 known = None
             history = history[end:]
-        values = iter(found)
-        nothing = (None,) * len(self.entity.features)
+        values, shape = iter(found), "".join(f',"{n}":%r' for n in self.entity.features) + "}"
         return [
-            self.output(*r, *(next(values) if r[counted] else nothing), EPOCH + dt.timedelta(microseconds=r[at])) for r in done
+            self.output(EPOCH + dt.timedelta(microseconds=us), text[:-1] + shape % next(values) if r["counted"] else text)
+            for us, _, r, text in done
         ]
 
-    def _features(self, key, rows: list[tuple], known: tuple | None) -> tuple[list[tuple], tuple]:
+    def _features(self, key, rows: list[dict], known: tuple | None) -> tuple[list[tuple], tuple]:
         entity, n = self.entity, len(rows)
-        column = {name: [r[i] for r in rows] for i, name in enumerate(self.names)}
+        column = {name: [r.get(name) for r in rows] for name in ("us", "cents", "is_fraud", *entity.sources)}
         at = np.array(column["us"], np.int64)
         out: dict[str, list] = {}
         if self.minutes is not None:
-            out |= self._activity(at, column["cents"])
+            out |= self._activity(at, column["cents"], known)
         for name, (source, width) in entity.distinct.items():
-            out[name] = [0] * n if key[0] is None else self._distinct(source, column[source], at, width)
+            out[name] = [0] * n if key[0] is None else self._distinct(source, column[source], at, width, known)
         first = known[0] if known else column["us"][0]
         if entity.since_last:
             before = [known[1] if known else None, *column["us"][:-1]]
@@ -269,10 +282,10 @@ class EntityHistory(StatefulProcessor):
         self.summary.update(summary)
         return list(zip(*(out[name] for name in entity.features))), summary
 
-    def _activity(self, at: np.ndarray, cents_: list) -> dict[str, list]:
-        """Counts and sums over windows; the new rows join the entries of their minutes."""
+    def _activity(self, at: np.ndarray, cents_: list, known: tuple | None) -> dict[str, list]:
+        """Counts and sums over windows; the new rows join the entries of their minutes. A new key has no entries."""
         entity, minutes = self.entity, self.minutes
-        stored = {k[0]: v for k, v in minutes.iterator()}
+        stored = {k[0]: v for k, v in minutes.iterator()} if known else {}
         times = np.array([t for us, _ in stored.values() for t in us], np.int64)
         money = np.array([c for _, cs in stored.values() for c in cs], np.int64)
         own = np.array([c or 0 for c in cents_], np.int64)
@@ -287,27 +300,34 @@ class EntityHistory(StatefulProcessor):
             first, end = in_window(times, at, width)
             sums = total[end] - total[first]
             out[name] = ((sums - own) / 100 if kind == "sum" else sums / 100 / (end - first)).tolist()
-        for minute in np.unique(at // MINUTE_US).tolist():
-            here = at // MINUTE_US == minute
+        # Minutes that no later row can look back to are not written, and go if they were.
+        oldest = (int(at[-1]) - entity.widest) // MINUTE_US
+        start = int(np.searchsorted(at, oldest * MINUTE_US))
+        active, firsts = np.unique(at[start:] // MINUTE_US, return_index=True)
+        ends = [*(firsts[1:] + start).tolist(), len(at)]
+        for minute, first, end in zip(active.tolist(), (firsts + start).tolist(), ends):
             us, cs = stored.get(minute, ([], []))
-            minutes.updateValue((minute,), ([*us, *at[here].tolist()], [*cs, *own[here].tolist()]))
+            minutes.updateValue((minute,), ([*us, *at[first:end].tolist()], [*cs, *own[first:end].tolist()]))
         for minute in stored:
-            if (minute + 1) * MINUTE_US <= int(at[-1]) - entity.widest:
+            if minute < oldest:
                 minutes.removeKey((minute,))
         return out
 
-    def _distinct(self, source: str, values: list, at: np.ndarray, width: int) -> list:
+    def _distinct(self, source: str, values: list, at: np.ndarray, width: int, known: tuple | None) -> list:
         state = self.seen[source]
         texts = [None if v is None else str(v) for v in values]
-        seen = {k[0]: v[0] for k, v in state.iterator()}
+        seen = {k[0]: v[0] for k, v in state.iterator()} if known else {}
         gone = [v for v, t in seen.items() if t + width < int(at[0])]
         for v in gone:
             del seen[v]
+        kept = {*seen, *gone}
         counts = distinct_before(seen, texts, at, width)
+        live = int(at[-1]) - width  # values last seen before this are out of every later window
         for v in {t for t in texts if t is not None}:
-            state.updateValue((v,), (seen[v],))
-        for v in gone:
-            if v not in seen:
+            if seen[v] >= live:
+                state.updateValue((v,), (seen[v],))
+        for v in kept:
+            if seen.get(v, live - 1) < live:
                 state.removeKey((v,))
         return counts.tolist()
 
@@ -372,21 +392,25 @@ def with_history(
     simple = [f.name for f in tx.schema if not isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.ArrayType))]
     kept = [c for c in simple if c not in ("us", "cents", "counted")]
     counted = F.col("counted") if "counted" in tx.columns else F.lit(True)
-    rows = tx.select(*kept, counted.alias("counted"), F.unix_micros("at").alias("us"), cents(F.col("amount")).alias("cents"), "at")
+    extra = [counted.alias("counted"), F.unix_micros("at").alias("us"), cents(F.col("amount")).alias("cents")]
+    rows = tx.select("at", F.to_json(F.struct(*kept, *extra)).alias("row"))
+    fields = {f.name: f.dataType for f in tx.select(*kept, counted.alias("counted")).schema}
     ttl_us = None if ttl_days is None else ttl_days * DAY_US
     for entity in entities:
-        row = T.StructType([f for f in rows.schema if f.name != "at"])
-        shape = T.StructType(
-            [*row, *[T.StructField(n, kind) for n, kind in entity.features.items()], T.StructField("at", T.TimestampType())]
-        )
         first = (stored or {}).get(entity.key)
-        rows = rows.groupBy(entity.key).transformWithState(
-            statefulProcessor=EntityHistory(entity, row, ttl_us),
-            outputStructType=shape,
+        key = F.from_json("row", T.StructType([T.StructField(entity.key, fields[entity.key])]))[entity.key]
+        rows = rows.select(key.alias(entity.key), "at", "row").groupBy(entity.key).transformWithState(
+            statefulProcessor=EntityHistory(entity, ttl_us),
+            outputStructType="at timestamp, row string",
             outputMode="Append",
             timeMode="EventTime",
             initialState=None if first is None else first.groupBy(entity.key),
             eventTimeColumnName="at",
         )
-    features = [n for e in entities for n in e.features]
-    return rows.select(*kept, "at", without_zone(F.col("at")).alias("ts"), *(["counted"] if "counted" in tx.columns else []), *features)
+        fields |= entity.features
+    values = F.from_json("row", T.StructType([T.StructField(n, kind) for n, kind in fields.items()])).alias("_values")
+    names = [*kept, *(["counted"] if "counted" in tx.columns else []), *[n for e in entities for n in e.features]]
+    opened = rows.select("at", without_zone(F.col("at")).alias("ts"), values)
+    after = len(kept)
+    columns = [F.col("_values")[n].alias(n) for n in names]
+    return opened.select(*columns[:after], "at", "ts", *columns[after:])

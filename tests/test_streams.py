@@ -261,3 +261,53 @@ def test_registered_windows_have_alerts(spark):
     rows = catalog.QUERIES["stream_alert_volume_1h"](spark, SMALL).collect()
     assert rows and all(r.window_end - r.window_start == dt.timedelta(hours=1) for r in rows)
     assert HOUR_US * 24 == DAY_US
+
+
+class Entries(dict):
+    """A map state that counts its messages."""
+
+    def __init__(self):
+        super().__init__()
+        self.messages = 0
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self.messages += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.messages += 1
+        del self[key]
+
+
+def test_entries_follow_the_windows_and_not_the_rows():
+    """A month of one key in one batch: only what the next row can see is written, and later rows see all of it."""
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.integers(0, 30 * DAY_US, 2000))
+    cents, users = rng.integers(1, 99, 2000), rng.integers(0, 900, 2000).tolist()
+    merchant, device = store.EntityHistory(store.MERCHANT, None), store.EntityHistory(store.DEVICE, None)
+    merchant.minutes, device.seen = Entries(), {"user_id": Entries()}
+    (name, width), (_, span) = *store.MERCHANT.counts.items(), store.DEVICE.distinct["feat_unique_users_per_device_24h"]
+    counts, users_seen = [], []
+    for part, known in ((slice(0, 1500), None), (slice(1500, 2000), (0,))):
+        counts += merchant._activity(at[part], cents[part].tolist(), known)[name]
+        users_seen += device._distinct("user_id", users[part], at[part], span, known)
+    assert counts == [int(((at[:i] >= t - width)).sum()) for i, t in enumerate(at)]
+    assert users_seen == [len({u for u, s in zip(users, at) if t - span <= s < t}) for t in at]
+    assert merchant.minutes.messages < 40 and device.seen["user_id"].messages < 400
+    assert all((m + 1) * store.MINUTE_US > at[-1] - width for (m,) in merchant.minutes)
+
+
+def test_rows_cross_the_state_unchanged(spark, tmp_path):
+    """Columns of any kind pass the stages in one text each."""
+    rows = [event(i, i / 24, kind='vi"e\\w,\n', value=v) for i, v in enumerate((0.1, None, float("nan"), float("-inf"), 1e-300, -0.0, 5.0))]
+    files(spark, str(tmp_path / "in"), [spark.createDataFrame([*rows, event(99, 9)], SHAPE)])
+    tx = stream(spark, str(tmp_path / "in")).withColumns({"kind": F.lit('ü"\\\n'), "part": F.expr("CAST(amount AS float) / 3")})
+    got = jobs.drain(store.with_history(tx.withWatermark("at", jobs.DELAY), (store.USER, store.DEVICE)), "kinds")
+    base = transactions.from_events(spark.createDataFrame(rows, SHAPE))
+    want = base.withColumns({"kind": F.lit('ü"\\\n'), "part": F.expr("CAST(amount AS float) / 3")})
+    names = ["transaction_id", "amount", "kind", "part", "country", "is_fraud", "delay_days", "ts"]
+    assert sorted(map(repr, got.select(*names).collect())) == sorted(map(repr, want.select(*names).collect()))
+    assert [f.dataType for f in got.select(*names).schema] == [f.dataType for f in want.select(*names).schema]
