@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from compare import SMALL
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from cardwatch import schema as S
@@ -264,3 +267,24 @@ def test_gradient_tells_a_fit_that_stopped_early(spark):
     prepared = catalog.model_input(spark, SMALL)
     largest = lambda model: max(abs(r.gradient) for r in training.logistic_gradient(model, prepared).collect())
     assert largest(training.fit_logistic(prepared)) < 1e-4 < largest(training.fit_logistic(prepared, iterations=1))
+
+
+def test_first_rounds_are_a_fit_of_so_many(spark, tmp_path):
+    """Cutting the trees gives what a shorter fit gives, also after storing, and the search does not fit the best again."""
+    rows = spark.range(3000).selectExpr(
+        "CAST(hash(id, 1) % 7 + abs(id % 13) > 6 AS int) AS is_fraud", "CAST(hash(id, 1) % 100 AS double) AS a", "CAST(id % 13 AS double) AS b", "0D AS c"
+    )
+    assembler = VectorAssembler(inputCols=["a", "b", "c"], outputCol="vector")
+
+    def fit(rounds):
+        trees = GBTClassifier(featuresCol="vector", labelCol="is_fraud", maxIter=rounds, subsamplingRate=0.8, seed=42)
+        return Pipeline(stages=[assembler, trees]).fit(rows)
+
+    long, short = fit(4), fit(2)
+    cut = training.first_rounds(long, 2)
+    cut.write().save(str(tmp_path / "model"))
+    want = [r.probability for r in short.transform(rows).select("probability").collect()]
+    for model in (cut, training.load_model(str(tmp_path / "model"))):
+        assert [r.probability for r in model.transform(rows).select("probability").collect()] == want
+        assert training.feature_importance(model, spark).collect() == training.feature_importance(short, spark).collect()
+    assert training.first_rounds(long, 4) is long
