@@ -128,9 +128,18 @@ def long_rows(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 
 def _reached(value: Column, limits: Column, most: int, beyond: bool = False) -> Column:
-    """How many of the ascending numbers of an array column a value has reached, or has passed."""
-    steps = [(value > F.get(limits, F.lit(i))) if beyond else (value >= F.get(limits, F.lit(i))) for i in range(most)]
-    return sum((F.when(s, F.lit(1)).otherwise(F.lit(0)) for s in steps), F.lit(0))
+    """How many of the ascending numbers of an array column a value has reached, or has passed: a search tree over the
+    places, so that a value meets a few of the limits and not all. Places behind the end of an array are never reached."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        limit = F.get(limits, F.lit(middle))
+        passed = value > limit if beyond else value >= limit
+        return F.when(passed, search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, most)
 
 
 def baseline_profile(df: DataFrame, bins: dict[str, int]) -> Profile:

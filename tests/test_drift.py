@@ -148,3 +148,17 @@ def test_trend_windows(spark, tmp_path):
                       and 0 <= (day - r.ts.date()).days < span]
             assert trend[day][name] == pytest.approx(psi(base, inside, 20), abs=1e-9)
     assert dt.date(2024, 1, 15) not in trend
+
+
+def test_limits_are_searched_and_not_tried_one_by_one(spark):
+    """Arrays of several lengths, equal limits and values beyond the last: the counts of a plain comparison, and a value
+    meets no more limits than a search tree is deep."""
+    limits = {"a": [1.0, 2.0, 2.0, 5.0], "b": [3.0], "c": [], "d": [float("-inf"), 0.0, 1.0, 2.0, 4.0, 8.0, 9.0, float("inf")]}
+    numbers = [float("-inf"), -1.0, 0.0, 1.0, 1.5, 2.0, 3.0, 5.0, 8.5, 9.0, 1e300, float("inf")]
+    rows = [(n, v, ls) for n, ls in limits.items() for v in numbers]
+    frame = spark.createDataFrame(rows, "name string, value double, limits array<double>")
+    counts = [drift._reached(F.col("value"), F.col("limits"), 8, beyond) for beyond in (False, True)]
+    got = {(r.name, r.value): (r.reached, r.passed) for r in frame.select("name", "value", counts[0].alias("reached"), counts[1].alias("passed")).collect()}
+    assert got == {(n, v): (sum(v >= x for x in ls), sum(v > x for x in ls)) for n, v, ls in rows}
+    text = str(counts[0])
+    assert "+" not in text and text.count("get(") == 8
