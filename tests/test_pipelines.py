@@ -288,3 +288,17 @@ def test_first_rounds_are_a_fit_of_so_many(spark, tmp_path):
         assert [r.probability for r in model.transform(rows).select("probability").collect()] == want
         assert training.feature_importance(model, spark).collect() == training.feature_importance(short, spark).collect()
     assert training.first_rounds(long, 4) is long
+
+
+def test_model_input_is_computed_once(spark):
+    """The border of the split comes from the stored rows and not from a second run of the features."""
+    made = spark.sparkContext.accumulator(0)
+
+    def day(i):
+        made.add(1)
+        return dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+
+    rows = spark.range(40).selectExpr("id AS transaction_id", "1D AS amount", "CAST(id % 2 AS int) AS is_fraud", "id AS feat_x")
+    prepared = training.prepare(rows.withColumn("ts", F.udf(day, "timestamp_ntz")(F.col("transaction_id").cast("int"))))
+    assert prepared.groupBy("split").count().count() == 2 and prepared.columns[-1] == "split"
+    assert made.value == 40
