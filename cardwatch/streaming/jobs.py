@@ -13,7 +13,7 @@ from cardwatch.operators import quality, scoring
 from cardwatch.operators.features import add_row_features
 from cardwatch.sources.session import shared_path
 from cardwatch.sources.transactions import from_events
-from cardwatch.streaming.store import DEVICE, USER, with_history
+from cardwatch.streaming.store import BUCKETS, DEVICE, USER, with_history
 from cardwatch.streaming.velocity import OUTPUT, UserVelocity
 
 DELAY = "10 minutes"
@@ -61,8 +61,9 @@ def rocksdb(spark: SparkSession):
 
 
 def scored_stream(tx: DataFrame, ttl_days: int | None = 7, stored: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Scores from the state of users and devices, by the batch definitions: two stateful stages, one per key."""
-    served = with_history(tx.withWatermark("at", DELAY), (USER, DEVICE), ttl_days, stored)
+    """Scores from the state of users and devices, by the batch definitions: two stateful stages, one per key. A drain
+    takes all that is there as one batch with very many users, so their state is kept in buckets."""
+    served = with_history(tx.withWatermark("at", DELAY), (USER, DEVICE), ttl_days, stored, BUCKETS)
     return add_row_features(served, scoring.RULE_ROW).withColumn("fraud_score", scoring.rule_score(scoring.CHAMPION))
 
 

@@ -7,6 +7,10 @@ and writes those it changed and a later row can still see: every access to the s
 their number follows the windows and not the rows. A row crosses to Python and back as its key, its time and one JSON
 text to which a stage appends its features, as every cell that crosses has its price. An entity without activity for the
 time to live is forgotten by an event-time timer.
+
+A message costs as much as many rows, so batches with very many keys are better kept in a fixed number of buckets by the
+hash of the key (:class:`BucketHistory`): the entries of a bucket are read and written together, a batch sends a few
+messages per bucket, whatever its keys, and rows cross as frames. Small batches rewrite more that way.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +36,10 @@ TIE = "transaction_id"
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 #: Waiting rows of one key that are stored as one entry.
 PACK_ROWS = 10_000
+#: Buckets of the keys of one stage: more of them make a small batch rewrite less, fewer make a large one cheaper.
+BUCKETS = 1024
+#: Bytes of the entries of one bucket that are stored as one value.
+PART_BYTES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -125,6 +134,7 @@ _SUMMARY = T.StructType(
 )
 _MINUTE = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("cents", T.ArrayType(T.LongType()))])
 _PACK = T.StructType([T.StructField("rows", T.BinaryType())])
+_PART = T.StructType([T.StructField("bytes", T.BinaryType())])
 _LONG = T.StructType([T.StructField("v", T.LongType())])
 _TEXT = T.StructType([T.StructField("v", T.StringType())])
 
@@ -332,6 +342,148 @@ class EntityHistory(StatefulProcessor):
         return counts.tolist()
 
 
+class Entries(dict):
+    """The entries of one kind of a key, while its rows are taken."""
+
+    def iterator(self) -> Iterator[tuple]:
+        return iter(list(self.items()))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self[key] = value
+
+    def removeKey(self, key: tuple) -> None:
+        del self[key]
+
+
+class _Unstored:
+    """Takes the summary of a key that is stored with the entries of its bucket."""
+
+    def update(self, value: tuple) -> None:
+        pass
+
+
+class BucketHistory(EntityHistory):
+    """Adds the features of one entity to rows of a bucket, an instant ``at``, its microseconds ``us`` and a JSON object
+    ``row`` with the key, ``us``, ``cents``, ``is_fraud`` and ``counted``; rows that are not counted pass through in their
+    order, without features and without a trace."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _PACK)
+        self.known = handle.getListState("known", _PART)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        firsts, texts = [], []
+        for frame in rows:
+            firsts.append(int(frame.iloc[:, -2].min()))
+            texts += frame.iloc[:, -1].tolist()
+        if close_ms(min(firsts)) > mark:
+            self._wait(texts, min(firsts))
+            return iter(())
+        return self._close_all([*self._waited(), *texts], mark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._close_all(self._waited(), timerValues.getCurrentWatermarkInMs())
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Rows of :func:`stored_history` as JSON texts: a minute, a value, or the summary."""
+        before, known = self._load()
+        for r in map(json.loads, initialState.iloc[:, -1]):
+            own = r.get(self.entity.key)
+            r = {f.name: r.get(f.name) for f in STORED}
+            summary = self._take(known.get(own))
+            if r["minute"] is not None:
+                if self.minutes is not None:
+                    self.minutes.updateValue((r["minute"],), (r["us"], r["cents"]))
+            elif r["column"] is not None and r["first_us"] is None:
+                if r["column"] in self.seen:
+                    self.seen[r["column"]].updateValue((r["value"],), (r["last_us"],))
+            else:
+                summary = (r["first_us"], r["last_us"], r["rows"], r["frauds"], self._expire(r["last_us"], None), r["value"])
+            known[own] = (summary, self.minutes, self.seen)
+        self._store(before, known, timerValues.getCurrentWatermarkInMs())
+
+    def _take(self, entries: tuple | None) -> tuple | None:
+        """Make the entries of a key the current ones; without any it is a new key. Returns the summary."""
+        self.summary = _Unstored()
+        summary, self.minutes, self.seen = entries or (
+            None,
+            Entries() if self.entity.widest else None,
+            {c: Entries() for c, _ in self.entity.distinct.values()},
+        )
+        return summary
+
+    def _load(self) -> tuple[int | None, dict]:
+        """The timer of the bucket and the entries of its keys."""
+        stored = b"".join(bytes(part) for (part,) in self.known.get())
+        return pickle.loads(stored) if stored else (None, {})
+
+    def _store(self, before: int | None, known: dict, mark: int) -> None:
+        """Store what is not forgotten, with a timer for the next key to forget."""
+        kept = {k: e for k, e in known.items() if e[0] is None or e[0][4] is None or e[0][4] > mark}
+        timer = min((e[0][4] for e in kept.values() if e[0] and e[0][4] is not None), default=None)
+        if timer != before:
+            if before is not None and before > mark:
+                self.handle.deleteTimer(before)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if not kept:
+            self.known.clear()
+            return
+        stored = pickle.dumps((timer, kept), pickle.HIGHEST_PROTOCOL)
+        self.known.put([(stored[i : i + PART_BYTES],) for i in range(0, len(stored), PART_BYTES)])
+
+    def _expire(self, last_us: int, before: int | None) -> int | None:
+        """The watermark that forgets the entity; the timer is the bucket's."""
+        return None if self.ttl_us is None else close_ms(last_us + self.ttl_us) + 1
+
+    def _close_all(self, texts: list[str], mark: int) -> Iterator[pd.DataFrame]:
+        """Features of the rows that the watermark has passed; the others go on waiting."""
+        rows = [(r["us"], r.get(TIE), r, text) for r, text in zip(map(json.loads, texts), texts)]
+        done = sorted((r for r in rows if close_ms(r[0]) <= mark), key=lambda r: r[:2])
+        left = [r for r in rows if close_ms(r[0]) > mark]
+        if rows:
+            self.waiting.clear()
+        if left:
+            self._wait([r[3] for r in left], min(r[0] for r in left))
+        by_key: dict[object, list[tuple]] = {}
+        for r in done:
+            by_key.setdefault(r[2].get(self.entity.key), []).append(r)
+        before, known = self._load()
+        shape = "".join(f',"{n}":%r' for n in self.entity.features) + "}"
+        times, out = [], []
+        for key, own in by_key.items():
+            values = iter(self._replay(key, [r[2] for r in own if r[2]["counted"]], known))
+            times += [r[0] for r in own]
+            out += [text[:-1] + shape % next(values) if r["counted"] else text for _, _, r, text in own]
+        if known:
+            self._store(before, known, mark)
+        if not out:
+            return iter(())
+        at = pd.Series(np.array(times, "datetime64[us]")).dt.tz_localize("UTC")
+        return iter([pd.DataFrame({"at": at, "row": out})])
+
+    def _replay(self, key, history: list[dict], known: dict) -> list[tuple]:
+        """Features of the rows of one key, whose entries in ``known`` they change."""
+        found: list[tuple] = []
+        summary = self._take(known.get(key))
+        while history:
+            # Up to the first gap longer than the time to live; behind it the entity is a new one.
+            last, end = summary[1] if summary else history[0]["us"], 0
+            while end < len(history) and (self.ttl_us is None or history[end]["us"] - last <= self.ttl_us):
+                last, end = history[end]["us"], end + 1
+            if end:
+                values, summary = self._features((key,), history[:end], summary)
+                found += values
+            else:
+                summary = self._take(None)
+            history = history[end:]
+        if found:
+            known[key] = (summary, self.minutes, self.seen)
+        return found
+
+
 def stored_history(tx: DataFrame, entity: Entity, before: str, ttl_days: int | None = 7) -> DataFrame:
     """What the state of ``entity`` has to start with for a stream from the instant ``before`` on: a row per active
     minute, per value of a distinct count and per key, from the stored transactions before it.
@@ -381,13 +533,22 @@ def stored_history(tx: DataFrame, entity: Entity, before: str, ttl_days: int | N
     return out
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+
+
 def with_history(
-    tx: DataFrame, entities: tuple[Entity, ...] = ENTITIES, ttl_days: int | None = 7, stored: dict[str, DataFrame] | None = None
+    tx: DataFrame,
+    entities: tuple[Entity, ...] = ENTITIES,
+    ttl_days: int | None = 7,
+    stored: dict[str, DataFrame] | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """A stream of transactions with the history features of ``entities``, one stateful stage and one shuffle each.
 
     ``tx`` has the instant ``at`` with a watermark; a column ``counted`` may say which rows belong to the history.
     Rows come out when the watermark has passed them. ``stored`` may give frames of :func:`stored_history` by key.
+    ``buckets`` keeps the state of that many groups of keys and not of each key, for batches of very many keys.
     """
     simple = [f.name for f in tx.schema if not isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.ArrayType))]
     kept = [c for c in simple if c not in ("us", "cents", "counted")]
@@ -398,15 +559,23 @@ def with_history(
     ttl_us = None if ttl_days is None else ttl_days * DAY_US
     for entity in entities:
         first = (stored or {}).get(entity.key)
-        key = F.from_json("row", T.StructType([T.StructField(entity.key, fields[entity.key])]))[entity.key]
-        rows = rows.select(key.alias(entity.key), "at", "row").groupBy(entity.key).transformWithState(
-            statefulProcessor=EntityHistory(entity, ttl_us),
-            outputStructType="at timestamp, row string",
-            outputMode="Append",
-            timeMode="EventTime",
-            initialState=None if first is None else first.groupBy(entity.key),
-            eventTimeColumnName="at",
-        )
+        kind = fields[entity.key]
+        key = F.from_json("row", T.StructType([T.StructField(entity.key, kind)]))[entity.key]
+        made = {"outputStructType": "at timestamp, row string", "outputMode": "Append", "timeMode": "EventTime", "eventTimeColumnName": "at"}
+        if buckets is None:
+            rows = rows.select(key.alias(entity.key), "at", "row").groupBy(entity.key).transformWithState(
+                statefulProcessor=EntityHistory(entity, ttl_us),
+                initialState=None if first is None else first.groupBy(entity.key),
+                **made,
+            )
+        else:
+            if first is not None:
+                state = F.to_json(F.struct(entity.key, *[f.name for f in STORED])).alias("state")
+                first = first.select(_bucket(F.col(entity.key).cast(kind), buckets), state).groupBy("bucket")
+            keyed = rows.select(_bucket(key, buckets), "at", F.unix_micros("at").alias("us"), "row").groupBy("bucket")
+            rows = keyed.transformWithStateInPandas(
+                statefulProcessor=BucketHistory(entity, ttl_us), initialState=first, **made
+            )
         fields |= entity.features
     values = F.from_json("row", T.StructType([T.StructField(n, kind) for n, kind in fields.items()])).alias("_values")
     names = [*kept, *(["counted"] if "counted" in tx.columns else []), *[n for e in entities for n in e.features]]

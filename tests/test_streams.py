@@ -1,9 +1,11 @@
 """State, sinks and labels of streams: several batches, restarts, repeated batches, idle keys."""
 
 import datetime as dt
+import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
@@ -311,3 +313,54 @@ def test_rows_cross_the_state_unchanged(spark, tmp_path):
     names = ["transaction_id", "amount", "kind", "part", "country", "is_fraud", "delay_days", "ts"]
     assert sorted(map(repr, got.select(*names).collect())) == sorted(map(repr, want.select(*names).collect()))
     assert [f.dataType for f in got.select(*names).schema] == [f.dataType for f in want.select(*names).schema]
+
+
+class Bucket:
+    """The state and the timers of one bucket; counts the messages an executor would get."""
+
+    def __init__(self):
+        self.messages, self.lists, self.timers = 0, {}, set()
+
+    def _list(self, name):
+        self.messages += 1
+        return self.lists.setdefault(name, [])
+
+    def getListState(self, name, _):
+        def put(values):
+            self._list(name)[:] = values
+
+        calls = {"get": lambda: iter([*self._list(name)]), "put": put, "clear": lambda: self._list(name).clear()}
+        return type("Parts", (), {k: staticmethod(f) for k, f in calls.items()} | {"appendValue": staticmethod(lambda v: self._list(name).append(v))})
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.messages += 1
+        self.timers.discard(at)
+
+
+def at_mark(us):
+    return type("Timer", (), {"getCurrentWatermarkInMs": staticmethod(lambda: us // 1000)})
+
+
+def test_messages_follow_the_buckets_and_not_the_keys():
+    """500 users of a bucket wait, come out and are forgotten with a few messages, each with a history of its own."""
+    history, bucket = store.BucketHistory(store.USER, 7 * DAY_US), Bucket()
+    history.init(bucket)
+    rows = [(u, 60_000_000 * n + 1000 + u) for n in range(3) for u in range(500)]
+    base = {"cents": 100, "is_fraud": 0, "counted": True, "country": "US"}
+    texts = [json.dumps({"transaction_id": i, "user_id": u, "us": us} | base) for i, (u, us) in enumerate(rows)]
+    frame = pd.DataFrame({"bucket": 0, "at": pd.to_datetime([us for _, us in rows], unit="us"), "us": [us for _, us in rows], "row": texts})
+    assert not [*history.handleInputRows((0,), iter([frame]), at_mark(0))]
+    (out,) = history.handleExpiredTimer((0,), at_mark(HOUR_US), None)
+    found = [json.loads(t) for t in out["row"]]
+    assert sorted(r["transaction_id"] for r in found) == [*range(1500)]
+    assert all(r["feat_tx_count_user_1h"] == r["transaction_id"] // 500 == r["feat_amount_sum_user_24h"] for r in found)
+    assert bucket.messages < 20 and bucket.lists["known"]
+    while bucket.timers:
+        first = min(bucket.timers)
+        assert not [*history.handleExpiredTimer((0,), at_mark((first + HOUR_US) * 1000), None)]
+        bucket.timers.discard(first)
+    assert not bucket.lists["known"]
