@@ -290,6 +290,35 @@ def test_first_rounds_are_a_fit_of_so_many(spark, tmp_path):
     assert training.first_rounds(long, 4) is long
 
 
+@pytest.mark.parametrize("patience, rounds", [(1, 2), (2, 4), (3, 8)])
+def test_blocks_of_rounds_share_a_fit(spark, monkeypatch, patience, rounds):
+    """The first two blocks are one fit, and the best round is the one that block after block would find."""
+    monkeypatch.setattr(training, "TREE_BLOCK", 2)
+    fits, losses = [], [0.5, 0.6, 0.4, 0.7, 0.7, 0.3, 0.2, 0.7]
+
+    class Model:
+        def __init__(self, n):
+            self.n = n
+            self.stages = [self]
+
+        def evaluateEachIteration(self, _):
+            return losses[: self.n]
+
+    def fit(pipeline, _):
+        fits.append(pipeline.getStages()[-1].getMaxIter())
+        return Model(fits[-1])
+
+    monkeypatch.setattr(training.Pipeline, "fit", fit)
+    monkeypatch.setattr(training, "first_rounds", lambda model, best: (model.n, best))
+    rows = "id AS transaction_id", "timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id AS int)) AS ts", "CAST(id % 2 AS int) AS is_fraud", "1D AS feat_x"
+    made, best = training.fit_trees(spark.range(40).selectExpr(*rows, "'train' AS split"), 8, patience)
+    assert fits == {2: [4], 4: [4, 8], 8: [4, 8]}[rounds] and made == fits[-1]
+    done = 2
+    while (want := losses.index(min(losses[:done])) + 1) + patience > done and done < 8:
+        done *= 2
+    assert best == want and done >= rounds
+
+
 def test_model_input_is_computed_once(spark):
     """The border of the split comes from the stored rows and not from a second run of the features."""
     made = spark.sparkContext.accumulator(0)
