@@ -10,15 +10,20 @@ time to live is forgotten by an event-time timer.
 
 A message costs as much as many rows, so batches with very many keys are better kept in a fixed number of buckets by the
 hash of the key (:class:`BucketHistory`): the entries of a bucket are read and written together, a batch sends a few
-messages per bucket, whatever its keys, and rows cross as frames. Small batches rewrite more that way.
+messages per bucket, whatever its keys, and rows cross as frames. Small batches rewrite more that way. What a task of
+buckets holds follows the windows and not the rows, even if one key has most of them: rows that can be closed are sorted in
+runs outside of memory (:class:`Runs`), are taken some thousands at a time and leave as they are done.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import pickle
-from collections.abc import Iterator
+import tempfile
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +45,10 @@ PACK_ROWS = 10_000
 BUCKETS = 1024
 #: Bytes of the entries of one bucket that are stored as one value.
 PART_BYTES = 1 << 24
+#: Rows and bytes that are sorted in memory, bytes of a pack of such a run, and runs that become one.
+RUN_ROWS, RUN_BYTES, RUN_PACK_BYTES, RUN_FAN = 1 << 16, 1 << 25, 1 << 20, 32
+#: Rows whose features are computed together; all rows of one time are.
+STEP_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -362,6 +371,107 @@ class _Unstored:
         pass
 
 
+class Packs:
+    """A list whose values are read one at a time. The values of a list state are one value of the store, which is read
+    as a whole, and end with the longest one it can hold."""
+
+    def __init__(self, values):
+        self.values, self.last = values, 0
+
+    def appendValue(self, value: tuple) -> None:
+        # By the clock, so that no size has to be read and written.
+        self.last = max(time.time_ns(), self.last + 1)
+        self.values.updateValue((self.last,), value)
+
+    def get(self) -> Iterator[tuple]:
+        return (self.values.getValue(key) for key in sorted(self.values.keys()))
+
+    def clear(self) -> None:
+        self.values.clear()
+
+
+class Runs:
+    """Rows to be read in the order of time, however many there are: runs of a bounded size are sorted and lie in packs in
+    a file without a name, of which a reader holds about one pack per run; many runs are made one."""
+
+    def __init__(self):
+        self.us, self.texts, self.bytes = [], [], 0
+        self.runs: list[tuple[int, list[tuple[int, Callable]]]] = []
+        self.file = tempfile.SpooledTemporaryFile(RUN_BYTES)
+
+    def __bool__(self) -> bool:
+        return bool(self.texts or self.runs)
+
+    def add(self, us: np.ndarray, texts: list[str]) -> None:
+        if not texts:
+            return
+        self.us.append(us)
+        self.texts += texts
+        self.bytes += sum(map(len, texts))
+        if len(self.texts) >= RUN_ROWS or self.bytes >= RUN_BYTES:
+            self._store(0, [self._run()])
+
+    def steps(self) -> Iterator[tuple[np.ndarray, list[str]]]:
+        packs = [p for _, run in self.runs for p in run]
+        if self.texts:
+            us, texts = self._run()
+            packs += [(int(us[i]), lambda p=p: (us[p], texts[p])) for i, p in _parts(texts)]
+        return in_order(packs)
+
+    def _run(self) -> tuple[np.ndarray, list[str]]:
+        """What is in memory, sorted."""
+        us = np.concatenate(self.us)
+        order = np.argsort(us, kind="stable")
+        run = us[order], [self.texts[i] for i in order.tolist()]
+        self.us, self.texts, self.bytes = [], [], 0
+        return run
+
+    def _store(self, level: int, pieces: Iterator[tuple[np.ndarray, list[str]]]) -> None:
+        packs = []
+        for us, texts in pieces:
+            for i, part in _parts(texts):
+                self.file.seek(0, os.SEEK_END)
+                packs.append((int(us[i]), lambda at=self.file.tell(): self._read(at)))
+                pickle.dump((us[part], texts[part]), self.file, pickle.HIGHEST_PROTOCOL)
+        self.runs.append((level, packs))
+        alike = [run for own, run in self.runs if own == level]
+        if len(alike) == RUN_FAN:
+            self.runs = [r for r in self.runs if r[0] != level]
+            self._store(level + 1, in_order([p for run in alike for p in run]))
+
+    def _read(self, at: int) -> tuple[np.ndarray, list[str]]:
+        self.file.seek(at)
+        return pickle.load(self.file)
+
+
+def _parts(texts: list[str]) -> list[tuple[int, slice]]:
+    """Slices of about the bytes of a pack."""
+    n = max(1, len(texts) * RUN_PACK_BYTES // max(1, sum(map(len, texts))))
+    return [(i, slice(i, i + n)) for i in range(0, len(texts), n)]
+
+
+def in_order(packs: list[tuple[int, Callable]]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The rows of sorted packs, given by their first times and how to read them, in the order of time: some thousands at a
+    time, all rows of one time together. A pack is read when the rows before its first time run out."""
+    packs = sorted(packs, key=lambda p: p[0])
+    us, texts = np.empty(0, np.int64), []
+    for (_, read), following in zip(packs, [*packs[1:], None]):
+        more, own = read()
+        us, texts = np.concatenate([us, more]), texts + own
+        ready = len(us) if following is None else int((us < following[0]).sum())
+        if following is not None and ready < STEP_ROWS:
+            continue
+        order = np.argsort(us, kind="stable")
+        us, texts = us[order], [texts[i] for i in order.tolist()]
+        start = 0
+        while start < ready:
+            end = min(start + STEP_ROWS, ready)
+            end = int(np.searchsorted(us[:ready], us[end - 1], side="right"))
+            yield us[start:end], texts[start:end]
+            start = end
+        us, texts = us[ready:], texts[ready:]
+
+
 class BucketHistory(EntityHistory):
     """Adds the features of one entity to rows of a bucket, an instant ``at``, its microseconds ``us`` and a JSON object
     ``row`` with the key, ``us``, ``cents``, ``is_fraud`` and ``counted``; rows that are not counted pass through in their
@@ -374,17 +484,16 @@ class BucketHistory(EntityHistory):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        firsts, texts = [], []
+        done, firsts = Runs(), []
         for frame in rows:
-            firsts.append(int(frame.iloc[:, -2].min()))
-            texts += frame.iloc[:, -1].tolist()
-        if close_ms(min(firsts)) > mark:
-            self._wait(texts, min(firsts))
-            return iter(())
-        return self._close_all([*self._waited(), *texts], mark)
+            us, texts = frame.iloc[:, -2].to_numpy(np.int64), frame.iloc[:, -1].tolist()
+            firsts += self._wait_in_packs(*self._divide(us, texts, mark, done))
+        self._wake(firsts)
+        if done:
+            yield from self._close_all(done, mark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._close_all(self._waited(), timerValues.getCurrentWatermarkInMs())
+        return self._close_all(Runs(), timerValues.getCurrentWatermarkInMs())
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Rows of :func:`stored_history` as JSON texts: a minute, a value, or the summary."""
@@ -438,31 +547,58 @@ class BucketHistory(EntityHistory):
         """The watermark that forgets the entity; the timer is the bucket's."""
         return None if self.ttl_us is None else close_ms(last_us + self.ttl_us) + 1
 
-    def _close_all(self, texts: list[str], mark: int) -> Iterator[pd.DataFrame]:
-        """Features of the rows that the watermark has passed; the others go on waiting."""
-        rows = [(r["us"], r.get(TIE), r, text) for r, text in zip(map(json.loads, texts), texts)]
-        done = sorted((r for r in rows if close_ms(r[0]) <= mark), key=lambda r: r[:2])
-        left = [r for r in rows if close_ms(r[0]) > mark]
-        if rows:
-            self.waiting.clear()
-        if left:
-            self._wait([r[3] for r in left], min(r[0] for r in left))
+    def _divide(self, us: np.ndarray, texts: list[str], mark: int, done: Runs) -> tuple[np.ndarray, list[str]]:
+        """Put the rows that the watermark has passed into ``done`` and return the others."""
+        closed = us <= mark * 1000
+        if closed.all():
+            done.add(us, texts)
+            return us[:0], []
+        done.add(us[closed], [t for t, c in zip(texts, closed.tolist()) if c])
+        return us[~closed], [t for t, c in zip(texts, closed.tolist()) if not c]
+
+    def _wait_in_packs(self, us: np.ndarray, texts: list[str]) -> list[int]:
+        """Store rows; returns the first of their times."""
+        for i in range(0, len(texts), PACK_ROWS):
+            part = slice(i, i + PACK_ROWS)
+            self.waiting.appendValue((pickle.dumps((us[part], texts[part]), pickle.HIGHEST_PROTOCOL),))
+        return [int(us.min())] if texts else []
+
+    def _wake(self, firsts: list[int]) -> None:
+        if firsts:
+            self.handle.registerTimer(close_ms(min(firsts)))
+
+    def _close_all(self, done: Runs, mark: int) -> Iterator[pd.DataFrame]:
+        """Features of the rows that the watermark has passed, ``done`` and waiting ones; the others go on waiting."""
+        packs, firsts = 0, []
+        with tempfile.SpooledTemporaryFile(RUN_BYTES) as left:
+            for packs, (pack,) in enumerate(self.waiting.get(), 1):
+                pickle.dump(self._divide(*pickle.loads(pack), mark, done), left, pickle.HIGHEST_PROTOCOL)
+            if packs:
+                self.waiting.clear()
+            left.seek(0)
+            for _ in range(packs):
+                firsts += self._wait_in_packs(*pickle.load(left))
+        self._wake(firsts)
+        before, known = self._load()
+        for us, texts in done.steps():
+            yield self._step(us.tolist(), texts, known)
+        if known:
+            self._store(before, known, mark)
+
+    def _step(self, us: list[int], texts: list[str], known: dict) -> pd.DataFrame:
+        """Features of rows in the order of time, whose keys' entries in ``known`` they change."""
+        rows = [(t, r.get(TIE), r, text) for t, r, text in zip(us, map(json.loads, texts), texts)]
         by_key: dict[object, list[tuple]] = {}
-        for r in done:
+        for r in sorted(rows, key=lambda r: r[:2]):
             by_key.setdefault(r[2].get(self.entity.key), []).append(r)
-        before, known = self._load()
         shape = "".join(f',"{n}":%r' for n in self.entity.features) + "}"
         times, out = [], []
         for key, own in by_key.items():
             values = iter(self._replay(key, [r[2] for r in own if r[2]["counted"]], known))
             times += [r[0] for r in own]
             out += [text[:-1] + shape % next(values) if r["counted"] else text for _, _, r, text in own]
-        if known:
-            self._store(before, known, mark)
-        if not out:
-            return iter(())
         at = pd.Series(np.array(times, "datetime64[us]")).dt.tz_localize("UTC")
-        return iter([pd.DataFrame({"at": at, "row": out})])
+        return pd.DataFrame({"at": at, "row": out})
 
     def _replay(self, key, history: list[dict], known: dict) -> list[tuple]:
         """Features of the rows of one key, whose entries in ``known`` they change."""
@@ -484,6 +620,15 @@ class BucketHistory(EntityHistory):
         return found
 
 
+class PackedHistory(BucketHistory):
+    """The same for buckets with any number of waiting rows: a pack of them is a value of its own."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = Packs(handle.getMapState("packs", _LONG, _PACK))
+        self.known = handle.getListState("known", _PART)
+
+
 def stored_history(tx: DataFrame, entity: Entity, before: str, ttl_days: int | None = 7) -> DataFrame:
     """What the state of ``entity`` has to start with for a stream from the instant ``before`` on: a row per active
     minute, per value of a distinct count and per key, from the stored transactions before it.
@@ -548,7 +693,8 @@ def with_history(
 
     ``tx`` has the instant ``at`` with a watermark; a column ``counted`` may say which rows belong to the history.
     Rows come out when the watermark has passed them. ``stored`` may give frames of :func:`stored_history` by key.
-    ``buckets`` keeps the state of that many groups of keys and not of each key, for batches of very many keys.
+    ``buckets`` keeps the state of that many groups of keys and not of each key, for batches of very many keys or of keys
+    with very many rows.
     """
     simple = [f.name for f in tx.schema if not isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.ArrayType))]
     kept = [c for c in simple if c not in ("us", "cents", "counted")]
@@ -574,7 +720,7 @@ def with_history(
                 first = first.select(_bucket(F.col(entity.key).cast(kind), buckets), state).groupBy("bucket")
             keyed = rows.select(_bucket(key, buckets), "at", F.unix_micros("at").alias("us"), "row").groupBy("bucket")
             rows = keyed.transformWithStateInPandas(
-                statefulProcessor=BucketHistory(entity, ttl_us), initialState=first, **made
+                statefulProcessor=PackedHistory(entity, ttl_us), initialState=first, **made
             )
         fields |= entity.features
     values = F.from_json("row", T.StructType([T.StructField(n, kind) for n, kind in fields.items()])).alias("_values")

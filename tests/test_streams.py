@@ -364,3 +364,86 @@ def test_messages_follow_the_buckets_and_not_the_keys():
         assert not [*history.handleExpiredTimer((0,), at_mark((first + HOUR_US) * 1000), None)]
         bucket.timers.discard(first)
     assert not bucket.lists["known"]
+
+
+class Kept(Entries):
+    """Packs of a bucket."""
+
+    def getValue(self, key):
+        return self[key]
+
+
+class PackedBucket(Bucket):
+    def getMapState(self, name, *_):
+        return self.lists.setdefault(name, Kept())
+
+
+def bucket_rows(n, seed):
+    """Rows of few keys, one of which has most, many at one time, as texts and frames."""
+    rng = np.random.default_rng(seed)
+    us = rng.integers(0, n // 4, n) * HOUR_US // 7
+    base = {"cents": 100, "is_fraud": 0, "counted": True, "country": "US"}
+    devices, users = np.where(rng.random(n) < 0.8, 1, rng.integers(2, 9, n)), rng.integers(0, 30, n)
+    texts = [
+        json.dumps({"transaction_id": i, "device_id": int(d), "user_id": int(u), "us": int(t)} | base)
+        for i, (d, u, t) in enumerate(zip(devices, users, us))
+    ]
+    return [
+        pd.DataFrame({"bucket": 0, "at": pd.to_datetime(us[i : i + 100], unit="us"), "us": us[i : i + 100], "row": texts[i : i + 100]})
+        for i in range(0, n, 100)
+    ], us
+
+
+def closed(kind, frames, marks):
+    """All that comes out of a bucket whose rows come with the first mark, in frames."""
+    history, bucket = kind(store.DEVICE, None), PackedBucket()
+    history.init(bucket)
+    out = [*history.handleInputRows((0,), iter(frames), at_mark(marks[0]))]
+    for mark in marks[1:]:
+        out += [*history.handleExpiredTimer((0,), at_mark(mark), None)]
+    return out, bucket
+
+
+@pytest.mark.parametrize("marks", [(0, 1), (1,), (0.4, 1), (0, 0.3, 0.6, 1)])
+def test_rows_of_a_bucket_leave_in_steps(monkeypatch, marks):
+    """A key with very many rows is taken some rows at a time, with the features that it has as a whole."""
+    frames, us = bucket_rows(3000, 4)
+    end = int(us.max()) + HOUR_US
+    marks = [int(m * end) for m in marks]
+    (whole,) = closed(store.PackedHistory, frames, [end])[0]
+    for name, value in {"RUN_ROWS": 150, "RUN_PACK_BYTES": 1000, "RUN_FAN": 3, "STEP_ROWS": 20, "PACK_ROWS": 40}.items():
+        monkeypatch.setattr(store, name, value)
+    out, bucket = closed(store.PackedHistory, frames, marks)
+    assert sorted(pd.concat(out)["row"]) == sorted(whole["row"]) and len(whole) == 3000
+    assert max(map(len, out)) <= 60 and not bucket.lists["packs"]
+    listed, bucket = closed(store.BucketHistory, frames, marks)
+    assert sorted(pd.concat(listed)["row"]) == sorted(whole["row"]) and not bucket.lists["waiting"]
+
+
+def test_runs_hold_a_bounded_part(monkeypatch):
+    """What is read of many runs at once is a pack of each, and runs become one before they are many."""
+    for name, value in {"RUN_ROWS": 100, "RUN_PACK_BYTES": 50, "RUN_FAN": 4, "STEP_ROWS": 16}.items():
+        monkeypatch.setattr(store, name, value)
+    runs, rng = store.Runs(), np.random.default_rng(2)
+    us = rng.permutation(10_000)
+    for i in range(0, len(us), 50):
+        runs.add(us[i : i + 50], [f"{t:05d}" for t in us[i : i + 50]])
+        assert len(runs.texts) < 100 and len(runs.runs) <= 3 * 4
+    held, most = [0], [0]
+    packs = [p for _, run in runs.runs for p in run]
+
+    def counted(read):
+        def one():
+            got = read()
+            held[0] += len(got[1])
+            most[0] = max(most[0], held[0])
+            return got
+
+        return one
+
+    found = []
+    for times, texts in store.in_order([(first, counted(read)) for first, read in packs]):
+        held[0] -= len(texts)
+        found += texts
+        assert [*map(int, texts)] == times.tolist()
+    assert found == sorted(found) and len(found) == 10_000 and most[0] < 300
