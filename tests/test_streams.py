@@ -447,3 +447,12 @@ def test_runs_hold_a_bounded_part(monkeypatch):
         found += texts
         assert [*map(int, texts)] == times.tolist()
     assert found == sorted(found) and len(found) == 10_000 and most[0] < 300
+
+
+def test_hot_merchants_are_in_buckets(spark, monkeypatch):
+    """The registered query keeps no state whose size follows the rows of one key."""
+    made = []
+    monkeypatch.setattr(catalog.jobs, "drain", lambda df, _: made.append(df) or df)
+    catalog.stream_entity_features(spark, SMALL)
+    plan = made[0]._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan and "TransformWithStateInPySpark" in plan
